@@ -1,6 +1,12 @@
 """The queries of this subpackage and their SQL."""
 
-from quillon.llm import exact_dedup, mixing
+from quillon.llm import exact_dedup, mixing, packing, simhash, tokens
 
-QUERIES = {"op1_exact_dedup": exact_dedup.op1_exact_dedup, "op3_mixing": mixing.op3_mixing}
+QUERIES = {
+    "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op2_simhash": simhash.op2_simhash,
+    "op3_mixing": mixing.op3_mixing,
+    "op4_token_counts": tokens.op4_token_counts,
+    "op7_packing": packing.op7_packing,
+}
 ORACLES = {"op1_exact_dedup": exact_dedup.SQL, "op3_mixing": mixing.SQL}
