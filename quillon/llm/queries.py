@@ -1,12 +1,14 @@
 """The queries of this subpackage and their SQL."""
 
-from quillon.llm import exact_dedup, mixing, packing, simhash, tokens
+from quillon.llm import embeddings, exact_dedup, mixing, packing, simhash, tokens, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_simhash": simhash.op2_simhash,
     "op3_mixing": mixing.op3_mixing,
     "op4_token_counts": tokens.op4_token_counts,
+    "op5_embedding_dedup": embeddings.op5_embedding_dedup,
     "op7_packing": packing.op7_packing,
+    "op9_warc": warc.op9_warc,
 }
-ORACLES = {"op1_exact_dedup": exact_dedup.SQL, "op3_mixing": mixing.SQL}
+ORACLES = {"op1_exact_dedup": exact_dedup.SQL, "op3_mixing": mixing.SQL, "op5_embedding_dedup": embeddings.SQL, "op9_warc": warc.SQL}
