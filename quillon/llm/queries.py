@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL."""
 
-from quillon.llm import embeddings, exact_dedup, mixing, packing, simhash, tokens, warc
+from quillon.llm import embeddings, exact_dedup, licenses, mixing, packing, quality, simhash, tokens, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -8,7 +8,9 @@ QUERIES = {
     "op3_mixing": mixing.op3_mixing,
     "op4_token_counts": tokens.op4_token_counts,
     "op5_embedding_dedup": embeddings.op5_embedding_dedup,
+    "op6_quality": quality.op6_quality,
     "op7_packing": packing.op7_packing,
+    "op8_licenses": licenses.op8_licenses,
     "op9_warc": warc.op9_warc,
 }
 ORACLES = {"op1_exact_dedup": exact_dedup.SQL, "op3_mixing": mixing.SQL, "op5_embedding_dedup": embeddings.SQL, "op9_warc": warc.SQL}
