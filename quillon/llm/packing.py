@@ -73,22 +73,21 @@ def token_pieces(docs: DataFrame, vocabulary: str, limit: int, end_id: int = 0,
     """Rows (id, piece, start, length, ids_crc32[, ids]): each text's ids and then end_id, cut so that only the first piece is short."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, stop = encoder(vocabulary), end_id.to_bytes(4, "little")
+        coder, stop = encoder(vocabulary), np.array([end_id], "<u4")
         for batch in batches:
             rows, piece, start, length, crc, parts = [], [], [], [], [], []
             for r, text in enumerate(x.as_py() for x in batch.column("_text")):
-                ids = coder.encode(text) + stop
-                n = len(ids) // 4
+                ids = np.concatenate([coder.encode(text), stop]).astype("<u4")
+                n = len(ids)
                 cuts = [0, *range(n % limit or limit, n + 1, limit)]
                 for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
                     rows.append(r)
                     piece.append(k)
                     start.append(a)
                     length.append(b - a)
-                    part = ids[4 * a : 4 * b]
-                    crc.append(crc32(part))
+                    crc.append(crc32(ids[a:b].tobytes()))
                     if with_ids:
-                        parts.append(np.frombuffer(part, "<u4").astype(np.int32))
+                        parts.append(ids[a:b].astype(np.int32))
             out = [batch.column("_id").take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
             names = ["_id", "piece", "start", "length", "ids_crc32"]
             if with_ids:

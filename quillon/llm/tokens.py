@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,19 +19,19 @@ from quillon.session import table
 #: Texts of more characters than this are encoded in overlapping chunks of this size.
 HUGE = 32_768
 OVERLAP = 512
-#: Words whose ids a worker keeps; beyond it starts anew.
-KEPT_WORDS = 300_000
+#: A run of so many characters with or without white space is left to the library, whose merging suits long words.
+LONG_RUN = 512
 #: No boundary within this many characters of a chunk's cut end counts as proven; longer than any special token.
 MARGIN = 64
 
 
 class Encoder:
-    """Ids of texts as the tokenizer at `path` gives them without added special tokens.
+    """Ids of texts as the tokenizer at `path` gives them without added special tokens, as numpy arrays.
 
-    For a byte-level BPE without normalizer, the library first cuts a text into words by a pattern and then encodes each
-    word by itself.  So a word's ids are asked of the library once and kept, as 4 bytes each.  The cut into words is made
-    here, by the same pattern, for texts of the characters whose classes are listed below; texts with other characters or
-    with a special token are left to the library as a whole.
+    If the vocabulary is a byte-level BPE without normalizer whose tokens are numbered in the order of its merges, merging
+    by rank gives the same ids, so texts go through the faster rank-merging library with the same ranks.  Texts with
+    characters beyond those whose classes are listed below, with special tokens or with very long words are left to the
+    tokenizer's own library.
     """
 
     # The classes letter, number and white space among U+0000-024F and U+2000-206F.
@@ -43,105 +46,91 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         listed = r"[^\x00-\u024f\u2000-\u206f]" + "".join("|" + re.escape(t) for t in special)
-        self.unlisted = re.compile(listed).search
+        self.unlisted, self.blanks = re.compile(listed).search, re.compile(rf"\s{{{LONG_RUN}}}").search
         a, n, s = self.LETTER, self.NUMBER, self.BLANK
-        self.words = re.compile(rf"'(?:[sdmt]|ll|ve|re)| ?[{a}]+| ?[{n}]+| ?[^{s}{a}{n}]+|[{s}]+(?![^{s}])|[{s}]+").findall
-        self.kept: dict[str, bytes] = {}
-        self.simple = self._byte_level()
+        pattern = rf"'(?:[sdmt]|ll|ve|re)| ?[{a}]+| ?[{n}]+| ?[^{s}{a}{n}]+|[{s}]+(?![^{s}])|[{s}]+"
+        self.words = re.compile(pattern).findall
+        self.ranked = self._by_rank(special)
 
-    def _byte_level(self) -> bool:
-        """Whether words are encoded one by one: a byte-level BPE with the usual pattern and no normalizer."""
-        import json
+    def _by_rank(self, special: list[str]):
+        """The rank-merging encoder for this vocabulary, or None if it might give other ids."""
+        import tiktoken
 
         spec = json.loads(self.library.to_str())
-        pre = spec.get("pre_tokenizer") or {}
-        return (
-            spec["model"].get("type", "BPE") == "BPE"
-            and spec.get("normalizer") is None
-            and pre.get("type") == "ByteLevel"
-            and pre.get("use_regex", True)
-            and not pre.get("add_prefix_space")
-        )
-
-    def _learn(self, words: list[str]) -> None:
-        if len(self.kept) > KEPT_WORDS:
-            self.kept.clear()
-        new = [w for w in set(words) if w not in self.kept]
-        for w, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.kept[w] = b"".join(i.to_bytes(4, "little") for i in e.ids)
-
-    def pieces(self, text: str) -> tuple[list[int], list[bytes]]:
-        """Where each word of a text starts, and its ids."""
-        if not self.simple or self.unlisted(text):
-            e = self.library.encode(text, add_special_tokens=False)
-            starts, ids, last = [], [], None
-            for number, (start, _), word in zip(e.ids, e.offsets, e.word_ids, strict=True):
-                if word is not None and word == last:
-                    ids[-1] += number.to_bytes(4, "little")
-                else:
-                    starts.append(start)
-                    ids.append(number.to_bytes(4, "little"))
-                    last = word
-            return starts, ids
-        words = self.words(text)
-        starts, at = [], 0
-        for w in words:
-            starts.append(at)
-            at += len(w)
-        return starts, self._ids(words)
-
-    def _ids(self, words: list[str]) -> list[bytes]:
-        get = self.kept.__getitem__
-        try:
-            return list(map(get, words))
-        except KeyError:
-            self._learn(words)
-            return list(map(self.kept.__getitem__, words))
-
-    def encode(self, text: str) -> bytes:
-        """The ids of a whole text, as little-endian unsigned 32-bit numbers."""
-        if len(text) > HUGE and self.simple:
-            return b"".join(self.spliced(text, HUGE, OVERLAP))
-        if not self.simple or self.unlisted(text):
-            return b"".join(i.to_bytes(4, "little") for i in self.library.encode(text, add_special_tokens=False).ids)
-        return b"".join(self._ids(self.words(text)))
-
-    def spliced(self, text: str, size: int, overlap: int) -> Iterator[bytes]:
+        pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
+        if (
+            model.get("type", "BPE") != "BPE" or spec.get("normalizer") or model.get("dropout") or model.get("ignore_merges") or model.get("end_of_word_suffix")
+            or model.get("continuing_subword_prefix") or pre.get("type") != "ByteLevel" or not pre.get("use_regex", True) or pre.get("add_prefix_space")
+        ):
+            return None
+        merged = [model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+        plain = {t: i for t, i in model["vocab"].items() if t not in special}
+        if merged != sorted(set(merged)) or len(merged) + 256 != len(plain):
+            return None
+        # byte-level vocabularies write each byte as a character: printable ones as they are, others from U+0100 on
+        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+        byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(shown))}
+        ranks = {bytes(byte_of[c] for c in t): i for t, i in plain.items()}
+        pattern = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+        return tiktoken.Encoding("ranked", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+    def _plain(self, text: str) -> bool:
+        return self.ranked is not None and not self.unlisted(text) and max(map(len, text.split()), default=0) < LONG_RUN and not self.blanks(text)
+
+    def starts(self, text: str) -> list[int]:
+        """Where the words of a text, which are encoded one by one, start."""
+        if self._plain(text):
+            return [0, *accumulate(map(len, self.words(text)))][:-1]
+        e, found, last = self.library.encode(text, add_special_tokens=False), [], None
+        for (start, _), word in zip(e.offsets, e.word_ids, strict=True):
+            if word is None or word != last:
+                found.append(start)
+                last = word
+        return found
+
+    def _short(self, text: str) -> np.ndarray:
+        if self._plain(text):
+            return self.ranked.encode_to_numpy(text, disallowed_special=())
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def encode(self, text: str) -> np.ndarray:
+        """The ids of a whole text."""
+        if len(text) > HUGE and self.ranked is not None:
+            return np.concatenate(list(self.spliced(text, HUGE, OVERLAP)))
+        return self._short(text)
+
+    def spliced(self, text: str, size: int, overlap: int) -> Iterator[np.ndarray]:
         """The ids of a text from overlapping chunks.
 
         The cut into words looks only forwards, so from a place where a word of the whole text starts, a chunk's words are
         those of the whole text, up to where its cut end can matter.  A start in the proven part of one chunk that is also
         a start in the next chunk is therefore a stable common boundary: the next chunk is proven from there on, wherever
-        it began.  Without one, the next chunk begins earlier (the overlap is doubled), at last at a proven start; a chunk
-        without any proven start but its first is doubled itself.
+        it began.  White space belongs to one word or two depending on what follows, so such a boundary must not stand after
+        white space; then the parts can be encoded by themselves.  Without one, the next chunk begins earlier (the overlap
+        is doubled), at last at a proven start; a chunk without any such start but its first is doubled itself.
         """
         begin, proven = 0, 0  # of the chunk; of its proven part
-        starts, ids = self._chunk(text, 0, size)
-        while True:
-            end = begin + size
-            if end >= len(text):
-                yield from ids[bisect_right(starts, proven - 1) :]
-                return
+        starts = self._chunk(text, 0, size)
+        while (end := begin + size) < len(text):
+            first = bisect_left(starts, proven)
             last = min(bisect_right(starts, end - MARGIN) - 1, len(starts) - 3)  # the last start that is proven
-            first = bisect_right(starts, proven - 1)
-            if last <= first:
+            known = [s for s in starts[first + 1 : last + 1] if not text[s - 1].isspace()]
+            if not known:
                 begin, size = proven, size * 2
-                starts, ids = self._chunk(text, begin, size)
+                starts = self._chunk(text, begin, size)
                 continue
-            known, width = set(starts[first + 1 : last + 1]), overlap
-            while True:
-                at = max(end - width, starts[last] if width > size else proven + 1)
-                more, more_ids = self._chunk(text, at, size)
-                common = next((s for s in more if s in known), None)
-                if common is not None:
-                    break
+            stable, width, common = set(known), overlap, None
+            while common is None:
+                at = known[-1] if width > size else max(end - width, proven + 1)
+                more = self._chunk(text, at, size)
+                common = next((s for s in more if s in stable), None)
                 width *= 2
-            yield from ids[first : bisect_right(starts, common - 1)]
-            begin, proven, starts, ids = at, common, more, more_ids
+            yield self._short(text[proven:common])
+            begin, proven, starts = at, common, more
+        yield self._short(text[proven:])
 
-    def _chunk(self, text: str, at: int, size: int) -> tuple[list[int], list[bytes]]:
-        starts, ids = self.pieces(text[at : at + size])
-        return [at + s for s in starts], ids
+    def _chunk(self, text: str, at: int, size: int) -> list[int]:
+        return [at + s for s in self.starts(text[at : at + size])]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -165,7 +154,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
         coder = encoder(vocabulary)
         for batch in batches:
             texts = batch.column("_text")
-            sizes = [len(coder.encode(t)) // 4 for t in (x.as_py() for x in texts)]
+            sizes = [len(coder.encode(t)) for t in (x.as_py() for x in texts)]
             yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("n_bytes"), pa.array(sizes, pa.int64())], names=["_id", "n_bytes", "n_tokens"])
 
     text = F.coalesce(F.col(text_col), F.lit(""))
