@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL."""
 
-from quillon.llm import embeddings, exact_dedup, licenses, mixing, packing, quality, simhash, tokens, warc
+from quillon.llm import embeddings, exact_dedup, licenses, mixing, packing, quality, simhash, substrings, tokens, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -12,5 +12,6 @@ QUERIES = {
     "op7_packing": packing.op7_packing,
     "op8_licenses": licenses.op8_licenses,
     "op9_warc": warc.op9_warc,
+    "op10_substrings": substrings.op10_substrings,
 }
-ORACLES = {"op1_exact_dedup": exact_dedup.SQL, "op3_mixing": mixing.SQL, "op5_embedding_dedup": embeddings.SQL, "op9_warc": warc.SQL}
+ORACLES = {"op1_exact_dedup": exact_dedup.SQL, "op3_mixing": mixing.SQL, "op5_embedding_dedup": embeddings.SQL, "op9_warc": warc.SQL, "op10_substrings": substrings.SQL}
