@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 from quillon.functions.basics import stacked
 
-EVERY = Window.partitionBy()
-
 
 def div(a, b) -> Column:
     """a / b, 0 where b is 0."""
@@ -66,7 +64,7 @@ def pr_points(df: DataFrame, label: str, score: str) -> DataFrame:
 def thinned(points: DataFrame, order: str, n: int = 200) -> DataFrame:
     """At most n points of a curve, evenly spaced in its order, with both ends."""
     w = Window.orderBy(order)
-    i, total = F.row_number().over(w) - 1, F.count("*").over(EVERY)
+    i, total = F.row_number().over(w) - 1, F.count("*").over(Window.partitionBy())
     step = F.greatest(F.lit(1), F.ceil(total / n))
     return points.withColumn("_i", i).withColumn("_k", step).withColumn("_n", total).where("_i % _k = 0 OR _i = _n - 1").drop("_i", "_k", "_n")
 
@@ -203,7 +201,7 @@ def conformal_width(df: DataFrame, y: str, pred: str, coverage: float = 0.9) ->
     """One row (n, width): the absolute error at rank ceil((n + 1) coverage), for an interval pred +- width."""
     e = F.abs(F.col(y) - F.col(pred))
     counts = df.where(e.isNotNull()).groupBy(e.alias("e")).count()
-    upto = counts.withColumns({"upto": F.sum("count").over(Window.orderBy("e")), "n": F.sum("count").over(EVERY)})
+    upto = counts.withColumns({"upto": F.sum("count").over(Window.orderBy("e")), "n": F.sum("count").over(Window.partitionBy())})
     need = F.least(F.ceil((F.col("n") + 1) * coverage), F.col("n"))
     return upto.where(F.col("upto") >= need).groupBy("n").agg(F.min("e").alias("width"))
 
