@@ -236,7 +236,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least:
     the paragraph.  Null texts have no paragraphs; null ids, repeated rows and empty tables are kept as they are.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    chosen = docs.select(F.col(id_col).alias("_id"), text.alias("_text")).orderBy(F.xxhash64("_id"), "_id", F.xxhash64("_text")).limit(fit_documents)
+    base = docs.select(F.col(id_col).alias("_id"), text.alias("_text"))
+    least_ids = base.select("_id").where("_id IS NOT NULL").distinct().orderBy(F.xxhash64("_id"), "_id").limit(fit_documents)
+    chosen = base.join(F.broadcast(least_ids), "_id", "left_semi")
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
