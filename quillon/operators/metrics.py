@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -228,13 +229,17 @@ def bootstrap(df: DataFrame, label: str, score: str, resamples: int = 200, seed:
 
 
 def _poisson(mean: Column, u: Column) -> Column:
-    """The Poisson quantile of u for small means."""
-    term, total, out = F.exp(-mean), F.exp(-mean), F.lit(0)
-    for k in range(1, 24):
-        out = out + (u > total).cast("int")
-        term = term * mean / k
-        total = total + term
-    return out.cast("double")
+    """The Poisson quantile of u for whole means under 8, from the distribution functions."""
+    tables = []
+    for m in range(8):
+        term = total = math.exp(-m)
+        row = [total]
+        for k in range(1, 28):
+            term *= m / k
+            total += term
+            row.append(total)
+        tables.append(F.array(*map(F.lit, row)))
+    return F.size(F.filter(F.element_at(F.array(*tables), mean.cast("int") + 1), lambda c: c < u)).cast("double")
 
 
 def paired_difference(a: DataFrame, b: DataFrame, key: str, label: str, score: str, resamples: int = 200, seed: int = 42) -> DataFrame:
