@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
+from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.feature import Imputer, MinMaxScaler, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,12 +40,47 @@ def distance_space(df: DataFrame, numbers: list[str], texts: list[str] | None =
     return out, model
 
 
-def fit(df: DataFrame, algorithm: str, k: int, seed: int = 42):
-    """kmeans and minibatch_kmeans share one distributed fit; hierarchical is divisive, without a row limit; gmm is full covariance."""
-    made = {"kmeans": KMeans, "minibatch_kmeans": KMeans, "hierarchical": BisectingKMeans, "gmm": GaussianMixture}
-    if algorithm not in made:
+class Merged:
+    """A k-means fit with many centres whose centres were merged into fewer segments."""
+
+    def __init__(self, model, segment_of: list[int]) -> None:
+        self.model, self.segment_of = model, segment_of
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        lookup = F.array(*map(F.lit, self.segment_of))
+        return self.model.transform(df).withColumn("segment", F.element_at(lookup, F.col("segment") + 1))
+
+
+def merge_centres(centres: np.ndarray, sizes: np.ndarray, k: int) -> list[int]:
+    """Ward's merges of weighted centres down to k groups."""
+    groups = [[i] for i in range(len(centres))]
+    centres, sizes = [c for c in centres], [float(s) for s in sizes]
+    while len(groups) > k:
+        cost, i, j = min((sizes[i] * sizes[j] / max(sizes[i] + sizes[j], 1e-9) * float(((centres[i] - centres[j]) ** 2).sum()), i, j) for i in range(len(groups)) for j in range(i + 1, len(groups)))
+        total = sizes[i] + sizes[j]
+        centres[i] = (centres[i] * sizes[i] + centres[j] * sizes[j]) / max(total, 1e-9)
+        sizes[i] = total
+        groups[i] += groups.pop(j)
+        centres.pop(j)
+        sizes.pop(j)
+    owner = {m: g for g, members in enumerate(groups) for m in members}
+    return [owner[m] for m in range(len(owner))]
+
+
+def fit(df: DataFrame, algorithm: str, k: int, seed: int = 42, micro: int = 40):
+    """kmeans and minibatch_kmeans share one distributed fit; gmm has full covariances, the likeliest of five starts.
+
+    hierarchical merges `micro` k-means centres by Ward's criterion, so it has no row limit and new rows are assigned.
+    """
+    one = lambda c, k, s: c(k=k, seed=s, featuresCol="space", predictionCol="segment").fit(df)
+    if algorithm in ("kmeans", "minibatch_kmeans"):
+        return one(KMeans, k, seed)
+    if algorithm == "gmm":
+        return max((one(GaussianMixture, k, seed + i) for i in range(5)), key=lambda m: m.summary.logLikelihood)
+    if algorithm != "hierarchical":
         raise ValueError(f"no algorithm {algorithm!r}")
-    return made[algorithm](k=k, seed=seed, featuresCol="space", predictionCol="segment").fit(df)
+    model = one(KMeans, max(k, micro), seed)
+    return Merged(model, merge_centres(np.array(model.clusterCenters()), np.array(model.summary.clusterSizes), k))
 
 
 def nearest_centre(df: DataFrame, centres: DataFrame, vector: str = "embedding", key: str = "vec_id") -> DataFrame:
