@@ -1,0 +1,19 @@
+"""The queries of this subpackage with SQL give the SQL's rows."""
+
+import duckdb
+import pytest
+
+from quillon.llm.queries import ORACLES, QUERIES
+from verify import TABLES, rows_of
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_query_equals_sql(spark, name):
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    df = QUERIES[name](spark, SF)
+    cur = con.execute(ORACLES[name])
+    assert rows_of(df.columns, [tuple(r) for r in df.collect()]) == rows_of([d[0] for d in cur.description], cur.fetchall())
