@@ -20,18 +20,33 @@ def tokens(name: str) -> list[str]:
     return re.findall(r"[a-z]+|\d+", re.sub(r"([a-z])([A-Z])", r"\1_\2", name).lower())
 
 
+def distinct_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column_name, n_distinct) of all columns over one grouping of (column, value), which is pre-aggregated.
+
+    Several distinct counts in one aggregation would repeat every row with all its columns instead.
+    """
+    pairs = stacked(df, columns, [], kind="string").where("value IS NOT NULL").distinct()
+    return pairs.groupBy("column_name").agg(F.count("*").alias("n_distinct"))
+
+
+def with_distinct(stats: DataFrame, df: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows per column with their n_distinct; both sides have one row for each column."""
+    return stats.join(F.broadcast(distinct_counts(df, columns)), "column_name", "left").withColumn("n_distinct", F.coalesce("n_distinct", F.lit(0)))
+
+
 def profile(df: DataFrame) -> DataFrame:
-    """(column_name, dtype, n, missing, n_distinct, mean, std, min, median, max) of every column, in one aggregation."""
+    """(column_name, dtype, n, missing, n_distinct, mean, std, min, median, max) of every column."""
     numbers = set(numeric_columns(df))
     null = F.lit(None).cast("double")
     made = []
     for c in df.columns:
         x = F.col(c).cast("double")
-        parts = [F.count("*").alias("n"), F.count_if(F.col(c).isNull()).alias("missing"), F.count_distinct(F.col(c).cast("string") if c not in numbers else F.col(c)).alias("n_distinct")]
+        parts = [F.count("*").alias("n"), F.count_if(F.col(c).isNull()).alias("missing")]
         kinds = (("mean", F.avg), ("std", F.stddev_samp), ("min", F.min), ("median", F.median), ("max", F.max))
         parts += [(F.when(F.count(x) > 1, f(x)) if k == "std" else f(x)).alias(k) if c in numbers else null.alias(k) for k, f in kinds]
         made.append(F.struct(F.lit(c).alias("column_name"), F.lit(df.schema[c].dataType.simpleString()).alias("dtype"), *parts))
-    return df.agg(F.array(*made).alias("_a")).select(F.explode("_a").alias("_p")).select("_p.*")
+    stats = df.agg(F.array(*made).alias("_a")).select(F.explode("_a").alias("_p")).select("_p.*")
+    return with_distinct(stats, df, df.columns).select("column_name", "dtype", "n", "missing", "n_distinct", "mean", "std", "min", "median", "max")
 
 
 def missingness(df: DataFrame) -> DataFrame:
@@ -107,9 +122,10 @@ def identifiers(df: DataFrame, target: str | None = None) -> DataFrame:
     made = []
     for c in columns:
         whole = F.coalesce(F.avg((F.col(c).cast("double") % 1 == 0).cast("double")) == 1, F.lit(False)) if c in numbers else F.lit(False)
-        ratio = F.try_divide(F.count_distinct(c).cast("double"), F.count(c).cast("double"))
-        made.append(F.struct(F.lit(c).alias("column_name"), F.count_distinct(c).alias("n_distinct"), ratio.alias("ratio"), whole.alias("integer_like"), F.lit(c in texts).alias("is_text")))
-    out = df.agg(F.array(*made).alias("_a")).select(F.explode("_a").alias("_p")).select("_p.*")
+        made.append(F.struct(F.lit(c).alias("column_name"), F.count(c).alias("_n"), whole.alias("integer_like"), F.lit(c in texts).alias("is_text")))
+    stats = df.agg(F.array(*made).alias("_a")).select(F.explode("_a").alias("_p")).select("_p.*")
+    ratio = F.try_divide(F.col("n_distinct").cast("double"), F.col("_n").cast("double"))
+    out = with_distinct(stats, df, columns).select("column_name", "n_distinct", ratio.alias("ratio"), "integer_like", "is_text")
     strong = [c for c in columns if set(tokens(c)) & set(ID_WORDS)]
     weak = [c for c in columns if set(tokens(c)) & set(WEAK_ID_WORDS)]
     name, text = F.col("column_name"), F.col("is_text")
@@ -259,19 +275,19 @@ def profile_features(df: DataFrame, target: str, positive, key: str) -> DataFram
     null = F.lit(None).cast("double")
     made = [
         F.struct(
-            F.lit(c).alias("column_name"), F.avg(F.col(c).isNull().cast("double")).alias("missing_share"), F.count_distinct(c).alias("n_distinct"),
+            F.lit(c).alias("column_name"), F.avg(F.col(c).isNull().cast("double")).alias("missing_share"),
             (F.median(F.when(pos, F.col(c).cast("double"))) if c in numbers else null).alias("median_pos"),
             (F.median(F.when(~pos, F.col(c).cast("double"))) if c in numbers else null).alias("median_neg"),
         )
         for c in columns
     ]
     out = df.agg(F.array(*made).alias("_a")).select(F.explode("_a").alias("_p")).select("_p.*")
-    out = out.join(single_column_auc(df, target, positive, key), "column_name", "left")
+    out = with_distinct(out, df, columns).join(single_column_auc(df, target, positive, key), "column_name", "left")
     flag = (
         F.when(F.col("n_distinct") <= 1, "constant").when(F.col("missing_share") > 0.5, "mostly_missing")
         .when(F.col("auc") >= 0.98, "leakage_suspect").when(F.col("auc") < 0.55, "weak_alone").otherwise("ok")
     )
-    return out.withColumn("flag", flag)
+    return out.select("column_name", "missing_share", "n_distinct", "median_pos", "median_neg", "auc", flag.alias("flag"))
 
 
 def label_rule(df: DataFrame, target: str, positive, column: str) -> DataFrame:
