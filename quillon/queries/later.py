@@ -99,7 +99,7 @@ def gower_medoids(spark, d):
 
 
 def li_key(spark, d):
-    return table(spark, d, "lineitem").withColumn("k", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
+    return table(spark, d, "lineitem").withColumn("k", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.floor("l_extendedprice")))
 
 
 Z = ["l_quantity", "l_extendedprice", "l_discount"]
@@ -111,7 +111,7 @@ def robust_reference(spark, d):
     return rounded(anomaly.robust_reference(table(spark, d, "lineitem"), Z))
 
 
-LONG = " UNION ALL ".join(f"SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS k, '{c}' AS column_name, {c}::DOUBLE AS value FROM lineitem" for c in Z)
+LONG = " UNION ALL ".join(f"SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, floor(l_extendedprice)::BIGINT) AS k, '{c}' AS column_name, {c}::DOUBLE AS value FROM lineitem" for c in Z)
 
 
 @R.add(f"""WITH r AS ({REF}), x AS ({LONG}), z AS (SELECT k, column_name, round((value - centre) / scale, 2) AS z FROM x JOIN r USING (column_name)),
@@ -123,7 +123,7 @@ def row_reasons(spark, d):
 
 
 SCORE = "round(abs(l_quantity - 25) / 25 + l_discount * 3, 4)"
-SCORES = f"s AS (SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS k, {SCORE} AS score, (l_returnflag = 'R')::INT AS y FROM lineitem)"
+SCORES = f"s AS (SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, floor(l_extendedprice)::BIGINT) AS k, {SCORE} AS score, (l_returnflag = 'R')::INT AS y FROM lineitem)"
 
 
 def scores(spark, d):
@@ -146,7 +146,7 @@ def score_distribution(spark, d):
     return rounded(anomaly.score_percentiles(scores(spark, d), ["y"]), 5)
 
 
-@R.add("""WITH p AS (SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS k, (rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2) / count(*) OVER () AS a,
+@R.add("""WITH p AS (SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, floor(l_extendedprice)::BIGINT) AS k, (rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2) / count(*) OVER () AS a,
   (rank() OVER (ORDER BY l_discount) + (count(*) OVER (PARTITION BY l_discount) - 1) / 2) / count(*) OVER () AS b FROM lineitem)
 SELECT k, round((a + b) / 2, 9) AS consensus FROM p""")
 def rank_consensus(spark, d):
@@ -157,7 +157,7 @@ TAILS = "t{i} AS (SELECT {c} AS v, -ln(sum(count(*)) OVER (ORDER BY {c}) / sum(c
 ECOD = ", ".join(TAILS.format(i=i, c=c) for i, c in enumerate(("l_quantity", "l_extendedprice")))
 
 
-@R.add(f"""WITH {ECOD} SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS k, round(greatest(t0.l + t1.l, t0.r + t1.r, CASE WHEN w0.neg THEN t0.l ELSE t0.r END + CASE WHEN w1.neg THEN t1.l ELSE t1.r END), 5) AS score
+@R.add(f"""WITH {ECOD} SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, floor(l_extendedprice)::BIGINT) AS k, round(greatest(t0.l + t1.l, t0.r + t1.r, CASE WHEN w0.neg THEN t0.l ELSE t0.r END + CASE WHEN w1.neg THEN t1.l ELSE t1.r END), 5) AS score
 FROM lineitem JOIN t0 ON t0.v = l_quantity JOIN t1 ON t1.v = l_extendedprice, w0, w1""")
 def ecod_scores(spark, d):
     return rounded(anomaly.ecod(li_key(spark, d), ["l_quantity", "l_extendedprice"], ["k"]), 5)
@@ -220,14 +220,14 @@ W = {"l_quantity": 0.02, "l_discount": -3.0, "l_tax": 1.5}
 M = {"l_quantity": 25.0, "l_discount": 0.05, "l_tax": 0.04}
 
 
-@R.add("""SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS k, round(0.02 * (l_quantity - 25), 6) + 0.0 AS phi_quantity, round(-3 * (l_discount - 0.05), 6) + 0.0 AS phi_discount, round(1.5 * (l_tax - 0.04), 6) + 0.0 AS phi_tax,
+@R.add("""SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, floor(l_extendedprice)::BIGINT) AS k, round(0.02 * (l_quantity - 25), 6) + 0.0 AS phi_quantity, round(-3 * (l_discount - 0.05), 6) + 0.0 AS phi_discount, round(1.5 * (l_tax - 0.04), 6) + 0.0 AS phi_tax,
 round(0.1 + 0.02 * l_quantity - 3 * l_discount + 1.5 * l_tax, 6) + 0.0 AS total FROM lineitem""")
 def linear_attribution(spark, d):
     out = explain.linear_attribution(li_key(spark, d), "k", W, M, 0.1)
     return rounded(out.select("k", *(F.element_at("phi", i + 1)["value"].alias(f"phi_{c[2:]}") for i, c in enumerate(W)), "total"))
 
 
-@R.add("""WITH s AS (SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS k, 0.1 + 0.02 * l_quantity - 3 * l_discount + 1.5 * l_tax AS a, 0.1 + 0.02 * l_quantity - 3 * l_discount + 1.5 * 0.04 AS b FROM lineitem)
+@R.add("""WITH s AS (SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, floor(l_extendedprice)::BIGINT) AS k, 0.1 + 0.02 * l_quantity - 3 * l_discount + 1.5 * l_tax AS a, 0.1 + 0.02 * l_quantity - 3 * l_discount + 1.5 * 0.04 AS b FROM lineitem)
 SELECT k, (a >= 0.4)::INT AS class, round(a, 6) + 0.0 AS probability, 0.4::DOUBLE AS threshold, round(a - 0.4, 6) + 0.0 AS margin FROM s""")
 def decision_records(spark, d):
     s = li_key(spark, d).withColumn("s", 0.1 + 0.02 * F.col("l_quantity") - 3 * F.col("l_discount") + 1.5 * F.col("l_tax"))
