@@ -120,8 +120,11 @@ def trie_links(values: np.ndarray, groups: list[tuple[int, int, int, int]], star
             continue
         small = (pairs[:, 1] - pairs[:, 0]) * (pairs[:, 3] - pairs[:, 2]) <= 16
         if level == 64:
-            _equal_values(forest, pairs[same & ~small], alike)
-            small = small | ~same
+            for lo, hi, _, _ in pairs[same & ~small].tolist():
+                _reach(forest, np.arange(lo, hi), None, alike)
+            near = np.bitwise_count(values[pairs[:, 0]] ^ values[pairs[:, 2]]) <= budget
+            for lo, hi, low, high in pairs[~same & ~small & near].tolist():
+                _reach(forest, np.arange(lo, hi), np.arange(low, high), alike)
         if small.any():
             a, b = _expand(pairs[small], same[small])
             near = np.bitwise_count(values[a] ^ values[b]) <= budget
@@ -163,17 +166,31 @@ def _expand(pairs: np.ndarray, same: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return a[keep], b[keep]
 
 
-def _equal_values(forest: _Forest, ranges: np.ndarray, alike) -> None:
-    """Links within ranges of one value: each position is compared with those not yet connected to it."""
-    for lo, hi, _, _ in ranges.tolist():
-        for i in range(lo + 1, hi):
-            heads = np.unique([forest.root(j) for j in range(lo, i)]) if i - lo < 64 else np.array(sorted({forest.root(j) for j in (lo, i - 1)}))
-            good = alike(np.full(len(heads), i), heads)
-            forest.join(np.full(int(good.sum()), i), heads[good])
-            if not good.any():
-                others = np.arange(lo, i)
-                good = alike(np.full(len(others), i), others)
-                forest.join(np.full(int(good.sum()), i), others[good])
+def _reach(forest: _Forest, left: np.ndarray, right: np.ndarray | None, alike) -> None:
+    """Links within positions of one value (right None), or between those of two values, until nothing more is reached.
+
+    Whatever has been reached is compared once with all that has not (between two values: on the other side), so a
+    component costs its size times what is left outside it, and no link between two components is passed over.
+    """
+    sides = [left, left if right is None else right]
+    turn = 0 if right is None else 1
+    if right is not None and len({forest.root(j) for side in sides for j in side.tolist()}) == 1:
+        return
+    rest, queue = list(sides), []
+    while len(rest[0]) and len(rest[turn]) or queue:
+        if not queue:
+            queue.append((0, int(rest[0][0])))
+            rest[0] = rest[0][1:]
+        side, i = queue.pop()
+        other = side ^ turn
+        good = np.empty(len(rest[other]), bool)
+        for s in range(0, len(good), 1 << 16):
+            part = rest[other][s : s + (1 << 16)]
+            good[s : s + (1 << 16)] = alike(np.full(len(part), i), part)
+        found = rest[other][good]
+        forest.join(np.full(len(found), i), found)
+        queue.extend((other, j) for j in found.tolist())
+        rest[other] = rest[other][~good]
 
 
 def _rotations(budget: int) -> list[tuple[int, int]]:

@@ -96,3 +96,14 @@ def test_verified_sets(spark):
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     found = simhash_components(docs, n=1, budget=3, seeds=(1, 2, 3, 4), as_set=True, verify=5, least=0.7)
     assert {r.doc_id: r.component_id for r in found.collect()} == {i: i - i % 2 for i in texts}
+
+
+@pytest.mark.parametrize("values", [[7] * 130, [7] * 65 + [15] * 65])
+def test_equal_fingerprints_whose_sketches_form_chains(values):
+    rng = np.random.default_rng(4)
+    for _ in range(20):
+        place = rng.permutation(180)[: len(values)]  # neighbours on a line are alike, and the line has gaps
+        alike = lambda a, b: np.abs(place[a] - place[b]) == 1
+        links = trie_links(np.array(values, np.uint64), [(0, len(values), 0, len(values))], 0, 2, alike)
+        assert all(abs(int(place[a]) - int(place[b])) == 1 for a, b in links)
+        assert len(links) == sum(int(x) + 1 in set(place.tolist()) for x in place)
