@@ -7,17 +7,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm.exact_dedup import exact_dedup
+from quillon.llm.jaccard import near_components
 from quillon.llm.mixing import mix
 from quillon.llm.packing import pack
 from quillon.llm.quality import document_quality
-from quillon.llm.simhash import simhash_components
 from quillon.session import materialise, table
 
 #: The stages use the language libraries and models above, which SQL cannot express.
 ORACLE_SQL = None
-#: Near duplicates: sketches of five-word shingles that agree in this share stand for a similarity of 0.8 or more; a
-#: sketch of 64 values estimates it with a standard error of 0.05, and two of these are allowed for.
+#: Near duplicates are found first by fingerprints and sketches; links, theirs and the rest, are exact similarities of
+#: five-word shingles of SIMILAR or more.
 NEAR = {"n": 1, "as_set": True, "budget": 3, "seeds": (42, 43, 44, 45, 46, 47), "verify": 5, "least": 0.7}
+SIMILAR = 0.8
 
 
 def only(docs: DataFrame, kept: DataFrame) -> DataFrame:
@@ -38,7 +39,7 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates, the document with the smallest id stays."""
-    return only(docs, simhash_components(docs, **NEAR).where("doc_id <=> component_id"))
+    return only(docs, near_components(docs, SIMILAR, **NEAR).where("doc_id <=> component_id"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -271,6 +271,20 @@ def simhash_components(
     Null and blank texts have fingerprint zero and link like any other.  Null ids: such rows take the component of the
     smallest id with their fingerprint, null if there is none.  Repeated rows fall into one component.
     """
+    prints, nodes, links = simhash_links(docs, id_col, text_col, n, budget, seeds, as_set, verify, least, salts)
+    parts = components(links)
+    found = nodes.join(parts, "node", "left").select("fps", "mark", F.coalesce("component", "node").alias("component_id"))
+    return salted_left_join(prints, found, ["fps", "mark"], F.col("_id"), salts).select(
+        F.col("_id").alias(id_col),
+        F.lower(F.lpad(F.hex(F.element_at("fps", 1)), 16, "0")).alias("fingerprint"),
+        "component_id",
+    )
+
+
+def simhash_links(
+    docs: DataFrame, id_col: str, text_col: str, n: int, budget: int, seeds: tuple[int, ...], as_set: bool, verify: int, least: float, salts: int = 16
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (_id, fps, mark) of docs, (fps, mark, node) of the different ones, and links (u, v) that span their components."""
     prints = materialise(
         docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).mapInArrow(
             _fingerprints(n, seeds, as_set, verify), "_id long, fps array<long>, mark binary"
@@ -294,13 +308,7 @@ def simhash_components(
     else:
         rows = rows.withColumn("p", F.lit(0).cast("long")).withColumn("q", F.lit(0).cast("long"))
     links = rows.repartition("f", "r", "block", "p", "q").select("f", "r", "p", "q", "fp", "node", "mark").mapInArrow(_traverse(budget, least), "u long, v long")
-    parts = components(links)
-    found = nodes.join(parts, "node", "left").select("fps", "mark", F.coalesce("component", "node").alias("component_id"))
-    return salted_left_join(prints, found, ["fps", "mark"], F.col("_id"), salts).select(
-        F.col("_id").alias(id_col),
-        F.lower(F.lpad(F.hex(F.element_at("fps", 1)), 16, "0")).alias("fingerprint"),
-        "component_id",
-    )
+    return prints, nodes, links
 
 
 def _opened(rows: DataFrame, large: DataFrame, rotations: list[tuple[int, int]], budget: int, salts: int) -> DataFrame:
