@@ -123,6 +123,11 @@ class Scanner:
         rng = random.Random(SEED)
         self.families = [*TEMPLATES, UNKNOWN]
         self.templates = {f: [set(zip(w, w[1:], strict=False)) for w in map(_words, map(str.lower, texts))] for f, texts in TEMPLATES.items()}
+        self.holders: dict[tuple[str, str], list[tuple[str, int]]] = {}  # of a word pair, the templates with it
+        for f, templates in self.templates.items():
+            for i, t in enumerate(templates):
+                for pair in t:
+                    self.holders.setdefault(pair, []).append((f, i))
         vocabulary = sorted(set().union(*(grams(_words(t.lower())) for texts in TEMPLATES.values() for t in texts)))
         self.code = {g: i for i, g in enumerate(vocabulary)}
         fillers = [w for t in negatives for w in _words(t.lower())[:200]] or ["word"]
@@ -208,19 +213,59 @@ class Scanner:
         share, name = max(best)
         return name, share
 
+    def probabilities(self, words: list[str]) -> np.ndarray | None:
+        """Of each family, None if no word is known."""
+        codes = self.codes(words)
+        return softmax(((self.weights[codes].sum(0) + self.weights[-1]) * self.sharpness)[None])[0] if codes else None
+
     def classify(self, paragraph: str, least: float, contained: float) -> tuple[str, float, float] | None:
         """(family, probability, contained share of its template), or None for unknown."""
         words = _words(paragraph.lower())
-        codes = self.codes(words)
-        if not codes:
+        p = self.probabilities(words)
+        if p is None:
             return None
-        p = softmax(((self.weights[codes].sum(0) + self.weights[-1]) * self.sharpness)[None])[0]
         k = int(p.argmax())
         if self.families[k] == UNKNOWN or p[k] < least:
             return None
         _, share = self.confirmed(words, self.families[k])
         return (self.families[k], float(p[k]), share) if share >= contained else None
 
+    def classify_all(self, paragraph: str, least: float, contained: float) -> list[tuple[str, float, float]]:
+        """What classify returns, and every other family that it returns for a window of the paragraph around a template."""
+        first = self.classify(paragraph, least, contained)
+        found = {first[0]: first} if first else {}
+        words = _words(paragraph.lower())
+        places: dict[tuple[str, int], list[int]] = {}
+        for at, pair in enumerate(zip(words, words[1:], strict=False)):
+            for holder in self.holders.get(pair, ()):
+                places.setdefault(holder, []).append(at)
+        for (family, i), at in places.items():
+            if family not in found:
+                for lo, hi in windows(words, at, len(self.templates[family][i]), contained):
+                    p = self.probabilities(words[lo:hi])
+                    k = self.families.index(family)
+                    if p is not None and p[k] >= least and int(p.argmax()) == k:
+                        found[family] = (family, float(p[k]), self.confirmed(words[lo:hi], family)[1])
+                        break
+        return list(found.values())
+
+
+def windows(words: list[str], at: list[int], size: int, contained: float) -> Iterator[tuple[int, int]]:
+    """Ranges of words, a third longer than a template of `size` pairs at most, with the share of its pairs, which stand at `at`."""
+    seen: dict[tuple[str, str], int] = {}
+    reach, lo = size + size // 3 + 4, 0
+    for b in at:
+        pair = (words[b], words[b + 1])
+        seen[pair] = seen.get(pair, 0) + 1
+        while at[lo] <= b - reach:
+            old = (words[at[lo]], words[at[lo] + 1])
+            seen[old] -= 1
+            if not seen[old]:
+                del seen[old]
+            lo += 1
+        if len(seen) >= contained * size:
+            yield at[lo], b + 2
+
 
 def softmax(x: np.ndarray) -> np.ndarray:
     e = np.exp(x - x.max(1, keepdims=True))
@@ -233,7 +278,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least:
     The classifier is fitted on the templates above, varied, and on paragraphs of at most `fit_documents` documents as
     the unknown class; every paragraph of every document is then classified.  A prediction counts if its calibrated
     probability is at least `least` and at least `contained` of the word pairs of one of its family's templates stand in
-    the paragraph.  Null texts have no paragraphs; null ids, repeated rows and empty tables are kept as they are.
+    the paragraph, or both in a window of it; so a paragraph may have several families.  Null texts have no paragraphs; null ids, repeated rows and empty tables are kept as they are.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(F.col(id_col).alias("_id"), text.alias("_text"))
@@ -256,8 +301,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least:
             for t in (x.as_py() for x in batch.column("_text")):
                 parts = paragraphs(t)
                 sizes.append(len(parts))
-                hits = [(i, scanner.classify(p, least, contained)) for i, p in enumerate(parts)]
-                found.append([{"paragraph": i, "family": h[0], "probability": h[1], "contained": h[2]} for i, h in hits if h])
+                hits = [(i, h) for i, p in enumerate(parts) for h in scanner.classify_all(p, least, contained)]
+                found.append([{"paragraph": i, "family": h[0], "probability": h[1], "contained": h[2]} for i, h in hits])
             yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(sizes, pa.int64()), pa.array(found, shape)], names=["_id", "n_paragraphs", "found"])
 
     schema = f"_id {kind}, n_paragraphs long, found array<struct<paragraph:int,family:string,probability:double,contained:double>>"
@@ -269,7 +314,7 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents")).select(
         "doc_id",
         "n_paragraphs",
-        F.size("found").cast("long").alias("n_license_paragraphs"),
+        F.size(F.array_distinct("found.paragraph")).cast("long").alias("n_license_paragraphs"),
         F.array_join(F.array_sort(F.array_distinct("found.family")), ",").alias("families"),
         best["f"].alias("family"),
         best["p"].alias("probability"),

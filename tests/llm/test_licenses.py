@@ -27,3 +27,17 @@ def test_edges(spark):
     assert sorted((r.doc_id or 0, r.n_paragraphs, tuple(f.family for f in r.found)) for r in got) == [(0, 2, ("MIT",)), (1, 0, ()), (2, 0, ()), (3, 1, ()), (3, 1, ()), (3, 1, ("MIT",))]
     assert scan(spark.createDataFrame(rows, "doc_id long, text string, found string").limit(0)).count() == 0
     assert paragraphs("a\nb.\nc\n\nd") == ["a b.", "c", "d"]
+
+
+def test_several_notices_in_one_paragraph(spark):
+    spdx = lambda *names: "\n".join(f"SPDX-License-Identifier: {n}" for n in names)
+    texts = {
+        1: ("MIT", "Apache-2.0"), 2: ("ISC", "MPL-2.0", "CC0-1.0"), 3: ("Apache-2.0",),
+    }
+    rows = [(i, spdx(*names)) for i, names in texts.items()]
+    rows.append((4, "word " * 300 + "released under the MIT License " + "word " * 300 + "licensed under CC BY-SA 4.0 " + "word " * 300))
+    rows.append((5, " ".join(t.rstrip(".") for t in OTHERS)))
+    texts |= {4: ("MIT", "CC-BY-SA-4.0"), 5: ()}
+    got = {r.doc_id: r for r in scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: sorted(f.family for f in r.found) for i, r in got.items()} == {i: sorted(names) for i, names in texts.items()}
+    assert [r.n_paragraphs for r in got.values()] == [1] * 5
