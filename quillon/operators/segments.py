@@ -94,15 +94,15 @@ def nearest_centre(df: DataFrame, centres: DataFrame, vector: str = "embedding",
     return df.crossJoin(c).select(key, best.alias("_b")).select(key, F.col("_b.c").alias("centre"), F.col("_b.d").alias("distance"))
 
 
-def k_medoids(df: DataFrame, k: int, fit_rows: int = 2000, n_init: int = 3, iterations: int = 20, seed: int = 42) -> DataFrame:
-    """df with `segment`: medoids of a hash sample of at most fit_rows rows under Manhattan distance; every row is assigned.
+def k_medoids(df: DataFrame, k: int, fit_rows: int = 2000, n_init: int = 3, iterations: int = 20, seed: int = 42, key: list[str] | None = None) -> DataFrame:
+    """df with `segment`: medoids of a sample (by key hash, else at random) of at most fit_rows rows under Manhattan distance; every row is assigned.
 
     Each start is one task over the sample; the start of least cost over all rows is kept.
     """
     from pyspark.ml.functions import vector_to_array
 
     rows = df.withColumn("_v", vector_to_array("space"))
-    sample = materialise(rows.select("_v").orderBy(F.xxhash64("_v")).limit(fit_rows).withColumn("start", F.explode(F.sequence(F.lit(0), F.lit(n_init - 1)))), "sample")
+    sample = materialise(rows.orderBy(F.xxhash64(*key, F.lit(seed)) if key else F.rand(seed)).limit(fit_rows).select("_v").withColumn("start", F.explode(F.sequence(F.lit(0), F.lit(n_init - 1)))), "sample")
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         x, rng = np.stack(pdf["_v"].to_numpy()), np.random.default_rng(seed + int(pdf["start"].iloc[0]))

@@ -95,7 +95,7 @@ def kmeans_stability(spark, d):
 @R.add()
 def gower_medoids(spark, d):
     space, _ = segments.distance_space(table(spark, d, "customer"), ["c_acctbal"], ["c_mktsegment"], gower=True)
-    return segments.k_medoids(space, 5, 400).groupBy("segment").agg(F.count("*").alias("n"))
+    return segments.k_medoids(space, 5, key=["c_custkey"]).groupBy("segment").agg(F.count("*").alias("n"))
 
 
 def li_key(spark, d):
@@ -170,12 +170,12 @@ def iforest_scores(spark, d):
 
 @R.add()
 def knn_scores(spark, d):
-    return anomaly.neighbours(li_key(spark, d), Z, ["k"], "knn", 10, 1000)
+    return anomaly.neighbours(li_key(spark, d), Z, ["k"], "knn", 10)
 
 
 @R.add()
 def lof_scores(spark, d):
-    return anomaly.neighbours(li_key(spark, d), Z, ["k"], "lof", 10, 1000)
+    return anomaly.neighbours(li_key(spark, d), Z, ["k"], "lof", 10)
 
 
 F4 = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]

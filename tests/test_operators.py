@@ -1,5 +1,7 @@
 """Planted answers and properties of the operators."""
 
+import inspect
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -270,3 +272,33 @@ def test_recipes_are_valid(spark):
         specs = recipe(name, **args.get(name, {}))
         assert len({s["name"] for s in specs}) == len(specs)
         assert all(s.get("agg") in events.AGGREGATES or s.get("op") in events.WINDOW_OPS for s in specs)
+
+
+def test_fits_on_samples_of_rows(spark):
+    df = spark.range(3000).select(F.col("id").alias("k"), (F.col("id") % 10 == 0).cast("double").alias("a"), (F.col("id") % 2).cast("double").alias("b"))
+    scores = lambda s: {r.a: r.score for r in s.join(df, "k").groupBy("a").agg(F.avg("score").alias("score")).collect()}
+    forest = scores(anomaly.isolation_forest(df, ["a"], ["k"], 20, 16))
+    assert forest[1.0] > forest[0.0]
+    near = anomaly.neighbours(df, ["b"], ["k"], "knn", 5, 1000)
+    assert near.agg(F.max("score")).first()[0] == 0
+    space, _ = segments.distance_space(df, ["b"], [])
+    for key in (["k"], None):
+        assert segments.k_medoids(space, 2, 100, key=key).groupBy("segment").count().count() == 2
+
+
+def test_queries_fit_on_the_default_rows(spark, sf, monkeypatch):
+    from quillon.queries import later
+
+    seen = {}
+    for module, name in ((anomaly, "neighbours"), (segments, "k_medoids")):
+        real = getattr(module, name)
+        default = inspect.signature(real).parameters["fit_rows"].default
+
+        def spy(*a, real=real, default=default, **k):
+            seen.setdefault(real.__name__, []).append(inspect.signature(real).bind(*a, **k).arguments.get("fit_rows", default) == default)
+            return real(*a, **k)
+
+        monkeypatch.setattr(module, name, spy)
+    for query in (later.knn_scores, later.lof_scores, later.gower_medoids):
+        query(spark, sf)
+    assert seen == {"neighbours": [True, True], "k_medoids": [True]}
