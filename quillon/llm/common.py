@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.session import materialise
+from quillon.session import discard, materialise
 
 #: Java form of the white space that every text contract uses: space and U+0009 to U+000D.
 SPACE = r"[\x20\x09-\x0D]"
@@ -24,7 +24,8 @@ def salted_left_join(left: DataFrame, right: DataFrame, keys: list[str], spread:
 
 
 def components(edges: DataFrame, salts: int = 8, most_rounds: int = 60) -> DataFrame:
-    """Connected components of the undirected edges (u long, v long): rows (node, component), component the least node.
+    """Connected components of the undirected edges (u long, v long): rows (node, component), component the least node,
+    which has no row itself.
 
     Alternates large-star and small-star steps; each step takes a least neighbour per node (pre-aggregated before its
     shuffle) and joins it back under salts, so a hub may hold any share of the edges.  Each round is written to the shared
@@ -56,11 +57,14 @@ def components(edges: DataFrame, salts: int = 8, most_rounds: int = 60) -> DataF
             .unionByName(least.select("u", F.col("m").alias("v")))
             .distinct()
         )
-        edges = materialise(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+        last, edges = edges, materialise(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+        discard(last)
         now = edges.agg(
             F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0)).alias("h")
         ).first()
         if now == before:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            out = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            out.written = edges.written
+            return out
         before = now
     raise RuntimeError("the components have not settled")

@@ -22,7 +22,7 @@ def chunks(text: Column) -> Column:
 def exact_dedup(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_hash: Callable[[Column], Column] = F.xxhash64, salts: int = 16
 ) -> DataFrame:
-    """Rows (id, keep_id, group_size, kept, text_sha256), one per row of docs.
+    """Rows (id, keep_id, group_size, kept, text_sha256, n_chars), one per row of docs; n_chars counts the original text's code points.
 
     Texts are equal if they are the same after all white space is deleted.  Every text becomes a recipe, the ordered list
     of its chunks' identifiers.  A chunk's identifier is its hash once all chunks with that hash have been seen to be the
@@ -65,6 +65,7 @@ def exact_dedup(
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
         (alone | (F.col("_id").eqNullSafe(F.col("keep_id")) & (F.col("_n") == F.col("_keep_n")))).alias("kept"),
         "text_sha256",
+        F.col("_n").alias("n_chars"),
     )
 
 
@@ -93,7 +94,7 @@ def _with_ordinals(listed: DataFrame, pieces: DataFrame, unlike: DataFrame, chun
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup(table(spark, sf_dir, "documents"))
+    return exact_dedup(table(spark, sf_dir, "documents")).drop("n_chars")
 
 
 SQL = r"""

@@ -7,18 +7,19 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.common import components, salted_left_join
 from quillon.llm.simhash import LOWER, shingle_hashes, simhash_links
-from quillon.session import materialise
+from quillon.session import discard, materialise
 
 #: Sets that one shingle may hold before their pairs are dealt out to several tasks.
 LARGE_KEY = 20_000
 #: Documents (about) whose shingles tell which are common, and common shingles at most; they change the work, not the result.
 ORDER_DOCUMENTS, ORDER_SHINGLES = 10_000, 50_000
+#: Pairs of one node that meet a copy of its set.
+PARTNERS = 2_000
 #: Pairs held before repeated ones are dropped.
 PAIRS = 1 << 20
 
@@ -28,66 +29,79 @@ def similar(shared: np.ndarray | int, a: np.ndarray | int, b: np.ndarray | int,
     return shared * (least.numerator + least.denominator) >= least.numerator * (a + b)
 
 
+def _hashes(raw: bytes | None, n: int) -> np.ndarray:
+    """The sorted set of hashed shingles of a text."""
+    return np.unique(shingle_hashes((raw or b"").translate(LOWER).split(), n))
+
+
 def _sets(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, marks, sets = [], [], []
-            for raw in batch.column("_text").cast(pa.binary()).to_pylist():
-                found = np.unique(shingle_hashes((raw or b"").translate(LOWER).split(), n))
-                sets.append(found.tobytes())
-                sizes.append(len(found))
-                marks.append(np.uint64(xxhash.xxh64_intdigest(sets[-1])).astype(np.int64))
-            arrays = [batch.column("_id"), pa.array(sizes, pa.int64()), pa.array(marks, pa.int64()), pa.array(sets, pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["_id", "size", "mark", "hashes"])
+            sets = [_hashes(raw, n).tobytes() for raw in batch.column("_text").cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(sets, pa.binary())], names=["_id", "hashes"])
 
     return run
 
 
-def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(batch.column("hashes").to_pylist()), np.int64))], names=["key"])
+def _elements(n: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_hashes(raw, n) for raw in batch.column("_text").cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.uint64), *found]).view(np.int64))], names=["key"])
 
+    return run
+
+
+def _prefixes(n: int, least: Fraction, common: np.ndarray, counts: np.ndarray):
+    """Of each set, in the order of rare shingles first, as many elements as a similar set cannot all lack.
 
-def _prefixes(least: Fraction, common: np.ndarray, counts: np.ndarray):
-    """Of each set, in the order of rare shingles first, as many elements as a similar set cannot all lack."""
+    Rows (key, node, place), place holding the size of the set and the position of the key, 32 bits each.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, lengths = [], []
-            for raw in batch.column("hashes").to_pylist():
-                x = np.frombuffer(raw, np.uint64)
-                if not len(x):
-                    continue
-                if len(common):
+            keys, places, lengths = [], [], []
+            for raw in batch.column("_text").cast(pa.binary()).to_pylist():
+                x = _hashes(raw, n)
+                if len(common) and len(x):
                     at = np.minimum(np.searchsorted(common, x), len(common) - 1)
                     x = x[np.lexsort((x, np.where(common[at] == x, counts[at], 0)))]
-                length = len(x) + int(-len(x) * least // 1) + 1
+                length = len(x) + int(-len(x) * least // 1) + 1 if len(x) else 0
                 keys.append(x[:length])
+                places.append((len(x) << 32) + np.arange(length))
                 lengths.append(length)
-            full = batch.column("size").to_numpy() > 0
-            lengths = np.array(lengths, np.int64)
-            at = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            rest = [np.repeat(batch.column(c).to_numpy()[full], lengths) for c in ("_id", "mark", "size")]
-            key = np.concatenate(keys).view(np.int64) if keys else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, *rest, at)], names=["key", "node", "mark", "size", "pos"])
+            node = np.repeat(batch.column("_id").to_numpy(), lengths)
+            joined = [np.concatenate([np.empty(0, np.int64), *(k.view(np.int64) for k in part)]) for part in (keys, places)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (joined[0], node, joined[1])], names=["key", "node", "place"])
 
     return run
 
 
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows in order, pairs of neighbours with the same fingerprints and sketch."""
+    last = None
+    for batch in batches:
+        us, vs = [], []
+        for node, fps, mark in zip(batch.column("_id").to_pylist(), batch.column("fps").to_pylist(), batch.column("mark").to_pylist(), strict=True):
+            if last is not None and last[1] == (fps, mark) and last[0] != node:
+                us.append(last[0])
+                vs.append(node)
+            last = node, (fps, mark)
+        yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+
+
 def _columns(batches: Iterator[pa.RecordBatch], names: list[str]) -> list[np.ndarray] | None:
     data = pa.Table.from_batches(batches) if (batches := list(batches)) else None
     return [data.column(c).to_numpy() for c in names] if data is not None and data.num_rows else None
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of equal sets the least node, and only keys that several different sets have."""
-    names = ["key", "node", "mark", "size", "pos"]
+    """Only the rows of keys that several nodes have."""
+    names = ["key", "node", "place"]
     if (found := _columns(batches, names)) is None:
         return
-    order = np.lexsort((found[1], found[2], found[0]))
+    order = np.argsort(found[0], kind="stable")
     found = [x[order] for x in found]
-    first = np.r_[True, (found[0][1:] != found[0][:-1]) | (found[2][1:] != found[2][:-1])]
-    found = [x[first] for x in found]
     equal = found[0][1:] == found[0][:-1]
     several = np.r_[False, equal] | np.r_[equal, False]
     yield pa.RecordBatch.from_arrays([pa.array(x[several]) for x in found], names=names)
@@ -97,11 +111,12 @@ def _pairs(least: Fraction):
     """Pairs of sets of different components around one key that their sizes and the places of the key don't rule out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = _columns(batches, ["key", "p", "q", "component", "node", "size", "pos", "own"])
+        found = _columns(batches, ["key", "p", "q", "component", "node", "place", "own"])
         if found is None:
             return
         order = np.lexsort(found[3::-1])
-        key, p, q, component, node, size, pos, own = (x[order] for x in found)
+        key, p, q, component, node, place, own = (x[order] for x in found)
+        size, pos = place >> 32, place & 0xFFFFFFFF
         n = len(order)
         cuts = np.flatnonzero((key[1:] != key[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])) + 1
         ends = np.repeat(np.r_[cuts, n], np.diff(np.r_[0, cuts, n]))
@@ -130,13 +145,25 @@ def _pairs(least: Fraction):
     return run
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, least: Fraction) -> DataFrame:
-    """The pairs (u, v) whose sets have a Jaccard similarity of `least` or more, computed from all their elements."""
+def _beside(pairs: DataFrame, many: DataFrame, held: DataFrame, side: str, name: str) -> DataFrame:
+    """pairs with the set of their node `side`; the sets of the nodes in `many` have copies, and their pairs are dealt out."""
+    pairs = salted_left_join(pairs, many, [side], F.xxhash64("u", "v")).withColumn("part", F.pmod(F.xxhash64("u", "v"), F.coalesce("parts", F.lit(1))))
+    sets = held.withColumnRenamed("_id", side).withColumnRenamed("hashes", name).join(many, side, "left")
+    sets = sets.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1)))
+    return pairs.drop("parts").join(sets.drop("parts"), [side, "part"]).drop("part")
+
+
+def _confirmed(pairs: DataFrame, texts: DataFrame, n: int, least: Fraction) -> DataFrame:
+    """The pairs (u, v) whose sets have a Jaccard similarity of `least` or more, computed from all their elements.
+
+    texts has (_id, _text); only the texts that the pairs need are cut into shingles again.
+    """
     pairs = materialise(pairs.where("u != v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs")
-    needed = pairs.select(F.col("u").alias("_id")).unionByName(pairs.select(F.col("v").alias("_id"))).distinct()
-    held = materialise(sets.join(needed, "_id", "left_semi").dropDuplicates(["_id", "mark"]).select("_id", "hashes"), "held")
-    both = pairs.join(held.select(F.col("_id").alias("u"), F.col("hashes").alias("a")), "u")  # (unsalted: the sets are large)
-    both = both.join(held.select(F.col("_id").alias("v"), F.col("hashes").alias("b")), "v")
+    needed = materialise(pairs.select(F.col("u").alias("_id")).unionByName(pairs.select(F.col("v").alias("_id"))).distinct(), "needed")
+    held = texts.join(needed, "_id", "left_semi").mapInArrow(_sets(n), "_id long, hashes binary").dropDuplicates(["_id"])
+    held = materialise(held, "held")
+    degree = lambda side: pairs.groupBy(side).agg(F.ceil(F.count("*") / F.lit(PARTNERS)).alias("parts")).where("parts > 1")
+    both = _beside(_beside(pairs, degree("u"), held, "u", "a"), degree("v"), held, "v", "b").select("u", "v", "a", "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -147,58 +174,73 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, least: Fraction) -> DataFrame:
                 good.append(similar(shared, len(x), len(y), least))
             yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], names=["u", "v"]).filter(pa.array(good, pa.bool_()))
 
-    return materialise(both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long"), "links")
+    found = materialise(both.mapInArrow(run, "u long, v long"), "links")
+    discard(held, needed, pairs)
+    return found
 
 
 def near_components(docs: DataFrame, similarity: float, id_col: str = "doc_id", text_col: str = "text", salts: int = 16, **search) -> DataFrame:
-    """Rows (id, component_id), one per row of docs: documents link if the sets of their shingles of search["verify"] words
-    (lower-cased A-Z, hashed to 64 bits) have a Jaccard similarity of `similarity` or more; all links are found.
+    """Rows (id, text_key, component_id, kept), one per row of docs: documents link if the sets of their shingles of
+    search["verify"] words (lower-cased A-Z, hashed to 64 bits) have a Jaccard similarity of `similarity` or more; all
+    links are found.  component_id is the smallest id that links reach; kept marks its row, of several with that id the one
+    with the least text_key, the SHA-256 of the text.
 
     Links of simhash_links(**search) come first and are confirmed; they join most of what is alike cheaply.  The others
     come from an exact prefix join: in one order of all shingles, here common ones last, two sets of that similarity share
     one of the first m - ceil(similarity m) + 1 elements of each, m being its own size.  Pairs that share
     one, in different components so far, are confirmed from the whole sets.
 
-    Blank texts link with each other.  Null ids take the component of the smallest id with their set, null if there is
-    none.  Repeated rows fall into one component.
+    Rows are told apart by a 64-bit hash of id and text, so different texts under one id are judged each for itself and
+    repeated rows are one document: all carry the same verdict.  Null and blank texts link with each other.  Null ids come
+    after all others; a component of null ids only has a null component_id.  Sets of very long texts are held one at a
+    time.  Other columns are ignored.  No rows give no rows.
     """
-    least = Fraction(str(similarity))
-    sets = materialise(
-        docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).mapInArrow(
-            _sets(search["verify"]), "_id long, size long, mark long, hashes binary"
-        ),
-        "sets",
-    )
-    nodes = materialise(sets.groupBy("mark").agg(F.min("_id").alias("node")), "nodes")
-    known = sets.where("_id IS NOT NULL")
-
-    prints, groups, links = simhash_links(docs, id_col, text_col, salts=salts, **search)
-    inside = salted_left_join(prints.where("_id IS NOT NULL"), groups, ["fps", "mark"], F.col("_id"), salts).where("_id != node")
-    inside = inside.select(F.col("_id").alias("u"), F.col("node").alias("v")).join(nodes.select(F.col("node").alias("u")), "u", "left_semi")
-    links = _confirmed(links.unionByName(inside), known, least)
-    before = components(links)
-
+    least, n = Fraction(str(similarity)), search["verify"]
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("text_key"), text.alias("_text"))
+    rows = rows.withColumn("_id", F.xxhash64("id", "_text"))
+    prints, groups, links = simhash_links(rows, "_id", "_text", salts=salts, carry=("id", "text_key"), **search)
+    whole = materialise(prints.groupBy("whole").agg(F.min("_id").alias("first"), F.max("_id").alias("last")), "whole")
+    equal = salted_left_join(prints.select("_id", "whole"), whole.where("first != last"), ["whole"], F.col("_id"), salts).where("_id != first")
+    equal = materialise(equal.select(F.col("_id").alias("u"), F.col("first").alias("v")).distinct(), "equal")
+    firsts = prints.select("_id", "fps", "mark").join(equal.select(F.col("u").alias("_id")), "_id", "left_anti")
+    lined = firsts.repartitionByRange("fps", "mark", "_id").sortWithinPartitions("fps", "mark", "_id").mapInArrow(_neighbours, "u long, v long")
+    links = _confirmed(links.unionByName(lined), rows, n, least)
+    before = components(links.unionByName(equal))
+
+    known = prints.select("_id")
     share = min(1.0, ORDER_DOCUMENTS / max(1, known.count()))
-    sample = known.where(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < round(share * 1_000_000)).select("hashes")
-    top = sample.mapInArrow(_elements, "key long").groupBy("key").count().where("count >= 4").orderBy(F.desc("count"), "key").limit(ORDER_SHINGLES).collect()
+    sample = rows.where(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < round(share * 1_000_000)).select("_text")
+    top = sample.mapInArrow(_elements(n), "key long").groupBy("key").count().where("count >= 4").orderBy(F.desc("count"), "key").limit(ORDER_SHINGLES).collect()
     common, counts = np.array([r[0] for r in top], np.int64).view(np.uint64), np.array([r[1] for r in top], np.int64)
     order = np.argsort(common)
 
-    keys = known.select("_id", "mark", "size", "hashes").mapInArrow(_prefixes(least, common[order], counts[order]), "key long, node long, mark long, size long, pos long")
-    shared = keys.repartition("key").mapInArrow(_shared, "key long, node long, mark long, size long, pos long").drop("mark")
-    shared = materialise(shared, "shared").join(before, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    shared = materialise(shared, "shared")
-    busy = shared.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key", "n")
+    keys = rows.select("_id", "_text").mapInArrow(_prefixes(n, least, common[order], counts[order]), "key long, node long, place long")
+    shared = materialise(keys.repartition("key").mapInArrow(_shared, "key long, node long, place long"), "shared")
+    placed = materialise(shared.join(before, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
+    busy = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key", "n")
     parts = F.ceil(F.col("n") / F.lit(LARGE_KEY))
-    rows = (
-        salted_left_join(shared, busy, ["key"], F.col("node"), 4)
+    dealt = (
+        salted_left_join(placed, busy, ["key"], F.col("node"), 4)
         .where("n IS NOT NULL")
         .withColumn("own", F.pmod(F.xxhash64("node"), parts))
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
-        .select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "component", "node", "size", "pos", "own")
+        .select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "component", "node", "place", "own")
+    )
+    pairs = dealt.repartition("key", "p", "q").mapInArrow(_pairs(least), "u long, v long")
+    more = _confirmed(pairs, rows, n, least)
+    discard(shared, placed, before)
+    found = components(links.unionByName(equal).unionByName(more))
+
+    named = salted_left_join(prints.select("_id", "id", "text_key"), found.withColumnRenamed("node", "_id"), ["_id"], F.col("_id"), 1)
+    named = materialise(named.withColumn("component", F.coalesce("component", "_id")), "named")
+    least_row = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_key")).alias("best")
+    best = named.groupBy("component").agg(least_row, F.count("*").alias("n")).where("n > 1").drop("n")
+    out = salted_left_join(named, best, ["component"], F.col("_id"), salts)
+    alone = F.col("best").isNull()
+    return out.select(
+        F.col("id").alias(id_col),
+        "text_key",
+        F.when(alone, F.col("id")).otherwise(F.col("best.id")).alias("component_id"),
+        (alone | (F.col("id").eqNullSafe(F.col("best.id")) & (F.col("text_key") == F.col("best.text_key")))).alias("kept"),
     )
-    pairs = rows.repartition("key", "p", "q").mapInArrow(_pairs(least), "u long, v long")
-    found = components(links.unionByName(_confirmed(pairs, known, least)))
-
-    named = nodes.join(found, "node", "left").select("mark", F.coalesce("component", "node").alias("component_id"))
-    return salted_left_join(sets.select("_id", "mark"), named, ["mark"], F.col("_id"), salts).select(F.col("_id").alias(id_col), "component_id")

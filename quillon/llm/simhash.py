@@ -18,7 +18,8 @@ LOWER = bytes(range(256)).lower()
 LARGE_TRIE = 50_000
 #: Node pairs handled at once.
 FRONTIER = 1 << 20
-BINS = 64
+#: Bytes of a MinHash sketch.
+BINS = 16
 
 
 def shingle_hashes(words: list[bytes], n: int, seed: int = 42) -> np.ndarray:
@@ -47,12 +48,12 @@ def majority(hashes: np.ndarray) -> int:
 
 
 def sketch(hashes: np.ndarray) -> bytes:
-    """One permutation MinHash: of each of 64 classes of hashes, a byte of the least (an empty class takes its neighbour's)."""
+    """One permutation MinHash: of each of 16 classes of hashes, a byte of the least (an empty class takes its neighbour's)."""
     if not len(hashes):
         return bytes(BINS)
     mixed = hashes * np.uint64(0x9E3779B97F4A7C15)  # (wraps)
     least = np.full(BINS, np.iinfo(np.uint64).max, np.uint64)
-    np.minimum.at(least, (mixed >> np.uint64(58)).astype(np.int64), mixed & np.uint64((1 << 58) - 1))
+    np.minimum.at(least, (mixed >> np.uint64(60)).astype(np.int64), mixed & np.uint64((1 << 60) - 1))
     full = np.flatnonzero(least != np.iinfo(np.uint64).max)
     where = full[np.searchsorted(full, np.arange(BINS)) % len(full)]
     return ((least[where] * np.uint64(0xFF51AFD7ED558CCD)) >> np.uint64(56)).astype(np.uint8).tobytes()
@@ -61,15 +62,17 @@ def sketch(hashes: np.ndarray) -> bytes:
 def _fingerprints(n: int, seeds: tuple[int, ...], as_set: bool, verify: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints, marks = [], []
+            prints, marks, whole = [], [], []
             for raw in batch.column("_text").cast(pa.binary()).to_pylist():
                 words = (raw or b"").translate(LOWER).split()
                 used = sorted(set(words)) if as_set else words
                 prints.append([np.uint64(majority(shingle_hashes(used, n, s))).astype(np.int64) for s in seeds])
-                marks.append(sketch(shingle_hashes(words, verify)) if verify else b"")
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("_id"), pa.array(prints, pa.list_(pa.int64())), pa.array(marks, pa.binary())], names=["_id", "fps", "mark"]
-            )
+                found = np.unique(shingle_hashes(words, verify)) if verify else np.empty(0, np.uint64)
+                marks.append(sketch(found) if verify else b"")
+                whole.append(xxhash.xxh128_digest(found.tobytes()) if verify else b"")
+            kept = [c for c in batch.schema.names if c != "_text"]
+            made = [pa.array(prints, pa.list_(pa.int64())), pa.array(marks, pa.binary()), pa.array(whole, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *made], names=[*kept, "fps", "mark", "whole"])
 
     return run
 
@@ -95,12 +98,13 @@ class _Forest:
                 self.links.append((a, b))
 
 
-def trie_links(values: np.ndarray, groups: list[tuple[int, int, int, int]], start: int, budget: int, alike) -> list[tuple[int, int]]:
+def trie_links(values: np.ndarray, groups: list[tuple[int, int, int, int]], start: int, budget: int, alike, bands: np.ndarray | None = None) -> list[tuple[int, int]]:
     """A spanning forest of the links among values, sorted 64-bit numbers whose ranges of a common prefix are trie nodes.
 
     groups are node pairs (from, to, from, to) to begin with; a node with itself stands for the pairs inside it.  Pairs of
     nodes go down together bit by bit; a pair whose paths differ in more than `budget` bits is dropped with all below it.
-    alike(i, j) confirms candidate positions.  A node pair at depth d has at most the sum of C(d, 0..budget) partners, so
+    alike(i, j) confirms candidate positions; of positions that it confirms, at least one column of bands is equal (None:
+    nothing is known).  A node pair at depth d has at most the sum of C(d, 0..budget) partners, so
     the work for distinct values grows with their number even if all lie close together.
     """
     forest = _Forest(len(values))
@@ -121,10 +125,10 @@ def trie_links(values: np.ndarray, groups: list[tuple[int, int, int, int]], star
         small = (pairs[:, 1] - pairs[:, 0]) * (pairs[:, 3] - pairs[:, 2]) <= 16
         if level == 64:
             for lo, hi, _, _ in pairs[same & ~small].tolist():
-                _reach(forest, np.arange(lo, hi), None, alike)
+                _reach(forest, np.arange(lo, hi), None, alike, bands)
             near = np.bitwise_count(values[pairs[:, 0]] ^ values[pairs[:, 2]]) <= budget
             for lo, hi, low, high in pairs[~same & ~small & near].tolist():
-                _reach(forest, np.arange(lo, hi), np.arange(low, high), alike)
+                _reach(forest, np.arange(lo, hi), np.arange(low, high), alike, bands)
         if small.any():
             a, b = _expand(pairs[small], same[small])
             near = np.bitwise_count(values[a] ^ values[b]) <= budget
@@ -166,31 +170,61 @@ def _expand(pairs: np.ndarray, same: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return a[keep], b[keep]
 
 
-def _reach(forest: _Forest, left: np.ndarray, right: np.ndarray | None, alike) -> None:
+def _reach(forest: _Forest, left: np.ndarray, right: np.ndarray | None, alike, bands: np.ndarray | None = None) -> None:
     """Links within positions of one value (right None), or between those of two values, until nothing more is reached.
 
-    Whatever has been reached is compared once with all that has not (between two values: on the other side), so a
-    component costs its size times what is left outside it, and no link between two components is passed over.
+    Whatever has been reached is compared once with what has not been (between two values: on the other side) and agrees
+    with it in a band, so no link between two components is passed over, and positions that are alike in nothing cost no
+    comparison.
     """
-    sides = [left, left if right is None else right]
     turn = 0 if right is None else 1
-    if right is not None and len({forest.root(j) for side in sides for j in side.tolist()}) == 1:
+    sides = [left, left if right is None else right][: turn + 1]
+    if turn and len({forest.root(j) for side in sides for j in side.tolist()}) == 1:
         return
-    rest, queue = list(sides), []
-    while len(rest[0]) and len(rest[turn]) or queue:
-        if not queue:
-            queue.append((0, int(rest[0][0])))
-            rest[0] = rest[0][1:]
-        side, i = queue.pop()
-        other = side ^ turn
-        good = np.empty(len(rest[other]), bool)
-        for s in range(0, len(good), 1 << 16):
-            part = rest[other][s : s + (1 << 16)]
-            good[s : s + (1 << 16)] = alike(np.full(len(part), i), part)
-        found = rest[other][good]
-        forest.join(np.full(len(found), i), found)
-        queue.extend((other, j) for j in found.tolist())
-        rest[other] = rest[other][~good]
+    low = [int(side[0]) for side in sides]
+    waiting = [np.ones(len(side), bool) for side in sides]
+    sorted_bands = []
+    if bands is not None:
+        for side in sides:
+            order = [np.argsort(bands[side, b], kind="stable") for b in range(bands.shape[1])]
+            sorted_bands.append([(o, bands[side[o], b]) for b, o in enumerate(order)])
+
+    def partners(i: int, side: int) -> np.ndarray:
+        if bands is None:
+            return np.flatnonzero(waiting[side])
+        near = []
+        for b, (order, values) in enumerate(sorted_bands[side]):
+            lo, hi = np.searchsorted(values, bands[i, b], "left"), np.searchsorted(values, bands[i, b], "right")
+            near.append(order[lo:hi])
+        near = np.unique(np.concatenate(near))
+        return near[waiting[side][near]]
+
+    for first in left.tolist():
+        if not waiting[0][first - low[0]]:
+            continue
+        waiting[0][first - low[0]] = False
+        queue = [(0, first)]
+        while queue:
+            side, i = queue.pop()
+            other = side ^ turn
+            part = partners(i, other) + low[other]
+            good = alike(np.full(len(part), i), part)
+            found = part[good]
+            waiting[other][found - low[other]] = False
+            forest.join(np.full(len(found), i), found)
+            queue.extend((other, j) for j in found.tolist())
+
+
+def sketch_bands(marks: np.ndarray, least: float) -> np.ndarray:
+    """Numbers of runs of bytes of each sketch, of which two sketches that agree in a share of `least` have one in common."""
+    bins = marks.shape[1]
+    count = bins - int(np.ceil(least * bins - 1e-9)) + 1
+    edges = [bins * i // count for i in range(count + 1)]
+    out = np.zeros((len(marks), count), np.int64)
+    for b, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False)):
+        for c in range(lo, min(hi, lo + 8)):
+            out[:, b] = (out[:, b] << 8) | marks[:, c]
+    return out
 
 
 def _rotations(budget: int) -> list[tuple[int, int]]:
@@ -235,6 +269,7 @@ def _traverse(budget: int, least: float):
                     mid = lo + int(np.searchsorted(own, np.uint64(code)))
                     groups.append((lo, mid, mid, hi))
             m = marks[rows] if least > 0 else None
+            bands = sketch_bands(m, least) if least > 0 else None
 
             def alike(i: np.ndarray, j: np.ndarray, m=m) -> np.ndarray:
                 if m is None:
@@ -244,7 +279,7 @@ def _traverse(budget: int, least: float):
                     same[s : s + (1 << 16)] = (m[i[s : s + (1 << 16)]] == m[j[s : s + (1 << 16)]]).mean(1) >= least
                 return same
 
-            for a, b in trie_links(x, groups, width, budget, alike):
+            for a, b in trie_links(x, groups, width, budget, alike, bands):
                 us.append(int(node[rows[a]]))
                 vs.append(int(node[rows[b]]))
         yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
@@ -282,12 +317,14 @@ def simhash_components(
 
 
 def simhash_links(
-    docs: DataFrame, id_col: str, text_col: str, n: int, budget: int, seeds: tuple[int, ...], as_set: bool, verify: int, least: float, salts: int = 16
+    docs: DataFrame, id_col: str, text_col: str, n: int, budget: int, seeds: tuple[int, ...], as_set: bool, verify: int, least: float, salts: int = 16, carry: tuple[str, ...] = ()
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows (_id, fps, mark) of docs, (fps, mark, node) of the different ones, and links (u, v) that span their components."""
+    """Rows (_id, carried columns, fps, mark, whole) of docs, (fps, mark, node) of the different ones, and links (u, v)
+    that span their components.  `whole` is a 128-bit hash of the set of the verify-word shingles."""
+    kinds = "".join(f"{c} {docs.schema[c].dataType.simpleString()}, " for c in carry)
     prints = materialise(
-        docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).mapInArrow(
-            _fingerprints(n, seeds, as_set, verify), "_id long, fps array<long>, mark binary"
+        docs.select(F.col(id_col).cast("long").alias("_id"), *carry, F.coalesce(F.col(text_col), F.lit("")).alias("_text")).mapInArrow(
+            _fingerprints(n, seeds, as_set, verify), f"_id long, {kinds}fps array<long>, mark binary, whole binary"
         ),
         "prints",
     )

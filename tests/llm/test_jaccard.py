@@ -1,10 +1,11 @@
 import random
 from fractions import Fraction
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
-from quillon.llm import jaccard
+from quillon.llm import jaccard, simhash
 from quillon.session import materialise
 
 
@@ -60,8 +61,30 @@ def test_all_and_only_links_of_the_similarity(spark, monkeypatch, large):
 
 
 def test_missing_ids_and_repeated_rows(spark):
-    rows = [(5, None), (3, ""), (4, "One two"), (8, "one TWO"), (8, "one TWO"), (None, "one two"), (None, "lonely words here")]
-    docs = materialise(spark.createDataFrame(rows, "doc_id long, text string"), "docs")
-    got = sorted(map(tuple, jaccard.near_components(docs, 0.8, **corpus_pipeline.NEAR).collect()), key=str)
-    assert got == sorted([(5, 3), (3, 3), (4, 4), (8, 4), (8, 4), (None, 4), (None, None)], key=str)
+    rows = [(5, None), (3, ""), (4, "One two"), (8, "one TWO"), (8, "one TWO"), (None, "one two"), (None, "lonely words here"), (4, "another text")]
+    docs = materialise(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, component_id int"), "docs")
+    found = jaccard.near_components(docs, 0.8, **corpus_pipeline.NEAR)
+    got = sorted(map(tuple, found.select("doc_id", "component_id", "kept").collect()), key=str)
+    want = [(5, 3, False), (3, 3, True), (4, 4, True), (8, 4, False), (8, 4, False), (None, 4, False), (None, None, True), (4, 4, True)]
+    assert got == sorted(want, key=str)
     assert jaccard.near_components(docs.limit(0), 0.8, **corpus_pipeline.NEAR).count() == 0
+
+
+def test_partners_of_one_set_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "PARTNERS", 3)
+    base = [f"w{i}" for i in range(60)]
+    texts = {0: " ".join(base)} | {i: " ".join([*base[:58], f"x{i}", "y"]) for i in range(1, 30)}
+    docs = materialise(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), "docs")
+    found = jaccard.near_components(docs, 0.8, **corpus_pipeline.NEAR).collect()
+    assert {r.doc_id: r.component_id for r in found} == {i: 0 for i in texts} == {i: plain_components(texts)[i] for i in texts}
+
+
+def test_equal_fingerprints_with_many_sketches(spark):
+    rng = np.random.default_rng(8)
+    marks = rng.integers(0, 256, (50_000, simhash.BINS)).astype(np.uint8)
+    marks[40_000:] = marks[rng.integers(0, 40_000, 10_000)]
+    changed = rng.integers(0, simhash.BINS, 10_000)
+    marks[np.arange(40_000, 50_000), changed] ^= 1
+    alike = lambda i, j: (marks[i] == marks[j]).mean(1) >= 0.6
+    links = simhash.trie_links(np.full(50_000, 7, np.uint64), [(0, 50_000, 0, 50_000)], 0, 3, alike, simhash.sketch_bands(marks, 0.6))
+    assert len(links) == 10_000

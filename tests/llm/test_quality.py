@@ -16,40 +16,58 @@ def test_held_out_labels(spark):
 
 
 def brute_rates(rows):
-    """{(host, path): (host rate, path rate)} of (host, path, evidence) rows."""
+    """For each (host, path, evidence) row the rates (overall, host, path) among the other rows."""
 
-    def shrink(groups):
-        n = sum(g[1] for g in groups.values())
-        between = sum(g[1] * (g[0] / g[1] - g[2]) ** 2 for g in groups.values())
-        sampling = sum(g[2] * (1 - g[2]) for g in groups.values())
-        unit = sum(g[1] * g[2] * (1 - g[2]) for g in groups.values()) / n
-        k = min(max(unit / max((between - sampling) / n, 1e-12) - 1, 2.0), 1e6)
-        return {key: (s + k * prior) / (m + k) for key, (s, m, prior) in groups.items()}
+    def strength(groups):
+        n = sum(g[1] for g in groups)
+        between = sum(g[1] * (g[0] / g[1] - g[2]) ** 2 for g in groups)
+        sampling = sum(g[2] * (1 - g[2]) for g in groups)
+        unit = sum(g[1] * g[2] * (1 - g[2]) for g in groups) / n
+        return min(max(unit / max((between - sampling) / n, 1e-12) - 1, 2.0), 1e6)
 
-    def sums(keys):
+    def held(key):
         out = {}
-        for key, e in keys:
-            s, m = out.get(key, (0, 0))
-            out[key] = (s + e, m + 1)
+        for row in rows:
+            out.setdefault(key(row), []).append(row[2])
         return out
 
+    hosts, paths = held(lambda r: r[0]), held(lambda r: r[:2])
     overall = sum(e for *_, e in rows) / len(rows)
-    hosts = shrink({h: (s, m, overall) for h, (s, m) in sums((h, e) for h, _, e in rows).items()})
-    paths = shrink({hp: (s, m, hosts[hp[0]]) for hp, (s, m) in sums(((h, p), e) for h, p, e in rows).items()})
-    return overall, {hp: (hosts[hp[0]], r) for hp, r in paths.items()}
+    k = strength([(sum(v), len(v), overall) for v in hosts.values()])
+    rate = {h: (sum(v) + k * overall) / (len(v) + k) for h, v in hosts.items()}
+    kp = strength([(sum(v), len(v), rate[h]) for (h, _), v in paths.items()])
+    found = []
+    for h, p, e in rows:
+        rest = (sum(x for *_, x in rows) - e) / (len(rows) - 1)
+        host = (sum(hosts[h]) - e + k * rest) / (len(hosts[h]) - 1 + k)
+        found.append((rest, host, (sum(paths[h, p]) - e + kp * host) / (len(paths[h, p]) - 1 + kp)))
+    return found
 
 
 def test_posteriors_against_brute_force(spark, sf):
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     found = document_quality(docs, labels).join(docs.select("doc_id", "source", "lang"), "doc_id").collect()
-    overall, rates = brute_rates([(r.source, r.lang, r.evidence) for r in found])
     logit = lambda p: math.log(min(max(p, 1e-9), 1 - 1e-9) / (1 - min(max(p, 1e-9), 1 - 1e-9)))
-    for r in found:
-        host, path = rates[r.source, r.lang]
+    for r, (overall, host, path) in zip(found, brute_rates([(r.source, r.lang, r.evidence) for r in found]), strict=True):
         p = 1 / (1 + math.exp(-(logit(r.evidence) + logit(path) - logit(overall))))
         assert (r.host_rate, r.path_rate, r.p_bad) == pytest.approx((host, path, p), rel=1e-6) and r.kept == (r.p_bad < 0.5)
 
 
+def test_own_evidence_does_not_count_twice(spark):
+    """A document alone at its host and path keeps its own evidence, but for what other hosts' documents say."""
+    rows = [(i, f"word{i % 7} " * 20 + ("junk" if i % 2 else "fine"), f"host{i}") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, bad int")
+    for r in classify(docs, labels, F.col("source"), F.col("source")).collect():
+        assert r.p_bad == pytest.approx(r.evidence, abs=1e-6) and r.kept == (r.doc_id % 2 == 0)
+
+
+def test_very_long_text(spark):
+    docs = spark.createDataFrame([(1, "fine words " * 300_000), (2, None)], "doc_id long, text string").withColumn("source", F.lit("s"))
+    labels = spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, bad int")
+    assert classify(docs, labels, F.col("source"), F.col("source")).count() == 2
+
+
 def test_edges(spark):
     docs = spark.createDataFrame([(1, None, None, 1), (2, "a b", "s", 1), (2, "a b", "s", 1), (None, "", "t", 1)], "doc_id long, text string, source string, evidence int")
     labels = spark.createDataFrame([(1, 0), (9, 1), (None, 1), (2, None)], "doc_id long, bad int")
