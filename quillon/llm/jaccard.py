@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.common import components, salted_left_join
-from quillon.llm.simhash import LOWER, shingle_hashes, simhash_links
+from quillon.llm.simhash import LOWER, least_difference, shingle_hashes, simhash_links
 from quillon.session import discard, materialise
 
 #: Sets that one shingle may hold before their pairs are dealt out to several tasks.
@@ -153,29 +153,43 @@ def _beside(pairs: DataFrame, many: DataFrame, held: DataFrame, side: str, name:
     return pairs.drop("parts").join(sets.drop("parts"), [side, "part"]).drop("part")
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, n: int, least: Fraction) -> DataFrame:
-    """The pairs (u, v) whose sets have a Jaccard similarity of `least` or more, computed from all their elements.
-
-    texts has (_id, _text); only the texts that the pairs need are cut into shingles again.
-    """
-    pairs = materialise(pairs.where("u != v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs")
-    needed = materialise(pairs.select(F.col("u").alias("_id")).unionByName(pairs.select(F.col("v").alias("_id"))).distinct(), "needed")
-    held = texts.join(needed, "_id", "left_semi").mapInArrow(_sets(n), "_id long, hashes binary").dropDuplicates(["_id"])
-    held = materialise(held, "held")
-    degree = lambda side: pairs.groupBy(side).agg(F.ceil(F.count("*") / F.lit(PARTNERS)).alias("parts")).where("parts > 1")
-    both = _beside(_beside(pairs, degree("u"), held, "u", "a"), degree("v"), held, "v", "b").select("u", "v", "a", "b")
+def _agree(least: Fraction, test):
+    """Keeps the pairs (u, v) whose columns a and b pass the test."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = []
-            for a, b in zip(batch.column("a"), batch.column("b"), strict=True):
-                x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(similar(shared, len(x), len(y), least))
+            good = [test(x.as_buffer(), y.as_buffer(), least) for x, y in zip(batch.column("a"), batch.column("b"), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], names=["u", "v"]).filter(pa.array(good, pa.bool_()))
 
-    found = materialise(both.mapInArrow(run, "u long, v long"), "links")
-    discard(held, needed, pairs)
+    return run
+
+
+def _may_be_similar(a: pa.Buffer, b: pa.Buffer, least: Fraction) -> bool:
+    x, y, apart = least_difference(a.to_pybytes(), b.to_pybytes())
+    return apart * (least.denominator + least.numerator) <= (x + y) * (least.denominator - least.numerator)
+
+
+def _are_similar(a: pa.Buffer, b: pa.Buffer, least: Fraction) -> bool:
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    return similar(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), least)
+
+
+def _confirmed(pairs: DataFrame, signs: DataFrame, texts: DataFrame, n: int, least: Fraction) -> DataFrame:
+    """The pairs (u, v) whose sets have a Jaccard similarity of `least` or more, computed from all their elements.
+
+    signs has (_id, hashes), the parities of the sets: they rule out most pairs that are not similar, for certain.  texts
+    has (_id, _text), one row per node; only those of the other pairs are cut into shingles again.
+    """
+    for known, test in ((signs, _may_be_similar), (texts, _are_similar)):
+        pairs = materialise(pairs.where("u != v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs")
+        needed = materialise(pairs.select(F.col("u").alias("_id")).unionByName(pairs.select(F.col("v").alias("_id"))).distinct(), "needed")
+        held = known.join(needed, "_id", "left_semi")
+        held = materialise(held.mapInArrow(_sets(n), "_id long, hashes binary") if "_text" in held.columns else held, "held")
+        degree = lambda side: pairs.groupBy(side).agg(F.ceil(F.count("*") / F.lit(PARTNERS)).alias("parts")).where("parts > 1")  # noqa: B023, E731
+        both = _beside(_beside(pairs, degree("u"), held, "u", "a"), degree("v"), held, "v", "b").select("u", "v", "a", "b")
+        found = materialise(both.mapInArrow(_agree(least, test), "u long, v long"), "links")
+        discard(held, needed, pairs)
+        pairs = found
     return found
 
 
@@ -201,11 +215,14 @@ def near_components(docs: DataFrame, similarity: float, id_col: str = "doc_id",
     rows = rows.withColumn("_id", F.xxhash64("id", "_text"))
     prints, groups, links = simhash_links(rows, "_id", "_text", salts=salts, carry=("id", "text_key"), **search)
     whole = materialise(prints.groupBy("whole").agg(F.min("_id").alias("first"), F.max("_id").alias("last")), "whole")
+    repeated = materialise(prints.groupBy("_id").count().where("count > 1").select("_id"), "repeated")
+    once = lambda df: df.join(repeated, "_id", "left_anti").unionByName(df.join(repeated, "_id", "left_semi").dropDuplicates(["_id"]))
+    texts, signs = once(rows.select("_id", "_text")), once(prints.select("_id", F.col("signs").alias("hashes")))
     equal = salted_left_join(prints.select("_id", "whole"), whole.where("first != last"), ["whole"], F.col("_id"), salts).where("_id != first")
     equal = materialise(equal.select(F.col("_id").alias("u"), F.col("first").alias("v")).distinct(), "equal")
     firsts = prints.select("_id", "fps", "mark").join(equal.select(F.col("u").alias("_id")), "_id", "left_anti")
     lined = firsts.repartitionByRange("fps", "mark", "_id").sortWithinPartitions("fps", "mark", "_id").mapInArrow(_neighbours, "u long, v long")
-    links = _confirmed(links.unionByName(lined), rows, n, least)
+    links = _confirmed(links.unionByName(lined), signs, texts, n, least)
     before = components(links.unionByName(equal))
 
     known = prints.select("_id")
@@ -215,7 +232,7 @@ def near_components(docs: DataFrame, similarity: float, id_col: str = "doc_id",
     common, counts = np.array([r[0] for r in top], np.int64).view(np.uint64), np.array([r[1] for r in top], np.int64)
     order = np.argsort(common)
 
-    keys = rows.select("_id", "_text").mapInArrow(_prefixes(n, least, common[order], counts[order]), "key long, node long, place long")
+    keys = texts.mapInArrow(_prefixes(n, least, common[order], counts[order]), "key long, node long, place long")
     shared = materialise(keys.repartition("key").mapInArrow(_shared, "key long, node long, place long"), "shared")
     placed = materialise(shared.join(before, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
     busy = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key", "n")
@@ -228,7 +245,7 @@ def near_components(docs: DataFrame, similarity: float, id_col: str = "doc_id",
         .select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "component", "node", "place", "own")
     )
     pairs = dealt.repartition("key", "p", "q").mapInArrow(_pairs(least), "u long, v long")
-    more = _confirmed(pairs, rows, n, least)
+    more = _confirmed(pairs, signs, texts, n, least)
     discard(shared, placed, before)
     found = components(links.unionByName(equal).unionByName(more))
 

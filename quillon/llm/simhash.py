@@ -59,10 +59,31 @@ def sketch(hashes: np.ndarray) -> bytes:
     return ((least[where] * np.uint64(0xFF51AFD7ED558CCD)) >> np.uint64(56)).astype(np.uint8).tobytes()
 
 
+def parities(found: np.ndarray) -> bytes:
+    """Of a set of hashes its size (8 bytes) and, in about one bit per element, the parity of each class of hashes.
+
+    Classes are hashes modulo a power of two, so parities of more classes fold into those of fewer.  Two sets differ in at
+    least as many elements as their parities.
+    """
+    classes = 1 << min(16, max(6, int(len(found) - 1).bit_length())) if len(found) else 64
+    bits = np.bincount(((found >> np.uint64(13)) % np.uint64(classes)).astype(np.int64), minlength=classes) & 1
+    return len(found).to_bytes(8, "little") + np.packbits(bits.astype(np.uint8)).tobytes()
+
+
+def least_difference(a: bytes, b: bytes) -> tuple[int, int, int]:
+    """(size of one set, of the other, a lower bound of the number of elements that only one has) from their parities."""
+    x, y = np.frombuffer(a, np.uint8, offset=8), np.frombuffer(b, np.uint8, offset=8)
+    if len(x) < len(y):
+        x, y = y, x
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int.from_bytes(a[:8], "little"), int.from_bytes(b[:8], "little"), int(np.bitwise_count(x ^ y).sum())
+
+
 def _fingerprints(n: int, seeds: tuple[int, ...], as_set: bool, verify: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints, marks, whole = [], [], []
+            prints, marks, whole, signs = [], [], [], []
             for raw in batch.column("_text").cast(pa.binary()).to_pylist():
                 words = (raw or b"").translate(LOWER).split()
                 used = sorted(set(words)) if as_set else words
@@ -70,9 +91,10 @@ def _fingerprints(n: int, seeds: tuple[int, ...], as_set: bool, verify: int):
                 found = np.unique(shingle_hashes(words, verify)) if verify else np.empty(0, np.uint64)
                 marks.append(sketch(found) if verify else b"")
                 whole.append(xxhash.xxh128_digest(found.tobytes()) if verify else b"")
+                signs.append(parities(found) if verify else b"")
             kept = [c for c in batch.schema.names if c != "_text"]
-            made = [pa.array(prints, pa.list_(pa.int64())), pa.array(marks, pa.binary()), pa.array(whole, pa.binary())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *made], names=[*kept, "fps", "mark", "whole"])
+            made = [pa.array(prints, pa.list_(pa.int64())), *(pa.array(x, pa.binary()) for x in (marks, whole, signs))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *made], names=[*kept, "fps", "mark", "whole", "signs"])
 
     return run
 
@@ -319,12 +341,12 @@ def simhash_components(
 def simhash_links(
     docs: DataFrame, id_col: str, text_col: str, n: int, budget: int, seeds: tuple[int, ...], as_set: bool, verify: int, least: float, salts: int = 16, carry: tuple[str, ...] = ()
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows (_id, carried columns, fps, mark, whole) of docs, (fps, mark, node) of the different ones, and links (u, v)
-    that span their components.  `whole` is a 128-bit hash of the set of the verify-word shingles."""
+    """Rows (_id, carried columns, fps, mark, whole, signs) of docs, (fps, mark, node) of the different ones, and links
+    (u, v) that span their components.  `whole` is a 128-bit hash of the set of the verify-word shingles, `signs` its parities."""
     kinds = "".join(f"{c} {docs.schema[c].dataType.simpleString()}, " for c in carry)
     prints = materialise(
         docs.select(F.col(id_col).cast("long").alias("_id"), *carry, F.coalesce(F.col(text_col), F.lit("")).alias("_text")).mapInArrow(
-            _fingerprints(n, seeds, as_set, verify), f"_id long, {kinds}fps array<long>, mark binary, whole binary"
+            _fingerprints(n, seeds, as_set, verify), f"_id long, {kinds}fps array<long>, mark binary, whole binary, signs binary"
         ),
         "prints",
     )

@@ -88,3 +88,14 @@ def test_equal_fingerprints_with_many_sketches(spark):
     alike = lambda i, j: (marks[i] == marks[j]).mean(1) >= 0.6
     links = simhash.trie_links(np.full(50_000, 7, np.uint64), [(0, 50_000, 0, 50_000)], 0, 3, alike, simhash.sketch_bands(marks, 0.6))
     assert len(links) == 10_000
+
+
+def test_parities_bound_the_difference():
+    rng = np.random.default_rng(9)
+    for n in (0, 1, 40, 700, 90_000):
+        a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        for share in (0.0, 0.5, 0.95, 1.0):
+            b = np.unique(np.concatenate([a[: int(share * len(a))], rng.integers(0, 1 << 63, n // 3).astype(np.uint64)]))
+            x, y, apart = simhash.least_difference(simhash.parities(a), simhash.parities(b))
+            assert (x, y) == (len(a), len(b)) and apart <= len(np.setxor1d(a, b))
+    assert simhash.least_difference(simhash.parities(a), simhash.parities(a))[2] == 0
