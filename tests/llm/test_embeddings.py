@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from quillon.llm.embeddings import embedding_links, quantise, tile_links
+from quillon.llm.embeddings import Codes, embedding_links, near_pairs, quantise
 
 
 def brute(vectors, least=0.9):
@@ -48,12 +48,25 @@ def test_bounds_hold():
     assert (np.abs(true - about) <= e[:, None] + (1 + e[:, None]) * e + 1e-9).all()
 
 
-def test_threshold_is_exact():
-    x = np.array([[1.0, 0.0]])
+def test_threshold_is_exact(spark):
     for t in (0.9 - 1e-13, 0.9 + 1e-13):
-        y = np.array([[t, np.sqrt(1 - t * t)]])
-        lx, ly, joins = tile_links(x, y, np.ones(1, int), np.ones(1, int), 0.9)
-        assert lx.tolist() == ly.tolist() == [int(t > 0.9)] and len(joins) == (t > 0.9)
+        docs = spark.createDataFrame([(1, [1.0, 0.0]), (2, [t, float(np.sqrt(1 - t * t))])], "vec_id long, embedding array<double>")
+        assert {r.n_links for r in embedding_links(docs).collect()} == {int(t > 0.9)}
+
+
+def test_only_open_vectors_are_fetched():
+    """Codes settle all pairs but those within the bounds of the threshold."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(400, 32))
+    x[200:] = x[:200] + rng.normal(size=(200, 32)) * rng.uniform(0.05, 1.5, (200, 1))
+    ones = np.ones(400, np.int64)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    true, seen, open_pairs = unit @ unit.T, set(), 0
+    for a, b, sure in near_pairs(Codes.of(x, np.arange(400), ones), None, 0.9):
+        assert (true[a[sure], b[sure]] >= 0.9).all() and (np.abs(true[a[~sure], b[~sure]] - 0.9) < 0.05).all()
+        seen |= set(zip(a.tolist(), b.tolist(), strict=True))
+        open_pairs += int((~sure).sum())
+    assert {(i, j) for i in range(400) for j in range(i + 1, 400) if true[i, j] >= 0.9} <= seen and open_pairs < len(seen)
 
 
 def test_no_rows_and_null_ids(spark):
