@@ -51,6 +51,9 @@ class Encoder:
         pattern = rf"'(?:[sdmt]|ll|ve|re)| ?[{a}]+| ?[{n}]+| ?[^{s}{a}{n}]+|[{s}]+(?![^{s}])|[{s}]+"
         self.words = re.compile(pattern).findall
         self.ranked = self._by_rank(special)
+        spec = json.loads(self.library.to_str())
+        #: Whether words are cut looking forwards only, so that chunks can be spliced: by the pattern of byte-level pre-tokenizers.
+        self.forwards = not spec.get("normalizer") and (spec.get("pre_tokenizer") or {}).get("type") == "ByteLevel" and not spec["pre_tokenizer"].get("add_prefix_space")
 
     def _by_rank(self, special: list[str]):
         """The rank-merging encoder for this vocabulary, or None if it might give other ids."""
@@ -72,21 +75,30 @@ class Encoder:
         byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(shown))}
         ranks = {bytes(byte_of[c] for c in t): i for t, i in plain.items()}
         pattern = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+        self.sizes = np.ones(max(ranks.values()) + 1, np.int64)
+        self.sizes[list(ranks.values())] = [len(t) for t in ranks]
         return tiktoken.Encoding("ranked", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def _plain(self, text: str) -> bool:
         return self.ranked is not None and not self.unlisted(text) and max(map(len, text.split()), default=0) < LONG_RUN and not self.blanks(text)
 
-    def starts(self, text: str) -> list[int]:
-        """Where the words of a text, which are encoded one by one, start."""
+    def words_of(self, text: str) -> tuple[list[int], list[int], np.ndarray]:
+        """(where the words of a text start, the number of each one's first id, all ids); words are encoded one by one."""
         if self._plain(text):
-            return [0, *accumulate(map(len, self.words(text)))][:-1]
-        e, found, last = self.library.encode(text, add_special_tokens=False), [], None
-        for (start, _), word in zip(e.offsets, e.word_ids, strict=True):
+            ids = self.ranked.encode_to_numpy(text, disallowed_special=())
+            words = self.words(text)
+            starts = [0, *accumulate(map(len, words))][:-1]
+            at = starts if text.isascii() else [0, *accumulate(len(w.encode()) for w in words)][:-1]
+            ends = np.cumsum(self.sizes[ids])  # in bytes
+            return starts, np.searchsorted(ends, np.array(at), "right").tolist(), ids
+        e = self.library.encode(text, add_special_tokens=False)
+        starts, firsts, last = [], [], None
+        for i, ((start, _), word) in enumerate(zip(e.offsets, e.word_ids, strict=True)):
             if word is None or word != last:
-                found.append(start)
+                starts.append(start)
+                firsts.append(i)
                 last = word
-        return found
+        return starts, firsts, np.array(e.ids, np.uint32)
 
     def _short(self, text: str) -> np.ndarray:
         if self._plain(text):
@@ -95,42 +107,51 @@ class Encoder:
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of a whole text."""
-        if len(text) > HUGE and self.ranked is not None:
+        if len(text) > HUGE and self.forwards:
             return np.concatenate(list(self.spliced(text, HUGE, OVERLAP)))
         return self._short(text)
 
     def spliced(self, text: str, size: int, overlap: int) -> Iterator[np.ndarray]:
-        """The ids of a text from overlapping chunks.
+        """The ids of a text, taken from overlapping encoded chunks by the offsets of their words.
 
         The cut into words looks only forwards, so from a place where a word of the whole text starts, a chunk's words are
         those of the whole text, up to where its cut end can matter.  A start in the proven part of one chunk that is also
-        a start in the next chunk is therefore a stable common boundary: the next chunk is proven from there on, wherever
-        it began.  White space belongs to one word or two depending on what follows, so such a boundary must not stand after
-        white space; then the parts can be encoded by themselves.  Without one, the next chunk begins earlier (the overlap
-        is doubled), at last at a proven start; a chunk without any such start but its first is doubled itself.
+        a start in the next chunk is therefore a common boundary: the next chunk is proven from there on, wherever
+        it began.  It is stable if both chunks also have the same ids from there to the last start that is proven in both.
+        White space belongs to one word or two depending on what follows, so such a boundary must not stand after white
+        space.  Without one, the next chunk begins earlier (the overlap is doubled), at last at a proven start; a chunk
+        without any such start but its first is doubled itself.
         """
         begin, proven = 0, 0  # of the chunk; of its proven part
-        starts = self._chunk(text, 0, size)
+        chunk = self._chunk(text, 0, size)
         while (end := begin + size) < len(text):
+            starts, firsts, ids = chunk
             first = bisect_left(starts, proven)
             last = min(bisect_right(starts, end - MARGIN) - 1, len(starts) - 3)  # the last start that is proven
-            known = [s for s in starts[first + 1 : last + 1] if not text[s - 1].isspace()]
+            known = {starts[k]: k for k in range(first + 1, last + 1) if not text[starts[k] - 1].isspace()}
             if not known:
                 begin, size = proven, size * 2
-                starts = self._chunk(text, begin, size)
+                chunk = self._chunk(text, begin, size)
                 continue
-            stable, width, common = set(known), overlap, None
+            width, common = overlap, None
             while common is None:
-                at = known[-1] if width > size else max(end - width, proven + 1)
+                at = next(reversed(known)) if width > size else max(end - width, proven + 1)
                 more = self._chunk(text, at, size)
-                common = next((s for s in more if s in stable), None)
+                both = [(known[s], k) for k, s in enumerate(more[0]) if s in known]
+                if both:
+                    (a, b), (c, d) = both[0], both[-1]
+                    if np.array_equal(ids[firsts[a] : firsts[c]], more[2][more[1][b] : more[1][d]]):
+                        common = a
                 width *= 2
-            yield self._short(text[proven:common])
-            begin, proven, starts = at, common, more
-        yield self._short(text[proven:])
+            yield ids[firsts[first] : firsts[common]]
+            begin, proven, chunk = at, starts[common], more
+        starts, firsts, ids = chunk
+        first = bisect_left(starts, proven)
+        yield ids[firsts[first] if first < len(firsts) else len(ids) :]
 
-    def _chunk(self, text: str, at: int, size: int) -> list[int]:
-        return [at + s for s in self.starts(text[at : at + size])]
+    def _chunk(self, text: str, at: int, size: int) -> tuple[list[int], list[int], np.ndarray]:
+        starts, firsts, ids = self.words_of(text[at : at + size])
+        return [at + s for s in starts], firsts, ids
 
 
 _encoders: dict[str, Encoder] = {}
@@ -146,7 +167,9 @@ def encoder(path: str) -> Encoder:
 def count_tokens(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 512) -> DataFrame:
     """Rows (id, n_bytes, n_tokens, over_limit), one per row of docs.
 
-    Whole texts, special strings as the library treats them, no added tokens.  Null texts count as empty: 0 bytes,
+    Whole texts, special strings as the library treats them, no added tokens.  Texts over HUGE characters are encoded in
+    overlapping chunks; under a vocabulary that normalizes texts or cuts words in another way than by the byte-level
+    pattern, boundaries can't be proven, so the library encodes such a text as a whole.  Null texts count as empty: 0 bytes,
     0 tokens.  Null ids and repeated rows are kept as they are; other columns are ignored.
     """
 

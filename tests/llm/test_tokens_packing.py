@@ -45,6 +45,24 @@ def test_splicing_equals_whole(sf, spark):
             assert as_ids(np.concatenate(list(coder.spliced(text, size, overlap)))) == ids(text)
 
 
+def test_splicing_by_the_library_alone(monkeypatch):
+    """Without the rank-merging encoder the chunks' ids come from the library's own offsets."""
+    coder, rng = Encoder(PATH), random.Random(2)
+    coder.ranked = None
+    texts = ["".join(rng.choice([" ", "\n", "ab", "don't", "12", "<|endoftext|>", "...", "é", "  \t", "日本"]) for _ in range(1500)) for _ in range(6)]
+    for text in texts:
+        for size, overlap in [(200, 16), (1000, 2)]:
+            assert as_ids(np.concatenate(list(coder.spliced(text, size, overlap)))) == ids(text)
+
+
+def test_huge_texts():
+    """Texts far above the size from which chunks are spliced, with their own constants."""
+    rng = random.Random(3)
+    prose = " ".join(rng.choice(["the", "naïve", "river's", "bank,", "12", "(old)", "\n"]) for _ in range(60_000))
+    for text in (prose, "x" * 100_000, " " * 70_000 + "end", prose[:40_000] + "日本語" * 10_000):
+        assert len(text) > tokens.HUGE and as_ids(Encoder(PATH).encode(text)) == ids(text)
+
+
 def test_counts_of_the_table(spark, sf):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     got = {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in op4_token_counts(spark, sf).collect()}
