@@ -15,8 +15,12 @@ from quillon.llm.common import salted_left_join
 from quillon.session import materialise, table
 
 WINDOW, GRAM = 50, 20
-#: Different passages around one anchor that a single automaton may hold; windows of fuller shards are grouped instead.
+#: Different passages around one anchor that a single automaton may hold at most; windows of larger shards are grouped instead.
 LARGE_SHARD = 2_000
+#: Words that it may hold.
+LARGE_WORDS = 400_000
+#: Windows held at once while large shards are cut into them.
+BLOCK = 20_000
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -38,10 +42,10 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def anchors(words: list[bytes], window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """(the anchor of each window, running sums of the word hashes): an anchor is the least hash of the window's grams."""
+def anchors(words: list[bytes], window: int = WINDOW, gram: int = GRAM) -> np.ndarray:
+    """The anchor of each window: the least hash of its grams."""
     if len(words) < window:
-        return np.empty(0, np.uint64), np.empty(0, np.uint64)
+        return np.empty(0, np.uint64)
     hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     up, down = powers(len(words) + 1)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * down[:-1], dtype=np.uint64)])
@@ -50,7 +54,7 @@ def anchors(words: list[bytes], window: int = WINDOW, gram: int = GRAM) -> tuple
     padded = np.concatenate([grams, np.full(-len(grams) % w, np.iinfo(np.uint64).max, np.uint64)]).reshape(-1, w)
     from_left = np.minimum.accumulate(padded, axis=1).ravel()
     from_right = np.minimum.accumulate(padded[:, ::-1], axis=1)[:, ::-1].ravel()
-    return np.minimum(from_right[: len(grams) - w + 1], from_left[w - 1 : len(grams)]), sums
+    return np.minimum(from_right[: len(grams) - w + 1], from_left[w - 1 : len(grams)])
 
 
 def runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -154,13 +158,13 @@ def _digest(words: list[bytes]) -> str:
 def _anchor_lists(window: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.unique(anchors(_words(t.as_py()), window, gram)[0]).view(np.int64) for t in batch.column("text").cast(pa.binary())]
+            found = [np.unique(anchors(_words(t.as_py()), window, gram)).view(np.int64) for t in batch.column("text").cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("th"), pa.array(found, pa.list_(pa.int64()))], names=["doc", "th", "anchors"])
 
     return run
 
 
-PIECE = pa.struct([("anchor", pa.int64()), ("key", pa.int64()), ("start", pa.int32()), ("n", pa.int32())])
+PIECE = pa.struct([("anchor", pa.int64()), ("key", pa.binary()), ("start", pa.int32()), ("n", pa.int32())])
 
 
 def _pieces(window: int, gram: int):
@@ -178,15 +182,15 @@ def _pieces(window: int, gram: int):
                     texts.append(None)
                     pieces.append(None)
                     continue
-                least, sums = anchors(words, window, gram)
+                least = anchors(words, window, gram)
                 start, end = runs(least)
                 keep = np.isin(least[start], repeated.values.to_numpy().view(np.uint64))
                 start, end = start[keep], end[keep]
                 last = end + window - 1  # words of the piece: all that its windows hold
-                key = mixed((sums[last] - sums[start]) * powers(len(words) + 1)[0][start] + (last - start).astype(np.uint64))
+                keys = [hashlib.sha256(b" ".join(words[a:b])).digest()[:16] for a, b in zip(start.tolist(), last.tolist(), strict=True)]
                 digests.append(None)
                 texts.append(raw)
-                rows = zip(least[start].view(np.int64).tolist(), key.view(np.int64).tolist(), start.tolist(), (end - start).tolist(), strict=True)
+                rows = zip(least[start].view(np.int64).tolist(), keys, start.tolist(), (end - start).tolist(), strict=True)
                 pieces.append([{"anchor": a, "key": k, "start": s, "n": n} for a, k, s, n in rows])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc"), batch.column("th"), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(texts, pa.binary()), pa.array(pieces, pa.list_(PIECE))],
@@ -203,11 +207,10 @@ def _piece_texts(window: int):
             for doc, text, pieces in zip(batch.column("doc").to_pylist(), batch.column("text"), batch.column("pieces"), strict=True):
                 words = _words(text.as_py())
                 for p in pieces.as_py():
-                    rows.append((p["anchor"], p["key"], doc, b" ".join(words[p["start"] : p["start"] + p["n"] + window - 1])))
-            columns = list(zip(*rows, strict=True)) or [[], [], [], []]
-            yield pa.RecordBatch.from_arrays(
-                [*(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.binary())], names=["anchor", "key", "doc", "words"]
-            )
+                    rows.append((p["anchor"], p["key"], doc, p["n"] + window - 1, b" ".join(words[p["start"] : p["start"] + p["n"] + window - 1])))
+            c = list(zip(*rows, strict=True)) or [[]] * 5
+            kinds = {"anchor": pa.int64(), "key": pa.binary(), "doc": pa.int64(), "n": pa.int64(), "words": pa.binary()}
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(c, kinds.values(), strict=True)], names=list(kinds))
 
     return run
 
@@ -244,20 +247,20 @@ def _match(window: int):
 
 def _earlier_batch(rows: list[tuple]) -> pa.RecordBatch:
     a, k, r = zip(*rows, strict=True) if rows else ([], [], [])
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(k, pa.int64()), pa.array(r, pa.list_(pa.int32()))], names=["anchor", "key", "ranges"])
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(k, pa.binary()), pa.array(r, pa.list_(pa.int32()))], names=["anchor", "key", "ranges"])
 
 
 def _windows(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
             for a, k, doc, text in zip(*(batch.column(c).to_pylist() for c in ("anchor", "key", "doc", "words")), strict=True):
                 words = text.split()
-                rows += [(a, k, doc, i, hashlib.sha256(b" ".join(words[i : i + window])).digest()) for i in range(len(words) - window + 1)]
-            c = list(zip(*rows, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays(
-                [*(pa.array(x, pa.int64()) for x in c[:3]), pa.array(c[3], pa.int32()), pa.array(c[4], pa.binary())], names=["anchor", "key", "doc", "at", "window"]
-            )
+                for lo in range(0, len(words) - window + 1, BLOCK):
+                    at = range(lo, min(lo + BLOCK, len(words) - window + 1))
+                    found = [hashlib.sha256(b" ".join(words[i : i + window])).digest() for i in at]
+                    n = len(found)
+                    columns = [pa.array([a] * n, pa.int64()), pa.array([k] * n, pa.binary()), pa.array([doc] * n, pa.int64()), pa.array(at, pa.int32()), pa.array(found, pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["anchor", "key", "doc", "at", "window"])
 
     return run
 
@@ -285,7 +288,7 @@ def _finish(window: int, keep_text: bool):
     return run
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, large: int = LARGE_SHARD, salts: int = 8) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, large: int = LARGE_SHARD, words: int = LARGE_WORDS, salts: int = 8) -> DataFrame:
     """Rows (id, n_words, n_removed, kept_sha256), one per row of docs.
 
     A word is removed if a window of `window` consecutive words over it also stands in a document with a smaller id.
@@ -293,13 +296,13 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Every window has an anchor, the least hash of its grams of `gram` words, so equal windows have equal anchors; only
     anchors that several documents hold matter.  Around these, documents are cut into pieces: the words of consecutive
     windows with one anchor.  Of equal pieces the smallest document's is kept as reference, so copies collapse before they
-    meet.  The different pieces of an anchor are a shard: a suffix automaton over them, with the least document of every
+    meet; pieces are equal if 128 bits of their SHA-256 are.  The different pieces of an anchor are a shard: a suffix automaton over them, with the least document of every
     state, gives for each piece, as it is streamed through, the windows that an earlier document holds.  In all larger
-    documents with a piece, all of its windows go.  A shard with more than `large` pieces (a passage in ever new
-    surroundings) is not built: its windows are grouped by SHA-256 instead, with partial aggregation, to the same end.
+    documents with a piece, all of its windows go.  A shard with more than `large` pieces or `words` words (a passage in
+    ever new surroundings, long periodic texts) is not built: its windows are grouped by SHA-256 instead, with partial aggregation, to the same end.
     Automata are dealt to tasks by anchor, since sending each to all would grow with the corpus.
 
-    Null texts have no words.  Rows with a null id keep all words and remove none from others.  Rows that repeat an id do
+    Null texts have no words.  Very long texts are cut whole, one at a time.  Other columns are ignored.  Rows with a null id keep all words and remove none from others.  Rows that repeat an id do
     not remove from each other, as neither id is smaller.  No rows give no rows.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -308,19 +311,19 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = lists.select("doc", "th", F.explode("anchors").alias("anchor"))
     shared = materialise(rows.groupBy("anchor").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b").select("anchor", F.lit(True).alias("hit")), "shared")
     repeated = salted_left_join(rows, shared, ["anchor"], F.col("doc"), salts).where("hit").groupBy("doc", "th").agg(F.collect_set("anchor").alias("repeated"))
-    schema = "doc long, th long, n_words long, sha string, text binary, pieces array<struct<anchor:long,key:long,start:int,n:int>>"
+    schema = "doc long, th long, n_words long, sha string, text binary, pieces array<struct<anchor:long,key:binary,start:int,n:int>>"
     parts = materialise(base.join(repeated, ["doc", "th"], "left").select("doc", "th", "text", "repeated").mapInArrow(_pieces(window, gram), schema), "pieces")
 
     candidates = parts.where("sha IS NULL")
-    found = candidates.select("doc", "text", "pieces").mapInArrow(_piece_texts(window), "anchor long, key long, doc long, words binary")
-    different = materialise(found.groupBy("anchor", "key").agg(F.min("doc").alias("doc"), F.max("doc").alias("most"), F.min("words").alias("words")), "references")
-    full = materialise(different.groupBy("anchor").count().where(F.col("count") > large).select("anchor"), "full")
+    found = candidates.select("doc", "text", "pieces").mapInArrow(_piece_texts(window), "anchor long, key binary, doc long, n long, words binary")
+    different = materialise(found.groupBy("anchor", "key").agg(F.min("doc").alias("doc"), F.max("doc").alias("most"), F.min("n").alias("n"), F.any_value("words").alias("words")), "references")
+    full = materialise(different.groupBy("anchor").agg(F.count("*").alias("pieces"), F.sum("n").alias("n")).where((F.col("pieces") > large) | ((F.col("n") > words) & (F.col("pieces") > 1))).select("anchor"), "full")
     shards = different.select("anchor", "key", "doc", "words")
-    earlier_schema = "anchor long, key long, ranges array<int>"
+    earlier_schema = "anchor long, key binary, ranges array<int>"
     if full.take(1):
         big = shards.join(full, "anchor", "left_semi")
         shards = shards.join(full, "anchor", "left_anti")
-        windows = materialise(big.mapInArrow(_windows(window), "anchor long, key long, doc long, at int, window binary"), "windows")
+        windows = materialise(big.mapInArrow(_windows(window), "anchor long, key binary, doc long, at int, window binary"), "windows")
         first = windows.groupBy("window").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("window", "first")
         hits = salted_left_join(windows, first, ["window"], F.xxhash64("key", "at"), salts).where("first < doc")
         grouped = hits.groupBy("anchor", "key").agg(F.array_sort(F.collect_set("at")).alias("at"))
@@ -329,7 +332,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     earlier = ordered.mapInArrow(_match(window), earlier_schema)
     if full.take(1):
         earlier = earlier.unionByName(others)
-    verdicts = different.drop("words").withColumnRenamed("doc", "first").join(earlier, ["anchor", "key"], "left").where("most > first OR ranges IS NOT NULL")
+    verdicts = different.drop("words", "n").withColumnRenamed("doc", "first").join(earlier, ["anchor", "key"], "left").where("most > first OR ranges IS NOT NULL")
     verdicts = materialise(verdicts.select("anchor", "key", "first", "ranges"), "verdicts")
 
     spots = candidates.select("doc", "th", F.explode("pieces").alias("p")).select("doc", "th", "p.*")
