@@ -201,12 +201,14 @@ def read_packages(packages: DataFrame, with_payload: bool = True) -> DataFrame:
 def record_kinds(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0, salts: int = 16) -> DataFrame:
     """Rows (page_id, url, payload, revisit, refers_to): of equal payloads of at least least_bytes, the largest id is the response.
 
-    Null html is an empty payload.  Rows that repeat the largest id and its payload are responses as well; rows with a
+    Payloads are equal if their SHA-256 is: pages made to collide under the header's SHA-1 are no revisits of each other.
+    Null html is an empty payload; very long ones are hashed whole.  Other columns, whatever their names, are ignored.
+    Rows that repeat the largest id and its payload are responses as well; rows with a
     null id revisit, unless all of their payload's ids are null.
     """
     payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
     base = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"))
-    key = [F.sha1("payload").alias("sha"), F.octet_length("payload").alias("n")]
+    key = [F.sha2("payload", 256).alias("sha"), F.octet_length("payload").alias("n")]
     groups = base.select("page_id", *key).groupBy("sha", "n").agg(F.max("page_id").alias("most"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
     revisit = F.col("most").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("most")) & (F.col("n") >= least_bytes)
     return salted_left_join(base.select("*", *key), groups, ["sha", "n"], F.col("page_id"), salts).select(
