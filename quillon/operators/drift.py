@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.basics import chi2_isf, chi2_sf, ks_sf, numeric_columns, stacked, text_columns
+from quillon.operators.ranking import column_quantiles, running
 from quillon.operators.screens import identifiers
 
 FLOOR = 1e-4
@@ -29,9 +30,9 @@ def severity(psi: Column, floor: Column) -> Column:
 
 def quantile_edges(ref: DataFrame, columns: list[str], bins: int = 10) -> DataFrame:
     """(column_name, edges): the distinct inner quantiles of the reference; under two of them, no edges: a single bin."""
-    q = F.array(*(F.lit(i / bins) for i in range(bins + 1)))
-    row = ref.agg(*(F.percentile(F.col(c).cast("double"), q).alias(c) for c in columns))
-    long = row.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column_name"), F.array_distinct(F.col(c)).alias("_e")) for c in columns))).alias("x")).select("x.*")
+    found = column_quantiles(ref, columns, [i / bins for i in range(bins + 1)])
+    names = ref.sparkSession.createDataFrame([(c,) for c in columns], "column_name string")
+    long = names.join(F.broadcast(found), "column_name", "left").select("column_name", F.coalesce(F.array_distinct("q"), F.array().cast("array<double>")).alias("_e"))  # one row for each column
     inner = F.when(F.size("_e") < 3, F.array().cast("array<double>")).otherwise(F.expr("slice(_e, 2, size(_e) - 2)"))
     return long.select("column_name", inner.alias("edges"))
 
@@ -88,8 +89,8 @@ def ks_statistics(ref: DataFrame, cur: DataFrame, columns: list[str] | None = No
     columns = columns or [c for c in numeric_columns(ref) if c in cur.columns]
     one = lambda df, a, b: stacked(df, columns, []).where("value IS NOT NULL").groupBy("column_name", "value").agg((F.count("*") * a).alias("a"), (F.count("*") * b).alias("b"))
     counts = one(ref, 1, 0).unionByName(one(cur, 0, 1)).groupBy("column_name", "value").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    w, every = Window.partitionBy("column_name").orderBy("value"), Window.partitionBy("column_name")
-    up = counts.withColumns({"ca": F.sum("a").over(w), "cb": F.sum("b").over(w), "ta": F.sum("a").over(every), "tb": F.sum("b").over(every)})
+    up = running(counts, "value", ["a", "b"], ["column_name"]).withColumnsRenamed({"a_all": "ta", "b_all": "tb"})
+    up = up.withColumns({"ca": F.col("a_before") + F.col("a"), "cb": F.col("b_before") + F.col("b")})
     return up.groupBy("column_name").agg(F.max(F.abs(F.col("ca") / F.col("ta") - F.col("cb") / F.col("tb"))).alias("ks"), F.max("ta").alias("n_ref"), F.max("tb").alias("n_cur"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.basics import bias_corrected_skew, calendar, numeric_columns, parse_time, stacked, text_columns
+from quillon.operators.ranking import column_medians
 
 EPS = 1e-6
 
@@ -66,7 +67,10 @@ def peer_features(df: DataFrame, train: DataFrame, specs: list[dict], target: st
         own = [s for s in specs if s["by"] == by]
         columns = list(dict.fromkeys(s["column"] for s in own))
         stats = [f(F.col(c)).alias(f"_{k}_{c}") for c in columns for k, f in (("n", F.count), ("med", F.median), ("mean", F.avg), ("std", F.stddev_samp))]
-        everyone = train.agg(*(a.alias(f"_all{i}") for i, a in enumerate(stats)))
+        overall = [f(F.col(c)) for c in columns for f in (F.count, F.avg, F.stddev_samp)]
+        names = [f"_all{4 * i + j}" for i in range(len(columns)) for j in (0, 2, 3)]
+        medians = column_medians(train, columns).select(*(F.col(c).alias(f"_all{4 * i + 1}") for i, c in enumerate(columns)))
+        everyone = train.agg(*(a.alias(n) for a, n in zip(overall, names, strict=True))).crossJoin(medians)
         peers = train.where(F.col(by).isNotNull()).groupBy(by).agg(*stats)
         df = df.join(peers, by, "left").crossJoin(F.broadcast(everyone))
         place = {(c, k): f"_all{4 * i + j}" for i, c in enumerate(columns) for j, k in enumerate(("n", "med", "mean", "std"))}
@@ -91,9 +95,12 @@ def propose_imputation(df: DataFrame, columns: list[str] | None = None) -> DataF
 
 def fit_imputation(train: DataFrame, strategies: dict[str, str | float]) -> DataFrame:
     """One row with the value for each column: "median", "mean", "mode" (smallest on ties) of the training rows, or a literal."""
-    how = {"median": F.median, "mean": F.avg, "mode": lambda c: F.mode(c, deterministic=True)}
-    made = [(how[s](c) if s in how else F.first(F.lit(s))).alias(c) for c, s in strategies.items() if s != "drop"]
-    return train.agg(*made)
+    medians = [c for c, s in strategies.items() if s == "median"]
+    how = {"mean": F.avg, "mode": lambda c: F.mode(c, deterministic=True)}
+    made = [(how[s](c) if s in how else F.first(F.lit(s))).alias(c) for c, s in strategies.items() if s not in ("drop", "median")]
+    others = train.agg(*(made or [F.lit(0).alias("_none")]))
+    fitted = others.crossJoin(column_medians(train, medians)) if medians else others
+    return fitted.select(*(c for c, s in strategies.items() if s != "drop"))
 
 
 def apply_imputation(df: DataFrame, fitted: DataFrame, dropped: list[str] | None = None) -> DataFrame:

@@ -5,10 +5,12 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions.basics import stacked
+from quillon.operators.ranking import column_quantiles, quantiles, running
+from quillon.operators.splits import exact_rank
 
 
 def div(a, b) -> Column:
@@ -44,12 +46,12 @@ def report_averages(report: DataFrame, keys: list[str] | None = None) -> DataFra
 def score_counts(df: DataFrame, label: str, score: str, keys: list[str] | None = None) -> DataFrame:
     """(keys, score, pos, neg) per distinct score, with cumulated tp, fp from the highest down and the totals.
 
-    The raw rows are pre-aggregated, and only distinct scores are put in order.
+    The raw rows are pre-aggregated, and distinct scores are put in order range by range.
     """
     keys = keys or []
     counts = df.where(F.col(score).isNotNull()).groupBy(*keys, F.col(score).alias("score")).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.sum(1 - F.col(label).cast("long")).alias("neg"))
-    down, every = Window.partitionBy(*keys).orderBy(F.desc("score")), Window.partitionBy(*keys)
-    return counts.withColumns({"tp": F.sum("pos").over(down), "fp": F.sum("neg").over(down), "all_pos": F.sum("pos").over(every), "all_neg": F.sum("neg").over(every)})
+    up = running(counts, "score", ["pos", "neg"], keys).withColumnsRenamed({"pos_all": "all_pos", "neg_all": "all_neg"})
+    return up.select(*keys, "score", "pos", "neg", (F.col("all_pos") - F.col("pos_before")).alias("tp"), (F.col("all_neg") - F.col("neg_before")).alias("fp"), "all_pos", "all_neg")
 
 
 def roc_points(df: DataFrame, label: str, score: str) -> DataFrame:
@@ -64,10 +66,9 @@ def pr_points(df: DataFrame, label: str, score: str) -> DataFrame:
 
 def thinned(points: DataFrame, order: str, n: int = 200) -> DataFrame:
     """At most n points of a curve, evenly spaced in its order, with both ends."""
-    w = Window.orderBy(order)
-    i, total = F.row_number().over(w) - 1, F.count("*").over(Window.partitionBy())
-    step = F.greatest(F.lit(1), F.ceil(total / n))
-    return points.withColumn("_i", i).withColumn("_k", step).withColumn("_n", total).where("_i % _k = 0 OR _i = _n - 1").drop("_i", "_k", "_n")
+    ranked = exact_rank(points, [order], "_i")
+    total = F.broadcast(ranked.agg(F.count("*").alias("_n")))
+    return ranked.crossJoin(total).withColumn("_k", F.greatest(F.lit(1), F.ceil(F.col("_n") / n))).where("_i % _k = 0 OR _i = _n - 1").drop("_i", "_k", "_n")
 
 
 def auc_ap(df: DataFrame, label: str, score: str, keys: list[str] | None = None) -> DataFrame:
@@ -168,11 +169,16 @@ def regression_metrics(df: DataFrame, y: str, pred: str, quantile: float = 0.5,
     e, a = F.col(y) - F.col(pred), F.col(y).cast("double")
     sse, sst = F.sum(e * e), F.var_pop(a) * F.count(a)
     near_zero = F.min(F.abs(a)) < 1e-3 * F.avg(F.abs(a))
-    return df.where(a.isNotNull() & F.col(pred).isNotNull()).groupBy(*(keys or [])).agg(
-        F.count("*").alias("n"), (1 - F.try_divide(sse, sst)).alias("r2"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"), F.median(F.abs(e)).alias("median_ae"),
+    keys, known = keys or [], df.where(a.isNotNull() & F.col(pred).isNotNull())
+    medians = quantiles(known.select(*keys, F.abs(e).alias("value")), [0.5], keys).select(*(F.col(k).alias(f"_m_{k}") for k in keys), F.col("q")[0].alias("median_ae"))
+    out = known.groupBy(*keys).agg(
+        F.count("*").alias("n"), (1 - F.try_divide(sse, sst)).alias("r2"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"),
         F.try_divide(F.sum(pred), F.sum(a)).alias("sum_ratio"), F.when(~near_zero, 100 * F.avg(F.abs(F.try_divide(e, a)))).alias("mape"),
         F.avg(F.greatest(quantile * e, (quantile - 1) * e)).alias("pinball"), F.avg((a <= F.col(pred)).cast("double")).alias("hit_rate"),
     )
+    on = [out[k].eqNullSafe(medians[f"_m_{k}"]) for k in keys]
+    names = [*keys, "n", "r2", "rmse", "mae", "median_ae", "sum_ratio", "mape", "pinball", "hit_rate"]
+    return (out.join(medians, on, "left") if keys else out.crossJoin(F.broadcast(medians))).select(*names)
 
 
 def residual_checks(df: DataFrame, y: str, pred: str) -> DataFrame:
@@ -188,8 +194,10 @@ def residual_checks(df: DataFrame, y: str, pred: str) -> DataFrame:
 def error_segments(df: DataFrame, y: str, pred: str, numbers: list[str], texts: list[str], top: int = 8) -> DataFrame:
     """(column_name, segment, n, mae, bias) of the worst quartiles of numbers and values of text, of max(30, 2 %) rows or more."""
     e = F.col(pred) - F.col(y)
-    cuts = df.agg(*(F.percentile(F.col(c), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"_q_{c}") for c in numbers), F.count("*").alias("_n"))
-    base = df.crossJoin(F.broadcast(cuts))
+    base = df.crossJoin(F.broadcast(df.agg(F.count("*").alias("_n"))))
+    if numbers:
+        found = column_quantiles(df, numbers, [0.25, 0.5, 0.75])
+        base = base.crossJoin(F.broadcast(found.agg(*(F.max(F.when(F.col("column_name") == c, F.col("q"))).alias(f"_q_{c}") for c in numbers))))
     quartile = lambda c: sum((F.col(c) > F.col(f"_q_{c}")[i]).cast("int") for i in range(3)) + 1
     made = [F.struct(F.lit(c).alias("column_name"), F.concat(F.lit("Q"), quartile(c).cast("string")).alias("segment")) for c in numbers]
     made += [F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("segment")) for c in texts]
@@ -201,8 +209,8 @@ def error_segments(df: DataFrame, y: str, pred: str, numbers: list[str], texts:
 def conformal_width(df: DataFrame, y: str, pred: str, coverage: float = 0.9) -> DataFrame:
     """One row (n, width): the absolute error at rank ceil((n + 1) coverage), for an interval pred +- width."""
     e = F.abs(F.col(y) - F.col(pred))
-    counts = df.where(e.isNotNull()).groupBy(e.alias("e")).count()
-    upto = counts.withColumns({"upto": F.sum("count").over(Window.orderBy("e")), "n": F.sum("count").over(Window.partitionBy())})
+    counts = df.where(e.isNotNull()).groupBy(e.alias("e")).agg(F.count("*").alias("c"))
+    upto = running(counts, "e", ["c"]).select("e", (F.col("c_before") + F.col("c")).alias("upto"), F.col("c_all").alias("n"))
     need = F.least(F.ceil((F.col("n") + 1) * coverage), F.col("n"))
     return upto.where(F.col("upto") >= need).groupBy("n").agg(F.min("e").alias("width"))
 
@@ -215,8 +223,8 @@ def bootstrap(df: DataFrame, label: str, score: str, resamples: int = 200, seed:
     z = lambda tag: F.sqrt(-2 * F.log(u(tag + "a"))) * F.cos(6.283185307179586 * u(tag + "b"))
     draw = lambda c: F.greatest(F.lit(0.0), F.round(F.when(F.col(c) < 8, _poisson(F.col(c), u(c + "p"))).otherwise(F.col(c) + F.sqrt(F.col(c)) * z(c))))
     rows = counts.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(resamples)))).select("b", "score", draw("pos").alias("pos"), draw("neg").alias("neg"))
-    down, every = Window.partitionBy("b").orderBy(F.desc("score")), Window.partitionBy("b")
-    rows = rows.withColumns({"tp": F.sum("pos").over(down), "fp": F.sum("neg").over(down), "P": F.sum("pos").over(every), "N": F.sum("neg").over(every)})
+    up = running(rows, "score", ["pos", "neg"], ["b"])
+    rows = up.select("b", "score", "pos", "neg", (F.col("pos_all") - F.col("pos_before")).alias("tp"), (F.col("neg_all") - F.col("neg_before")).alias("fp"), F.col("pos_all").alias("P"), F.col("neg_all").alias("N"))
     hit = F.col("score") >= threshold
     per = rows.groupBy("b").agg(
         F.try_divide(F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2)), F.max("P") * F.max("N")).alias("roc_auc"),
@@ -252,8 +260,7 @@ def paired_difference(a: DataFrame, b: DataFrame, key: str, label: str, score: s
     u = (F.pmod(F.xxhash64("g", "r", F.lit(seed)), F.lit(1_000_003)) + 0.5) / 1_000_003
     weights = F.broadcast(weights.withColumn("w", F.when(F.col("r") == 0, F.lit(1.0)).otherwise(_poisson(F.lit(1.0), u))))  # 64 blocks x resamples
     rows = counts.join(weights, "g").groupBy("r", "m", "s").agg(F.sum(F.col("p") * F.col("w")).alias("p"), F.sum(F.col("n") * F.col("w")).alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.partitionBy("r", "m").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    auc = rows.withColumn("b", below).groupBy("r", "m").agg(F.try_divide(F.sum(F.col("p") * (F.col("b") + F.col("n") / 2)), F.sum("p") * F.sum("n")).alias("auc"))
+    auc = running(rows, "s", ["n"], ["r", "m"]).withColumnRenamed("n_before", "b").groupBy("r", "m").agg(F.try_divide(F.sum(F.col("p") * (F.col("b") + F.col("n") / 2)), F.sum("p") * F.sum("n")).alias("auc"))
     d = auc.groupBy("r").agg((F.max(F.when(F.col("m") == "b", F.col("auc"))) - F.max(F.when(F.col("m") == "a", F.col("auc")))).alias("d"))
     ends = [F.percentile(F.when(F.col("r") > 0, F.col("d")), F.lit(q)) for q in (0.025, 0.975)]
     out = d.agg(F.max(F.when(F.col("r") == 0, F.col("d"))).alias("difference"), ends[0].alias("low"), ends[1].alias("high"))

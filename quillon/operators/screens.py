@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.basics import numeric_columns, parse_time, stacked, text_columns
+from quillon.operators.ranking import average_ranks, column_quantiles, quantiles, running
+from quillon.session import materialise
 
 # Words of column names.
 ID_WORDS = ["id", "uuid", "guid", "key", "hash", "msisdn", "imsi", "imei", "iban", "ssn"]
@@ -42,10 +44,15 @@ def profile(df: DataFrame) -> DataFrame:
     for c in df.columns:
         x = F.col(c).cast("double")
         parts = [F.count("*").alias("n"), F.count_if(F.col(c).isNull()).alias("missing")]
-        kinds = (("mean", F.avg), ("std", F.stddev_samp), ("min", F.min), ("median", F.median), ("max", F.max))
+        kinds = (("mean", F.avg), ("std", F.stddev_samp), ("min", F.min), ("max", F.max))
         parts += [(F.when(F.count(x) > 1, f(x)) if k == "std" else f(x)).alias(k) if c in numbers else null.alias(k) for k, f in kinds]
         made.append(F.struct(F.lit(c).alias("column_name"), F.lit(df.schema[c].dataType.simpleString()).alias("dtype"), *parts))
     stats = df.agg(F.array(*made).alias("_a")).select(F.explode("_a").alias("_p")).select("_p.*")
+    if numbers:
+        medians = column_quantiles(df, [c for c in df.columns if c in numbers], [0.5])
+        stats = stats.join(F.broadcast(medians.select("column_name", F.col("q")[0].alias("median"))), "column_name", "left")  # one row for each column
+    else:
+        stats = stats.withColumn("median", null)
     return with_distinct(stats, df, df.columns).select("column_name", "dtype", "n", "missing", "n_distinct", "mean", "std", "min", "median", "max")
 
 
@@ -97,9 +104,10 @@ def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
 
 def box_stats(df: DataFrame, column: str, by: str | None = None) -> DataFrame:
     """(by, n, min, q1, median, q3, max, low_fence, high_fence)."""
-    q = F.percentile(F.col(column), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
     keys = [by] if by else []
-    out = df.groupBy(*keys).agg(F.count(column).alias("n"), F.min(column).alias("min"), q.alias("_q"), F.max(column).alias("max"))
+    out = df.groupBy(*keys).agg(F.count(column).alias("n"), F.min(column).alias("min"), F.max(column).alias("max"))
+    found = quantiles(df.select(*keys, F.col(column).alias("value")), [0.25, 0.5, 0.75], keys).select(*(F.col(k).alias(f"_by_{k}") for k in keys), F.col("q").alias("_q"))
+    out = out.join(found, out[by].eqNullSafe(found[f"_by_{by}"]), "left") if by else out.crossJoin(F.broadcast(found))
     low, mid, high = (F.col("_q")[i] for i in range(3))
     return out.select(*keys, "n", "min", low.alias("q1"), mid.alias("median"), high.alias("q3"), "max", (low - 1.5 * (high - low)).alias("low_fence"), (high + 1.5 * (high - low)).alias("high_fence"))
 
@@ -185,11 +193,10 @@ def hash_fold(key: Column, folds: int, seed: str = "") -> Column:
 def rank_auc(long: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, auc) of rows (keys, value, pos 0/1): the rank statistic with ties counted half.
 
-    Rows are first reduced to counts per distinct value, and only those are put in order.
+    Rows are first reduced to counts per distinct value, and only those are put in order, range by range.
     """
     counts = long.groupBy(*keys, "value").agg(F.sum("pos").alias("p"), F.sum(1 - F.col("pos")).alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy("value").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return counts.withColumn("b", below).groupBy(*keys).agg(
+    return running(counts, "value", ["n"], keys).withColumnRenamed("n_before", "b").groupBy(*keys).agg(
         F.try_divide(F.sum(F.col("p") * (F.col("b") + F.col("n") / 2.0)), F.sum("p").cast("double") * F.sum("n")).alias("auc")
     )
 
@@ -215,7 +222,7 @@ def single_column_auc(df: DataFrame, target: str, positive, key: str, columns: l
     base = df.where(F.col(target).isNotNull()).withColumn("_pos", pos)
     parts = []
     if numbers:
-        medians = F.broadcast(stacked(base.agg(*(F.median(c).alias(c) for c in numbers)), numbers, [], value="med"))
+        medians = F.broadcast(column_quantiles(base, numbers, [0.5]).select("column_name", F.col("q")[0].alias("med")))
         long = stacked(base, numbers, ["_pos"]).join(medians, "column_name").select("column_name", F.coalesce("value", "med").alias("value"), F.col("_pos").alias("pos"))
         parts.append(long)
     for c in (c for c in columns if c not in numbers):
@@ -227,9 +234,8 @@ def single_column_auc(df: DataFrame, target: str, positive, key: str, columns: l
     for p in counted[1:]:
         everything = everything.unionByName(p)
     counts = everything.groupBy("column_name", "value").agg(F.sum(F.col("pos") * F.col("k")).alias("p"), F.sum((1 - F.col("pos")) * F.col("k")).alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.partitionBy("column_name").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     auc = F.try_divide(F.sum(F.col("p") * (F.col("b") + F.col("n") / 2.0)), F.sum("p").cast("double") * F.sum("n"))
-    return counts.withColumn("b", below).groupBy("column_name").agg(F.greatest(auc, 1 - auc).alias("auc"))
+    return running(counts.where("value IS NOT NULL"), "value", ["n"], ["column_name"]).withColumnRenamed("n_before", "b").groupBy("column_name").agg(F.greatest(auc, 1 - auc).alias("auc"))
 
 
 def spearman(df: DataFrame, columns: list[str], target: str) -> DataFrame:
@@ -238,9 +244,7 @@ def spearman(df: DataFrame, columns: list[str], target: str) -> DataFrame:
     for c in columns:
         both = df.where(F.col(c).isNotNull() & F.col(target).isNotNull()).select(F.col(c).cast("double").alias("a"), F.col(target).cast("double").alias("b"))
         for x in ("a", "b"):
-            n = both.groupBy(x).count()
-            upto = F.sum("count").over(Window.orderBy(x))
-            both = both.join(n.select(x, (upto - (F.col("count") - 1) / 2.0).alias(f"r{x}")), x)
+            both = average_ranks(both, x, f"r{x}")
         one = both.agg(F.corr("ra", "rb").alias("spearman")).select(F.lit(c).alias("column_name"), "spearman")
         out = one if out is None else out.unionByName(one)
     return out
@@ -276,12 +280,16 @@ def profile_features(df: DataFrame, target: str, positive, key: str) -> DataFram
     made = [
         F.struct(
             F.lit(c).alias("column_name"), F.avg(F.col(c).isNull().cast("double")).alias("missing_share"),
-            (F.median(F.when(pos, F.col(c).cast("double"))) if c in numbers else null).alias("median_pos"),
-            (F.median(F.when(~pos, F.col(c).cast("double"))) if c in numbers else null).alias("median_neg"),
         )
         for c in columns
     ]
     out = df.agg(F.array(*made).alias("_a")).select(F.explode("_a").alias("_p")).select("_p.*")
+    mids = column_quantiles(df.withColumn("_pos", pos), [c for c in columns if c in numbers], [0.5], ["_pos"]).groupBy("column_name") if numbers & set(columns) else None
+    if mids is not None:
+        sides = [F.max(F.when(F.col("_pos") == side, F.col("q")[0])).alias(name) for name, side in (("median_pos", True), ("median_neg", False))]
+        out = out.join(F.broadcast(mids.agg(*sides)), "column_name", "left")  # one row for each column
+    else:
+        out = out.withColumns({"median_pos": null, "median_neg": null})
     out = with_distinct(out, df, columns).join(single_column_auc(df, target, positive, key), "column_name", "left")
     flag = (
         F.when(F.col("n_distinct") <= 1, "constant").when(F.col("missing_share") > 0.5, "mostly_missing")
@@ -294,8 +302,10 @@ def label_rule(df: DataFrame, target: str, positive, column: str) -> DataFrame:
     """One row (cut, above, gini, average_precision): the best single cut of a number for the class, from its value counts."""
     base = df.where(F.col(column).isNotNull() & F.col(target).isNotNull()).select(F.col(column).cast("double").alias("v"), (F.col(target) == positive).cast("long").alias("y"))
     counts = base.groupBy("v").agg(F.sum("y").alias("p"), F.count("*").alias("n"))
-    w, every = Window.orderBy("v"), Window.partitionBy()
-    cuts = counts.withColumns({"cp": F.sum("p").over(w), "cn": F.sum("n").over(w), "tp": F.sum("p").over(every), "tn": F.sum("n").over(every), "up": F.lead("v").over(w)}).where("up IS NOT NULL")
+    placed = running(counts.withColumn("one", F.lit(1)), "v", ["p", "n", "one"])
+    placed = placed.select("v", (F.col("p_before") + F.col("p")).alias("cp"), (F.col("n_before") + F.col("n")).alias("cn"), F.col("p_all").alias("tp"), F.col("n_all").alias("tn"), F.col("one_before").alias("i"))
+    placed = materialise(placed, "cuts")
+    cuts = placed.join(placed.select((F.col("i") - 1).alias("i"), F.col("v").alias("up")), "i")
     lp, rp = F.col("cp") / F.col("cn"), (F.col("tp") - F.col("cp")) / (F.col("tn") - F.col("cn"))
     gini = 2 * (F.col("cn") * lp * (1 - lp) + (F.col("tn") - F.col("cn")) * rp * (1 - rp)) / F.col("tn")
     hi, lo = F.greatest(lp, rp), F.least(lp, rp)

@@ -90,6 +90,16 @@ def class_balance(spark, d):
     return rounded(screens.class_balance(table(spark, d, "orders"), "o_orderstatus"))
 
 
+NEGATIVE = f"""(regexp_replace(lower(trim(y)), '[- ]', '_', 'g') IN ({", ".join(f"'{w}'" for w in splits.NEGATIVE_WORDS)}) OR regexp_matches(regexp_replace(lower(trim(y)), '[- ]', '_', 'g'), '^(no_|non_|not_)'))"""
+
+
+@R.add(f"""WITH t AS (SELECT CASE WHEN o_orderstatus = 'F' THEN 'paid' ELSE 'default' END AS y FROM orders UNION ALL SELECT CASE WHEN o_orderstatus = 'F' THEN 'no_churn' ELSE 'churn' END || '' FROM orders WHERE false),
+v AS (SELECT DISTINCT y, {NEGATIVE} AS negative FROM t) SELECT count(*) AS classes, CASE WHEN count(*) = 2 THEN CASE WHEN arg_max(negative, y) AND NOT arg_min(negative, y) THEN min(y) ELSE max(y) END END AS event FROM v""")
+def event_label(spark, d):
+    labels = table(spark, d, "orders").select(F.when(F.col("o_orderstatus") == "F", "paid").otherwise("default").alias("y"))
+    return splits.event_label(labels, "y")
+
+
 @R.add("""WITH c AS (SELECT toxic, count(*) AS n FROM labels GROUP BY 1) SELECT count(*) AS classes, round(min(n) / max(n), 6) AS ratio, min(n) / max(n) < 0.2 AS imbalanced FROM c""")
 def check_imbalance(spark, d):
     return rounded(screens.imbalance(table(spark, d, "labels"), "toxic"))

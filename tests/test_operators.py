@@ -121,6 +121,10 @@ def test_splits(spark):
     out, report = splits.prepare(df.unionByName(df.limit(3)), "y", "t")
     assert report["duplicates"] == 3 and out.count() == 400 and report["positive"] is True
     assert splits.positive_label(["fraud", "normal"]) == "fraud" and splits.positive_label([0, 1]) == 1
+    for event, other in (("default", "paid"), ("churned", "retained"), ("fraud", "genuine"), ("fail", "pass"), ("churn", "no_churn"), ("fraud", "Non-Fraud"), ("Yes", "No")):
+        assert splits.positive_label([other, event]) == splits.positive_label([event, other]) == event
+        labels = spark.createDataFrame([(event,), (other,), (other,), (None,)], "y string")
+        assert tuple(splits.event_label(labels, "y").first()) == (2, event)
     assert splits.structure_sample(df, 50, time="t").agg(F.min("t")).first()[0] == 350
 
 
@@ -302,3 +306,66 @@ def test_queries_fit_on_the_default_rows(spark, sf, monkeypatch):
     for query in (later.knn_scores, later.lof_scores, later.gower_medoids):
         query(spark, sf)
     assert seen == {"neighbours": [True, True], "k_medoids": [True]}
+
+
+def brute_lof(x, k):
+    """Distance to the k-th other row, and the local outlier factor, of every row."""
+    import numpy as np
+
+    x = (x - x.mean(0)) / x.std(0)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    np.fill_diagonal(d, np.inf)
+    at = np.argsort(d, axis=1, kind="stable")[:, :k]
+    near = np.take_along_axis(d, at, 1)
+    density = 1 / np.maximum(near, near[:, -1][at]).mean(1)
+    return near[:, -1], density[at].mean(1) / density
+
+
+def test_neighbours_against_brute_force(spark):
+    """Rows of the fit sample are not their own neighbours, and scores don't depend on the batches."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(150, 4))
+    x[:3] += 6
+    df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)], "k long, a double, b double, c double, d double").repartition(5)
+    far, lof = brute_lof(x, 5)
+    for method, want in (("knn", far), ("lof", lof)):
+        for size in (7, 10_000):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            got = {r.k: r.score for r in anomaly.neighbours(df, list("abcd"), ["k"], method, 5).collect()}
+            assert [got[i] for i in range(150)] == pytest.approx(want.tolist(), rel=1e-6)
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_detectors_with_missing_values_and_no_rows(spark):
+    rows = [(i, float(i % 7), None if i % 5 == 0 else float(i)) for i in range(60)]
+    df = spark.createDataFrame(rows, "k long, a double, b double").repartition(3)
+    for score in (lambda d: anomaly.neighbours(d, ["a", "b"], ["k"], "knn", 3), lambda d: anomaly.neighbours(d, ["a", "b"], ["k"], "lof", 3), lambda d: anomaly.isolation_forest(d, ["a", "b"], ["k"], trees=10)):
+        seen = []
+        for size in (4, 10_000):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            seen.append(sorted((r.k, round(r.score, 9)) for r in score(df).collect()))
+        assert seen[0] == seen[1] and len(seen[0]) == 60
+        assert score(df.limit(0)).count() == 0 and {r.score for r in score(df.where("b IS NULL")).collect()} == {None}
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_running_sums_and_quantiles(spark):
+    import numpy as np
+
+    from quillon.operators import ranking
+
+    rng = np.random.default_rng(6)
+    rows = [(str(i % 3) if i % 4 else None, float(v)) for i, v in enumerate(rng.integers(0, 200, 3000))]
+    df = spark.createDataFrame(rows, "g string, value double").repartition(6)
+    got = {r.g: r for r in ranking.quantiles(df, [0.0, 0.1, 0.5, 0.975, 1.0], ["g"]).collect()}
+    for g in {g for g, _ in rows}:
+        own = [v for h, v in rows if h == g]
+        assert got[g].n == len(own) and got[g].q == pytest.approx(np.quantile(own, [0, 0.1, 0.5, 0.975, 1]).tolist())
+    counts = df.groupBy("value").count()
+    upto, seen = 0, {r.value: (r.count_before, r.count_all) for r in ranking.running(counts, "value", ["count"]).collect()}
+    for v, n in sorted((r.value, r["count"]) for r in counts.collect()):
+        assert seen[v] == (upto, 3000)
+        upto += n
+    assert ranking.quantiles(df.limit(0), [0.5], ["g"]).count() == 0 and ranking.column_medians(df.limit(0), ["value"]).first().value is None
