@@ -243,3 +243,89 @@ def overlay(history: DataFrame, forecast: DataFrame, time: str, y: str) -> DataF
 
 def share_inside(y: Column, low: Column, high: Column) -> Column:
     return F.avg(((y >= low) & (y <= high)).cast("double"))
+
+
+def one_series(df: DataFrame, column: str, value: object) -> DataFrame:
+    """The rows of one series of a long table, compared as text."""
+    return df.where(F.col(column).cast("string") == str(value)).drop(column)
+
+
+def scaled_errors(errors: DataFrame, scales: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, step, error): signed errors, forecast less actual, in units of each series' own scale (keys, scale); null where that is 0."""
+    out = errors.join(scales, keys)
+    return out.select(*keys, "step", F.try_divide(F.col("forecast") - F.col("actual"), F.col("scale")).alias("error"))
+
+
+def panel_report(errors: DataFrame, naive: DataFrame, keys: list[str], scales: DataFrame) -> DataFrame:
+    """One row (series, n, wape, rmse, median_mase, beat_naive_share) over a panel; exact, and no series weighs more for its size in median_mase."""
+    from quillon.operators.ranking import quantiles
+
+    own = forecast_metrics(errors.join(scales, keys), keys, scale="scale")
+    base = forecast_metrics(naive, keys).select(*keys, F.col("mae").alias("_b"))
+    e = F.col("forecast") - F.col("actual")
+    pooled = errors.agg(F.count("*").alias("n"), F.try_divide(100 * F.sum(F.abs(e)), F.sum(F.abs("actual"))).alias("wape"), F.sqrt(F.avg(e * e)).alias("rmse"))
+    better = own.join(base, keys).agg(F.count("*").alias("series"), F.avg((F.col("mae") < F.col("_b")).cast("double")).alias("beat_naive_share"))
+    middle = quantiles(own.select(F.col("mase").alias("value")), [0.5], []).select(F.col("q")[0].alias("median_mase"))
+    return better.crossJoin(pooled).crossJoin(middle).select("series", "n", "wape", "rmse", "median_mase", "beat_naive_share")
+
+
+def worst_series(errors: DataFrame, keys: list[str], top: int = 5) -> DataFrame:
+    """The `top` series of the largest WAPE: (keys, n, wape, bias_pct)."""
+    return forecast_metrics(errors, keys).select(*keys, "n", "wape", "bias_pct").orderBy(F.desc_nulls_last("wape"), *keys).limit(top)
+
+
+def mape(errors: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, mape): the mean absolute percentage error, withheld (null) if an actual value lies near zero."""
+    a = F.abs("actual")
+    e = F.abs(F.col("forecast") - F.col("actual"))
+    return errors.groupBy(*keys).agg(F.when(F.min(a) >= 1e-3 * F.avg(a), 100 * F.avg(F.try_divide(e, a))).alias("mape"))
+
+
+def coverage(errors: DataFrame, bands: DataFrame) -> DataFrame:
+    """One row (coverage): the share of residuals (step, residual) inside the bands (step, low, high)."""
+    return errors.join(F.broadcast(bands), "step").agg(share_inside(F.col("residual"), F.col("low"), F.col("high")).alias("coverage"))  # one row for each step
+
+
+def panel_status(df: DataFrame, keys: list[str], time: str, horizon: int, season: int, max_lag: int) -> DataFrame:
+    """(keys, n, first, last, status) of each series: "stale" if it ends before the hold-out, "too_short" to learn from, else "ok".
+
+    The hold-out is the last `horizon` distinct times of the panel.
+    """
+    from quillon.operators.splits import exact_rank
+
+    times = exact_rank(df.select(time).distinct(), [time], "_i")
+    start = F.broadcast(times.crossJoin(times.agg(F.count("*").alias("_n"))).where(F.col("_i") == F.greatest(F.lit(0), F.col("_n") - horizon)).select(F.col(time).alias("_start")))
+    per = df.groupBy(*keys).agg(F.count("*").alias("n"), F.min(time).alias("first"), F.max(time).alias("last")).crossJoin(start)
+    least = max(2 * season, max_lag + 5, 10) + horizon
+    status = F.when(F.col("last") < F.col("_start"), "stale").when(F.col("n") < least, "too_short").otherwise("ok")
+    return per.select(*keys, "n", "first", "last", status.alias("status"))
+
+
+def prepare_forecast(df: DataFrame, time: str, y: str, horizon: int, keys: list[str] | None = None, how: str = "sum") -> tuple[DataFrame, dict]:
+    """(rows (keys, time, y, fold), report): duplicates aggregated, gaps in the grid opened as nulls, the last `horizon` steps of each series held out as test.
+
+    The report holds the step in seconds, its share of all differences, rows, gaps and series.  The step must cover 80 %
+    of the differences and be at most 7 days.
+    """
+    keys = keys or []
+    made = df.where(F.col(time).isNotNull()).groupBy(*keys, time).agg(F.expr(f"{how}(`{y}`)").alias(y))
+    step = infer_step(made, keys, time).first()
+    if step is None or step.share < 0.8 or step.step_seconds > 7 * 86_400:
+        raise ValueError("the times have no regular step of at most 7 days")
+    whole = fill_grid(made, keys, time)
+    last = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(time)))
+    out = whole.withColumn("fold", F.when(last <= horizon, "test").otherwise("train"))
+    n = out.agg(F.count("*").alias("rows"), F.count_if(F.col(y).isNull()).alias("gaps"), *([F.count_distinct(*keys).alias("series")] if keys else [F.lit(1).alias("series")])).first()
+    return out, {"step_seconds": step.step_seconds, "share": step.share, "rows": n["rows"], "gaps": n["gaps"], "series": n["series"]}
+
+
+def serve(history: DataFrame, keys: list[str], time: str, y: str, season: int, horizon: int, bands: DataFrame, method: str = "naive") -> DataFrame:
+    """(keys, step, forecast, low, high): forecasts beyond the history with the shipped bands; steps beyond the bands take the widest.
+
+    method is "naive" or "holt_winters".
+    """
+    made = {"naive": seasonal_naive, "holt_winters": holt_winters}[method](history, keys, time, y, season, horizon)
+    known = bands.agg(F.max("step").alias("_last"))
+    at = made.crossJoin(F.broadcast(known)).withColumn("_at", F.least("step", "_last"))
+    out = at.join(F.broadcast(bands.withColumnRenamed("step", "_at")), "_at", "left")  # one row for each step
+    return out.select(*keys, "step", "forecast", (F.col("forecast") + F.col("low")).alias("low"), (F.col("forecast") + F.col("high")).alias("high"))

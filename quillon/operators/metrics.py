@@ -265,3 +265,37 @@ def paired_difference(a: DataFrame, b: DataFrame, key: str, label: str, score: s
     ends = [F.percentile(F.when(F.col("r") > 0, F.col("d")), F.lit(q)) for q in (0.025, 0.975)]
     out = d.agg(F.max(F.when(F.col("r") == 0, F.col("d"))).alias("difference"), ends[0].alias("low"), ends[1].alias("high"))
     return out.withColumn("distinguishable", (F.col("low") > 0) | (F.col("high") < 0))
+
+
+def later_backtest(before: DataFrame, later: DataFrame, label: str, score: str, threshold: float) -> DataFrame:
+    """One row on later labelled rows: (n, positive_rate, alert_rate, precision, recall, average_precision, ap_change against the rows of then)."""
+    hit, y = F.col(score) >= threshold, F.col(label).cast("long")
+    rates = later.where(F.col(label).isNotNull() & F.col(score).isNotNull()).agg(
+        F.count("*").alias("n"), F.avg(y).alias("positive_rate"), F.avg(hit.cast("double")).alias("alert_rate"),
+        div(F.sum(F.when(hit, y)), F.count_if(hit)).alias("precision"), div(F.sum(F.when(hit, y)), F.sum(y)).alias("recall"),
+    )
+    now = auc_ap(later, label, score).select("average_precision")
+    then = auc_ap(before, label, score).select(F.col("average_precision").alias("_then"))
+    return rates.crossJoin(now).crossJoin(then).withColumn("ap_change", F.col("average_precision") - F.col("_then")).drop("_then")
+
+
+def residual_histogram(df: DataFrame, y: str, pred: str, bins: int = 30) -> DataFrame:
+    """(bin, low, high, n) of actual less predicted, over all rows."""
+    from quillon.operators.screens import histogram
+
+    return histogram(df.select((F.col(y) - F.col(pred)).alias("residual")), "residual", bins)
+
+
+def diagnostics_sample(df: DataFrame, y: str, pred: str, key: list[str], rows: int = 5000, seed: int = 42) -> DataFrame:
+    """(key, actual, predicted, residual) of at most about `rows` rows, chosen by the hash of their key, for a chart."""
+    n = F.broadcast(df.agg(F.count("*").alias("_n")))
+    chosen = F.pmod(F.xxhash64(*key, F.lit(seed)), F.lit(1_000_000)) < 1_000_000 * F.least(F.lit(1.0), F.lit(float(rows)) / F.col("_n"))
+    return df.crossJoin(n).where(chosen).select(*key, F.col(y).alias("actual"), F.col(pred).alias("predicted"), (F.col(y) - F.col(pred)).alias("residual"))
+
+
+def quantile_groups(df: DataFrame, column: str, tiebreak: list[str], k: int, name: str = "group") -> DataFrame:
+    """Adds the 0-based quantile group of each non-null value's first-come rank: groups of equal size whatever the ties."""
+    ranked = exact_rank(df.where(F.col(column).isNotNull()), [column, *tiebreak], "_rank")
+    n = F.broadcast(ranked.agg(F.count("*").alias("_n")))
+    place = F.ceil(F.col("_rank") * k / F.greatest(F.col("_n") - 1, F.lit(1))) - 1
+    return ranked.crossJoin(n).withColumn(name, F.greatest(F.lit(0), place).cast("int")).drop("_rank", "_n")

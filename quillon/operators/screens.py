@@ -313,3 +313,56 @@ def label_rule(df: DataFrame, target: str, positive, column: str) -> DataFrame:
     ap = hi * hi_p / F.col("tp") + (F.col("tp") / F.col("tn")) * (1 - hi_p / F.col("tp"))
     best = cuts.select(((F.col("v") + F.col("up")) / 2).alias("cut"), (rp >= lp).alias("above"), gini.alias("gini"), ap.alias("average_precision"), lo.alias("_lo"))
     return best.orderBy("gini", "cut").limit(1).drop("_lo")
+
+
+def label_rule_tree(df: DataFrame, target: str, positive, columns: list[str], model_ap: float | None = None, depth: int = 2) -> DataFrame:
+    """(column_name, average_precision, ratio, suspicious), best first: how far a tree of `depth` levels on one number alone gets.
+
+    The ratio is to the average precision of the model; from 0.9 on the label looks like a rule on that column.
+    """
+    from pyspark.ml.classification import DecisionTreeClassifier
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    from quillon.operators.metrics import auc_ap
+
+    out = None
+    for c in columns:
+        rows = df.where(F.col(c).isNotNull() & F.col(target).isNotNull()).select(F.col(c).cast("double").alias("x"), (F.col(target) == positive).cast("double").alias("label"))
+        rows = VectorAssembler(inputCols=["x"], outputCol="features").transform(rows)
+        model = DecisionTreeClassifier(maxDepth=depth).fit(rows)
+        scored = model.transform(rows).select("label", vector_to_array("probability")[1].alias("s"))
+        one = auc_ap(scored, "label", "s").select(F.lit(c).alias("column_name"), "average_precision")
+        out = one if out is None else out.unionByName(one)
+    ratio = F.try_divide(F.col("average_precision"), F.lit(model_ap).cast("double"))
+    return out.withColumn("ratio", ratio).withColumn("suspicious", F.coalesce(ratio >= 0.9, F.lit(False))).orderBy(F.desc("average_precision"), "column_name")
+
+
+def regression_signal(df: DataFrame, target: str, key: str, numbers: list[str], texts: list[str], folds: int = 5) -> DataFrame:
+    """(column_name, signal): the absolute Spearman correlation of each column with the target, text by its value's mean in the other folds."""
+    base = df.where(F.col(target).isNotNull())
+    parts = [spearman(base, numbers, target)] if numbers else []
+    for c in texts:
+        rows = base.select(F.coalesce(F.col(c).cast("string"), F.lit("__missing__")).alias("v"), F.col(target).cast("double").alias("y"), hash_fold(F.col(key), folds).alias("fold"))
+        per = rows.groupBy("v", "fold").agg(F.sum("y").alias("s"), F.count("*").alias("n"))
+        w = Window.partitionBy("v")
+        mean = F.broadcast(rows.agg(F.avg("y").alias("mean")))
+        rest = per.crossJoin(mean).select("v", "fold", F.coalesce(F.try_divide(F.sum("s").over(w) - F.col("s"), F.sum("n").over(w) - F.col("n")), F.col("mean")).alias(c))
+        parts.append(spearman(rows.join(rest, ["v", "fold"]), [c], "y"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.select("column_name", F.abs("spearman").alias("signal"))
+
+
+def regression_leakage(df: DataFrame, target: str, key: str, numbers: list[str], texts: list[str], least: float = 0.999) -> DataFrame:
+    """(column_name, signal) of columns whose order is that of the target."""
+    return regression_signal(df, target, key, numbers, texts).where(F.col("signal") >= least)
+
+
+def label_copies(df: DataFrame, label: str) -> DataFrame:
+    """(column_name) of columns that tell a label exactly: each of their values goes with one label, and they have at most 20."""
+    others = [c for c in df.columns if c != label]
+    long = stacked(df.where(F.col(label).isNotNull()), others, [label], kind="string").where("value IS NOT NULL")
+    per = long.groupBy("column_name", "value").agg(F.count_distinct(label).alias("k"))
+    return per.groupBy("column_name").agg(F.max("k").alias("k"), F.count("*").alias("n")).where("k = 1 AND n BETWEEN 2 AND 20").select("column_name")

@@ -187,7 +187,7 @@ def adjusted_rand(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return row.select(F.coalesce(F.try_divide(F.col("s") - expected, (F.col("sa") + F.col("sb")) / 2 - expected), F.lit(1.0)).alias("ari"))
 
 
-def stability(df: DataFrame, key: str, algorithm: str, k: int, refits: int = 5, seed: int = 42) -> DataFrame:
+def stability(df: DataFrame, key: str, algorithm: str, k: int, refits: int = 10, seed: int = 42) -> DataFrame:
     """(refit, ari): agreement of the full fit with fits on 80 % of the rows."""
     full = fit(df, algorithm, k, seed).transform(df).select(key, F.col("segment").alias("a"))
     out = None
@@ -272,3 +272,61 @@ def projection(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
     return out.select(key, F.col("_p")[0].alias("x"), F.col("_p")[1].alias("y"), "segment")
 
 
+def segment_sizes(df: DataFrame, segment: str = "segment") -> DataFrame:
+    """(segment, n, share); noise is a segment of its own."""
+    sizes = df.groupBy(segment).agg(F.count("*").alias("n"))
+    return sizes.crossJoin(F.broadcast(sizes.agg(F.sum("n").alias("_all")))).select(segment, "n", (F.col("n") / F.col("_all")).alias("share"))
+
+
+def davies_bouldin(df: DataFrame, columns: list[str], segment: str = "segment") -> DataFrame:
+    """One row (davies_bouldin): the mean over segments of the largest ratio of two segments' spreads to the distance of their centres.
+
+    A spread is the mean distance of a segment's rows to its centre; noise (-1) and rows with missing values are left out.
+    Null with under two segments.  Segments are few; pairs of them are joined, never pairs of rows.
+    """
+    known = df.where(F.col(segment) != -1).select(segment, *(F.col(c).cast("double").alias(c) for c in columns)).dropna(subset=columns)
+    centres = known.groupBy(segment).agg(*(F.avg(c).alias(f"_m{i}") for i, c in enumerate(columns)))
+    square = lambda a, b: sum(((x - y) * (x - y) for x, y in zip(a, b, strict=True)), F.lit(0.0))
+    names = [f"_m{i}" for i in range(len(columns))]
+    apart = F.sqrt(square([F.col(c) for c in columns], [F.col(n) for n in names]))
+    spread = known.join(centres, segment).groupBy(segment, *names).agg(F.avg(apart).alias("s"))
+    other = spread.select(F.col(segment).alias("_other"), F.col("s").alias("_t"), *(F.col(n).alias(f"{n}b") for n in names))
+    between = F.sqrt(square([F.col(n) for n in names], [F.col(f"{n}b") for n in names]))
+    pairs = spread.join(other, F.col(segment) != F.col("_other"))
+    worst = pairs.groupBy(segment).agg(F.max(F.try_divide(F.col("s") + F.col("_t"), between)).alias("r"))
+    return worst.agg(F.avg("r").alias("davies_bouldin"))
+
+
+def stability_verdict(refits: DataFrame, least: float = 0.7) -> DataFrame:
+    """One row (refits, mean_ari, stable) of stability()'s rows."""
+    return refits.agg(F.count("*").alias("refits"), F.avg("ari").alias("mean_ari")).withColumn("stable", F.col("mean_ari") >= least)
+
+
+def k_warnings(proposed: DataFrame, weak: float = 0.1) -> DataFrame:
+    """One row (k, silhouette, warning) of propose_k()'s rows: the stable k of the highest silhouette (else of all), and what to doubt.
+
+    "no structure" if no k is stable or the silhouette stays under `weak`, "at the edge" if the best k is the last tried.
+    """
+    best = proposed.agg(F.max(F.struct("stable", "silhouette", (-F.col("k")).alias("_k"))).alias("b"), F.max("k").alias("last"))
+    k = -F.col("b._k")
+    warning = F.when(~F.col("b.stable") | (F.col("b.silhouette") < weak), "no structure").when(k == F.col("last"), "at the edge")
+    return best.select(k.alias("k"), F.col("b.silhouette").alias("silhouette"), warning.alias("warning"))
+
+
+def rule_tree(df: DataFrame, columns: list[str], segment: str = "segment", depth: int = 3) -> tuple[str, float]:
+    """(rules, accuracy) of a tree of `depth` levels that tells the segments apart by the columns: segments in words."""
+    from pyspark.ml.classification import DecisionTreeClassifier
+    from pyspark.ml.feature import StringIndexer, VectorAssembler
+
+    rows = VectorAssembler(inputCols=columns, outputCol="_f").transform(df.select(F.col(segment).cast("string").alias("_s"), *columns).dropna())
+    rows = StringIndexer(inputCol="_s", outputCol="_y").fit(rows).transform(rows)
+    model = DecisionTreeClassifier(featuresCol="_f", labelCol="_y", maxDepth=depth).fit(rows)
+    accuracy = model.transform(rows).agg(F.avg((F.col("prediction") == F.col("_y")).cast("double"))).first()[0]
+    return model.toDebugString, accuracy
+
+
+def distance_columns(df: DataFrame, profile: list[str], keys: list[str]) -> list[str]:
+    """The columns that distances use: all but the keys and those marked for profiles only, which must exist."""
+    if missing := [c for c in profile if c not in df.columns]:
+        raise ValueError(f"missing columns: {', '.join(missing)}")
+    return [c for c in df.columns if c not in {*profile, *keys}]
