@@ -17,7 +17,9 @@ from quillon.functions.basics import without_nan
 # Leading bytes of formats.
 MAGIC = {"parquet": "50415231", "gzip": "1F8B", "zip": "504B0304", "feather": "4152524F5731", "xz": "FD377A585A00", "zstd": "28B52FFD", "bzip2": "425A68"}
 SUFFIX = {"csv": "csv", "tsv": "csv", "txt": "csv", "parquet": "parquet", "pq": "parquet", "json": "json", "jsonl": "json", "ndjson": "json", "feather": "feather", "arrow": "feather", "orc": "orc"}
-CODECS = ("gz", "bz2", "zst", "xz")
+CODECS = ("gz", "bz2", "zst")
+# Words of statements that change a database.
+CHANGES = ["insert", "update", "delete", "merge", "drop", "alter", "create", "truncate", "grant", "revoke", "call", "replace", "copy", "vacuum"]
 
 
 def _checked(path: str) -> str:
@@ -56,8 +58,14 @@ def read_table(spark: SparkSession, path: str, schema: str | None = None) -> Dat
 def read_feather(spark: SparkSession, path: str) -> DataFrame:
     """Arrow files, one task per file."""
     files = spark.read.format("binaryFile").load(path)
-    first = files.select("content").limit(1).collect()
-    shape = spark.createDataFrame(feather.read_table(pa.BufferReader(first[0][0])).slice(0, 0)).schema
+
+    def shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [pa.ipc.open_file(pa.BufferReader(c.as_py())).schema.serialize().to_pybytes() for c in batch.column("content")]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], names=["shape"])
+
+    first = files.select("content").limit(1).mapInArrow(shapes, "shape binary").first()  # of a file only its schema comes to the driver
+    shape = spark.createDataFrame(pa.ipc.read_schema(pa.BufferReader(bytes(first.shape))).empty_table()).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -98,9 +106,8 @@ def read_store(spark: SparkSession, prefix: str, pattern: str, kind: str = "parq
 
 
 def read_query(spark: SparkSession, url: str, query: str, partition: str | None = None, bounds: tuple[int, int] | None = None, parts: int = 8, **options: str) -> DataFrame:
-    """A read-only SQL statement over JDBC, in parallel over a numeric column; the driver class goes in the options."""
-    if not re.match(r"\s*(select|with)\b", query, re.IGNORECASE):
-        raise ValueError("only a SELECT can be read")
+    """One read-only SQL statement over JDBC, in parallel over a numeric column; the driver class goes in the options."""
+    check_read_only(query)
     reader = spark.read.format("jdbc").options(url=url, fetchsize="100000", **options)
     if partition and bounds:
         reader = reader.options(dbtable=f"({query}) q", partitionColumn=partition, lowerBound=str(bounds[0]), upperBound=str(bounds[1]), numPartitions=str(parts))
@@ -109,6 +116,13 @@ def read_query(spark: SparkSession, url: str, query: str, partition: str | None
     return reader.load()
 
 
+def check_read_only(query: str) -> None:
+    """Raises unless the text is one SELECT (or WITH ... SELECT) without a word that changes data, quoted text and comments aside."""
+    bare = re.sub(r"'(?:[^']|'')*'|\"[^\"]*\"|--[^\n]*|/\*.*?\*/", " ", query, flags=re.DOTALL).strip()
+    if not re.match(r"(select|with)\b", bare, re.IGNORECASE) or ";" in bare.rstrip("; \n\t") or re.search(rf"\b({'|'.join(CHANGES)})\b(?!\s*\()", bare, re.IGNORECASE):
+        raise ValueError("only one SELECT can be read")
+
+
 def stack(frames: list[DataFrame]) -> DataFrame:
     """The union of tables with the same columns, in any order."""
     columns = set(frames[0].columns)
@@ -125,9 +139,14 @@ def snapshot(df: DataFrame, path: str, source: str, max_rows: int | None = None)
     """
     cut = False
     if max_rows is not None:
-        cut = df.limit(max_rows + 1).count() > max_rows
-        df = df.limit(max_rows)
-    df.write.mode("overwrite").parquet(path)
+        from quillon.session import discard, materialise
+
+        taken = materialise(df.limit(max_rows + 1), "taken")  # the source is read once
+        cut = taken.count() > max_rows
+        taken.limit(max_rows).write.mode("overwrite").parquet(path)
+        discard(taken)
+    else:
+        df.write.mode("overwrite").parquet(path)
     frozen = df.sparkSession.read.parquet(path)
     line = frozen.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.xxhash64(*frozen.columns).cast("decimal(38,0)")), F.lit(0)).cast("string").alias("checksum"))
     return line.select(F.lit(source).alias("source"), F.lit(path).alias("path"), "rows", F.lit(cut).alias("truncated"), F.current_timestamp().alias("fetched_at"), "checksum")
@@ -141,6 +160,18 @@ def validity(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", "length", kind.alias("looks_like"))
 
 
+def write_table(df: DataFrame, path: str, kind: str = "parquet", mode: str = "overwrite") -> None:
+    """Writes features, predictions or queues as Parquet or as CSV with a header (arrays and structs as JSON there)."""
+    if kind == "csv":
+        nested = [f.name for f in df.schema if f.dataType.typeName() in ("array", "struct", "map")]
+        df = df.withColumns({c: F.to_json(F.col(c)) for c in nested}) if nested else df
+        df.write.mode(mode).csv(path, header=True, escape='"')
+    elif kind == "parquet":
+        df.write.mode(mode).parquet(path)
+    else:
+        raise ValueError(f"no writer for {kind!r}")
+
+
 def append_log(df: DataFrame, path: str, partition: str = "model_id") -> None:
     """Appends predictions, aligned to the columns that the log already has."""
     spark = df.sparkSession

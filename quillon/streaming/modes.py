@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,41 +42,48 @@ def score_stream(df: DataFrame, transform, path: str, checkpoint: str):
 
 
 def drift_stream(df: DataFrame, reference: DataFrame, column: str, time: str, period: str, path: str, checkpoint: str):
-    """Appends (period, psi, n) of a text column per micro-batch and period against the reference's shares."""
+    """Keeps (period, psi, n) of a text column, for each period over all its rows so far, against the reference's shares.
+
+    Counts per period and value are the stream's state; each trigger writes the whole small table anew, so a repeated batch
+    changes nothing.
+    """
     shares = reference.where(F.col(column).isNotNull()).groupBy(column).count()
     total = shares.agg(F.sum("count")).first()[0]
     shares = shares.select(F.col(column).alias("v"), (F.col("count") / total).alias("a"))
 
-    def batch(rows: DataFrame, _: int) -> None:
-        counts = rows.groupBy(F.date_trunc(period, F.col(time).cast("timestamp")).alias("period"), F.col(column).alias("v")).count()
+    def batch(counts: DataFrame, _: int) -> None:
         n = counts.groupBy("period").agg(F.sum("count").alias("n"))
         grid = n.crossJoin(shares).join(counts, ["period", "v"], "full").fillna(0.0, ["a"])
         grid = grid.drop("n").join(n, "period").withColumn("b", F.coalesce("count", F.lit(0)) / F.col("n"))
-        grid.groupBy("period").agg(psi_sum(F.col("a"), F.col("b")).alias("psi"), F.max("n").alias("n")).write.mode("append").parquet(path)
+        grid.groupBy("period").agg(psi_sum(F.col("a"), F.col("b")).alias("psi"), F.max("n").alias("n")).write.mode("overwrite").parquet(path)
 
-    return df.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).start()
+    counts = df.groupBy(F.date_trunc(period, F.col(time).cast("timestamp")).alias("period"), F.col(column).alias("v")).count()
+    return counts.writeStream.outputMode("complete").foreachBatch(batch).option("checkpointLocation", checkpoint).start()
 
 
-def velocity_stream(df: DataFrame, entity: str, time: str, key: str, window: str) -> DataFrame:
+def velocity_stream(df: DataFrame, entity: str, time: str, key: str, window: str, late: str = "1 hour") -> DataFrame:
     """(entity, key, n): for each event, the entity's events in [t - window, t); the state holds times of one window only.
 
-    Events that arrive after later ones of their entity count those already seen.
+    Events that arrive after later ones of their entity count those already seen; those later than `late` are left out.
+    An entity's state goes once the watermark is a window past its last event.
     """
     width = span(window)
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
 
     def count(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        times = list(state.get[0]) if state.exists else []
+        if state.hasTimedOut:
+            state.remove()
+            return
+        times = np.array(state.get[0] if state.exists else [], np.int64)
         for pdf in frames:
             pdf = pdf.sort_values(["_us", key])
-            out = []
-            for t in pdf["_us"]:
-                out.append(sum(1 for s in times if t - width <= s < t))
-                times.append(int(t))
-            newest = max(times)
-            times = [s for s in times if s >= newest - width]
-            yield pd.DataFrame({entity: [group[0]] * len(pdf), key: pdf[key], "n": pd.Series(out, index=pdf.index, dtype="int64")})
-        state.update((times,))
-
-    base = df.withColumn("_us", F.unix_micros(F.col(time).cast("timestamp"))).select(entity, key, "_us")
-    return base.groupBy(entity).applyInPandasWithState(count, f"{entity} {kinds[entity]}, {key} {kinds[key]}, n long", "times array<long>", "append", GroupStateTimeout.NoTimeout)
+            t = pdf["_us"].to_numpy(np.int64)
+            n = sum(np.searchsorted(s, t, "left") - np.searchsorted(s, t - width, "left") for s in (times, t))
+            times = np.sort(np.concatenate([times, t]))
+            times = times[times >= times[-1] - width]
+            yield pd.DataFrame({entity: [group[0]] * len(pdf), key: pdf[key], "n": n.astype("int64")})
+        state.update((times.tolist(),))
+        state.setTimeoutTimestamp(max(int(times[-1] + width) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+
+    base = df.withColumn("_at", F.col(time).cast("timestamp")).withWatermark("_at", late).withColumn("_us", F.unix_micros("_at")).select(entity, key, "_at", "_us")
+    return base.groupBy(entity).applyInPandasWithState(count, f"{entity} {kinds[entity]}, {key} {kinds[key]}, n long", "times array<long>", "append", GroupStateTimeout.EventTimeTimeout)

@@ -53,6 +53,23 @@ def test_archives_and_stacks(spark, tmp_path):
         tables.stack([one, one.drop("b")])
 
 
+def test_only_reading_statements():
+    for good in ("select * from t", "WITH x AS (SELECT 1) SELECT 'delete; drop' FROM x -- update", "select replace(a, 'x', 'y') from t;"):
+        tables.check_read_only(good)
+    for bad in ("delete from t", "WITH x AS (SELECT 1) DELETE FROM t", "select 1; drop table t", "with x as (update t set a = 1 returning a) select * from x"):
+        with pytest.raises(ValueError):
+            tables.check_read_only(bad)
+
+
+def test_sinks(spark, tmp_path):
+    df = spark.createDataFrame([(1, ["a", "b"]), (2, None)], "k long, xs array<string>")
+    for kind in ("csv", "parquet"):
+        tables.write_table(df, str(tmp_path / kind), kind)
+        assert tables.read_table(spark, str(tmp_path / kind) + f"/*.{kind}").count() == 2
+    with pytest.raises(ValueError):
+        tables.write_table(df, str(tmp_path / "x"), "xlsx")
+
+
 def test_snapshot_and_log(spark, tmp_path):
     one = spark.createDataFrame(FRAME)
     line = tables.snapshot(one, str(tmp_path / "s"), "here", max_rows=2).first()
@@ -93,4 +110,5 @@ def test_streams_equal_batches(spark, sf, tmp_path):
     q = modes.drift_stream(stream, events, "event_type", "ts", "week", str(tmp_path / "d"), str(tmp_path / "ck2"))
     q.processAllAvailable()
     q.stop()
-    assert spark.read.parquet(str(tmp_path / "d")).agg(F.max("psi")).first()[0] < 0.5
+    drifted = spark.read.parquet(str(tmp_path / "d"))
+    assert drifted.agg(F.max("psi")).first()[0] < 0.5 and drifted.agg(F.sum("n")).first()[0] == events.count() and drifted.count() == drifted.select("period").distinct().count()
