@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from quillon.llm.common import SPACE, salted_left_join
 from quillon.session import materialise, table
 
-#: A chunk ends after the first such pair at 256 characters or later, or at 4,096 characters.
+#: A chunk ends after the first such pair at 256 characters or later, or at 4,096 characters.  Texts in other scripts, without
+#: such pairs, are cut at every 4,096 characters: equal texts still have equal recipes, but shifted ones share no chunks.
 CUT = r"(?s).{256,4094}?[hmvw][aeiou]|.{1,4096}"
 
 
@@ -32,7 +33,7 @@ def exact_dedup(
 
     Null texts count as empty, and all empty texts are one group.  Ties go to the smallest id; a null id loses to any
     other.  Rows that repeat an id together with its text are one document: all carry the same verdict, and each counts in
-    group_size.  Other columns of docs are ignored.  No rows give no rows.
+    group_size.  Very long texts are cut whole and move once.  Other columns of docs are ignored.  No rows give no rows.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(
@@ -76,8 +77,7 @@ def _with_ordinals(listed: DataFrame, pieces: DataFrame, unlike: DataFrame, chun
     shared = pieces.join(unlike, "h", "left_semi").distinct()
     numbered = shared.withColumn("k", F.row_number().over(Window.partitionBy("h").orderBy("chunk")))
     found = (
-        listed.withColumn("_row", F.xxhash64("_id", "text_sha256"))
-        .select("_id", "_n", "text_sha256", F.posexplode(chunks(F.col("_norm"))).alias("pos", "chunk"))
+        listed.select("_id", "_n", "text_sha256", F.posexplode(chunks(F.col("_norm"))).alias("pos", "chunk"))
         .join(numbered.select("chunk", "k"), "chunk")
         .select("text_sha256", "pos", "k")
         .distinct()

@@ -24,6 +24,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     the rest is refined (twice, by the next 12 bits), and the documents are then filtered by comparing hashes.  Thresholds
     for smaller budgets are nested in those for larger ones, and nothing is sorted.
 
+    Words of very long texts count like all others; other columns, whatever their names, are ignored.  Sources come to one
+    task once, one row each, when the water level is found.
+
     A null text has size 0, a null source is a source of its own.  Documents with the same id are taken or left together.
     An all-empty table has targets 0.  No rows give no rows.
     """

@@ -107,7 +107,8 @@ def pack(docs: DataFrame, vocabulary: str, limit: int = 2048, id_col: str = "doc
     grows with the input, and each shard is packed best fit decreasing: the next longest piece goes to the open sequence
     with the least room that holds it, which a segment tree over the room left finds in a logarithmic number of steps.
 
-    A null or empty text is one piece, the closing id alone.  Repeated ids are packed as separate documents.  No rows
+    A null or empty text is one piece, the closing id alone.  Very long texts are encoded whole, in overlapping chunks, and
+    cut into as many pieces as they need.  Other columns, whatever their names, are ignored.  Repeated ids are packed as separate documents.  No rows
     give no rows.
     """
     pieces = materialise(token_pieces(docs, vocabulary, limit, 0, id_col, text_col, with_ids), "pieces")
