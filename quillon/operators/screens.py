@@ -336,7 +336,7 @@ def label_rule_tree(df: DataFrame, target: str, positive, columns: list[str], mo
     for c in columns:
         rows = df.where(F.col(c).isNotNull() & F.col(target).isNotNull()).select(F.col(c).cast("double").alias("x"), (F.col(target) == positive).cast("double").alias("label"))
         rows = VectorAssembler(inputCols=["x"], outputCol="features").transform(rows)
-        model = DecisionTreeClassifier(maxDepth=depth).fit(rows)
+        model = DecisionTreeClassifier(maxDepth=depth, maxBins=1024).fit(rows)
         scored = model.transform(rows).select("label", vector_to_array("probability")[1].alias("s"))
         one = auc_ap(scored, "label", "s").select(F.lit(c).alias("column_name"), "average_precision")
         out = one if out is None else out.unionByName(one)
