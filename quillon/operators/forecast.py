@@ -286,21 +286,6 @@ def coverage(errors: DataFrame, bands: DataFrame) -> DataFrame:
     return errors.join(F.broadcast(bands), "step").agg(share_inside(F.col("residual"), F.col("low"), F.col("high")).alias("coverage"))  # one row for each step
 
 
-def panel_status(df: DataFrame, keys: list[str], time: str, horizon: int, season: int, max_lag: int) -> DataFrame:
-    """(keys, n, first, last, status) of each series: "stale" if it ends before the hold-out, "too_short" to learn from, else "ok".
-
-    The hold-out is the last `horizon` distinct times of the panel.
-    """
-    from quillon.operators.splits import exact_rank
-
-    times = exact_rank(df.select(time).distinct(), [time], "_i")
-    start = F.broadcast(times.crossJoin(times.agg(F.count("*").alias("_n"))).where(F.col("_i") == F.greatest(F.lit(0), F.col("_n") - horizon)).select(F.col(time).alias("_start")))
-    per = df.groupBy(*keys).agg(F.count("*").alias("n"), F.min(time).alias("first"), F.max(time).alias("last")).crossJoin(start)
-    least = max(2 * season, max_lag + 5, 10) + horizon
-    status = F.when(F.col("last") < F.col("_start"), "stale").when(F.col("n") < least, "too_short").otherwise("ok")
-    return per.select(*keys, "n", "first", "last", status.alias("status"))
-
-
 def prepare_forecast(df: DataFrame, time: str, y: str, horizon: int, keys: list[str] | None = None, how: str = "sum") -> tuple[DataFrame, dict]:
     """(rows (keys, time, y, fold), report): duplicates aggregated, gaps in the grid opened as nulls, the last `horizon` steps of each series held out as test.
 

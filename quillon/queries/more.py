@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillon.operators import anomaly, explain, forecast, ledger, metrics, models, screens, segments, splits
+from quillon.functions import basics
+from quillon.operators import anomaly, explain, fitted, forecast, ledger, metrics, models, screens, segments, splits
 from quillon.queries.common import ORDERS, SCORED, Registry, events, order_totals, rounded, scored_documents
-from quillon.queries.evaluation import BACK, backtest, grid
+from quillon.queries.evaluation import BACK, GRID, backtest, grid
 from quillon.queries.later import M, SCORES, W, li_key, scores
 from quillon.session import table
 
@@ -49,11 +50,11 @@ def panel_mape(spark, d):
 
 
 @R.add("""WITH p AS (SELECT o_custkey AS series, o_orderdate::DATE AS day FROM orders), t AS (SELECT day, row_number() OVER (ORDER BY day) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT day FROM p)),
-s AS (SELECT day AS start FROM t WHERE i = greatest(0, n - 200)), g AS (SELECT series, count(*) AS n, min(day) AS first, max(day) AS last FROM p GROUP BY 1)
-SELECT series, n, first, last, CASE WHEN last < start THEN 'stale' WHEN n < 200 + 12 THEN 'too_short' ELSE 'ok' END AS status FROM g, s""")
+s AS (SELECT day AS start FROM t WHERE i = greatest(0, n - 200)), g AS (SELECT series, count(*) AS n, max(day) AS last FROM p GROUP BY 1)
+SELECT series, n, last, CASE WHEN last < start THEN 'stale' WHEN n < 200 + 12 THEN 'too_short' ELSE 'usable' END AS status FROM g, s""")
 def panel_status(spark, d):
-    rows = table(spark, d, "orders").select(F.col("o_custkey").alias("series"), F.to_date("o_orderdate").alias("day"))
-    return forecast.panel_status(rows, ["series"], "day", 200, 1, 7)
+    rows = table(spark, d, "orders").select(F.col("o_custkey").alias("series"), F.to_date("o_orderdate").alias("day"), F.col("o_totalprice").alias("y"))
+    return forecast.panel_status(rows, ["series"], "day", "y", 200, 1, 7)
 
 
 @R.add("""WITH t AS (SELECT 'all' AS series, o_orderdate::DATE AS day, sum(o_totalprice) AS y FROM orders GROUP BY 2), g AS (SELECT unnest(range(min(day)::TIMESTAMP, max(day)::TIMESTAMP + INTERVAL 1 DAY, INTERVAL 1 DAY))::DATE AS day FROM t),
@@ -185,3 +186,70 @@ def prepare_clustering(spark, d):
 @R.add("""SELECT CASE WHEN ('0x' || substr(md5(doc_id || '42'), 1, 8))::BIGINT % 1000 < 200 THEN 'test' ELSE 'train' END AS fold, count(*) AS n FROM labels GROUP BY 1""")
 def prepare_anomaly(spark, d):
     return prepared(splits.prepare_anomaly(table(spark, d, "labels"), "doc_id", "toxic", group="doc_id"))
+
+
+@R.add("""SELECT event_id, hour(ts)::INT AS hour, (isodow(ts) - 1)::INT AS dow, (isodow(ts) >= 6)::INT AS is_weekend, day(ts)::INT AS day, week(ts)::INT AS week, month(ts)::INT AS month, quarter(ts)::INT AS quarter, year(ts)::INT AS year FROM events""")
+def calendar_features(spark, d):
+    made = basics.calendar(F.col("ts").cast("timestamp"))
+    return events(spark, d).select("event_id", *(c.cast("int").alias(n) for n, c in made.items()))
+
+
+FILLED = "last_value(y IGNORE NULLS) OVER (PARTITION BY series ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+
+
+@R.add(f"{GRID} SELECT series, day, {FILLED} AS y FROM grid")
+def fill_forward(spark, d):
+    return fitted.fill_forward(grid(spark, d), ["series"], "day", ["y"])
+
+
+@R.add(f"""{GRID}, n AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY day) AS i FROM grid), k AS (SELECT series, day, y, i,
+  last_value(CASE WHEN y IS NOT NULL THEN i END IGNORE NULLS) OVER b AS ia, {FILLED} AS ya, first_value(CASE WHEN y IS NOT NULL THEN i END IGNORE NULLS) OVER a AS ib, first_value(y IGNORE NULLS) OVER a AS yb
+  FROM n WINDOW b AS (PARTITION BY series ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY series ORDER BY day ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+SELECT series, day, round(CASE WHEN y IS NOT NULL THEN y WHEN ib IS NULL THEN ya ELSE ya + (yb - ya) * (i - ia) / (ib - ia) END, 6) AS y FROM k""")
+def interpolate(spark, d):
+    return fitted.interpolate(grid(spark, d), ["series"], "day", "y").select("series", "day", F.round("y", 6).alias("y"))
+
+
+@R.add("SELECT l_returnflag AS series, l_shipdate::DATE AS day, max(l_extendedprice) AS y, round(avg(l_discount), 6) AS l_discount FROM lineitem GROUP BY 1, 2")
+def aggregate_series(spark, d):
+    rows = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("series"), F.to_date("l_shipdate").alias("day"), F.col("l_extendedprice").alias("y"), "l_discount")
+    return forecast.aggregate_series(rows, ["series"], "day", "y", "max", ["l_discount"]).withColumn("l_discount", F.round("l_discount", 6))
+
+
+@R.add("SELECT count(*) AS n, max(o_orderdate) <= TIMESTAMP '1995-06-30' AS settled FROM orders WHERE o_orderdate <= TIMESTAMP '1995-06-30'")
+def settled_labels(spark, d):
+    return splits.mature(table(spark, d, "orders"), "o_orderdate", "1995-06-30").agg(F.count("*").alias("n"), (F.max("o_orderdate") <= F.lit("1995-06-30").cast("timestamp")).alias("settled"))
+
+
+@R.add("""WITH r AS (SELECT o_orderstatus AS y, floor((row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1) * 4 / count(*) OVER ())::INT AS block FROM orders), p AS (SELECT DISTINCT block, y FROM r),
+f AS (SELECT y, min(block) AS first FROM p GROUP BY 1), g AS (SELECT block, count(*) AS classes, count(*) FILTER (first = block) AS unseen FROM p JOIN f USING (y) GROUP BY 1) SELECT * FROM g WHERE block > 0 AND classes >= 2 AND unseen = 0""")
+def usable_folds(spark, d):
+    return splits.usable_folds(splits.expanding_folds(table(spark, d, "orders"), "o_orderdate", ["o_orderkey"], 3), "o_orderstatus")
+
+
+@R.add(f"""{GRID}, z AS (SELECT avg((y IS NULL)::INT) AS m FROM grid) SELECT 'y' AS column_name, round(m, 6) AS missing_share, CASE WHEN m > 0.5 THEN 'drop' ELSE 'median' END AS strategy FROM z WHERE m > 0""")
+def propose_imputation(spark, d):
+    return rounded(fitted.propose_imputation(grid(spark, d).select("series", "y")))
+
+
+@R.add(f"""{GRID}, f AS (SELECT series, day, coalesce(y, 0) AS y, coalesce(y, 0) * 2 + 1 AS twice, (day - DATE '1992-01-01')::DOUBLE AS t FROM grid), n AS (SELECT *, lead(y) OVER (PARTITION BY series ORDER BY day) AS nxt FROM f),
+u AS (SELECT 'twice' AS column_name, corr(twice, y) AS a, corr(twice, nxt) AS b FROM n UNION ALL SELECT 't', corr(t, y), corr(t, nxt) FROM n) SELECT column_name, round(a, 5) AS corr_now, round(b, 5) AS corr_next, abs(a) >= 0.98 OR abs(b) >= 0.98 AS leak FROM u""")
+def forecast_leakage(spark, d):
+    rows = grid(spark, d).fillna(0.0).withColumns({"twice": F.col("y") * 2 + 1, "t": F.datediff("day", F.lit("1992-01-01").cast("date")).cast("double")})
+    return rounded(screens.forecast_leakage(rows, ["series"], "day", "y", ["twice", "t"]), 5)
+
+
+@R.add("""WITH b AS (SELECT coalesce(lang, '__missing__') AS v, (('0x' || substr(md5(doc_id || ''), 1, 8))::BIGINT % 5)::INT AS fold, toxic AS y FROM documents JOIN labels USING (doc_id)), m AS (SELECT avg(y) AS mean FROM b), p AS (SELECT v, fold, sum(y) AS p, count(*) AS n FROM b GROUP BY ALL)
+SELECT v AS value, fold, round(coalesce((sum(p) OVER w - p) / nullif(sum(n) OVER w - n, 0), mean), 6) AS rate FROM p, m WINDOW w AS (PARTITION BY v)""")
+def out_of_fold_rates(spark, d):
+    rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
+    return rounded(screens.out_of_fold_rates(rows, "lang", F.col("toxic"), screens.hash_fold(F.col("doc_id"), 5)).select("value", "fold", "rate"))
+
+
+@R.add("""WITH m AS (SELECT user_id AS run_id, event_type AS metric, avg(value) AS value FROM events GROUP BY ALL), b AS (SELECT DISTINCT user_id AS run_id FROM events)
+SELECT b.run_id, 'purchase' AS metric, round(value, 6) AS value, coalesce(value >= 50, false) AS met FROM b LEFT JOIN m ON m.run_id = b.run_id AND m.metric = 'purchase'""")
+def criteria_met(spark, d):
+    e = events(spark, d)
+    values = e.groupBy(F.col("user_id").alias("run_id"), F.col("event_type").alias("metric")).agg(F.avg("value").alias("value"))
+    bars = e.select(F.col("user_id").alias("run_id"), F.lit("purchase").alias("metric"), F.lit(50.0).alias("bar"), F.lit("min").alias("direction")).distinct()
+    return rounded(ledger.criteria_met(values, bars))

@@ -42,8 +42,8 @@ def test_segment_verdicts(spark):
 def test_panels(spark):
     rows = [("a", i, float(i)) for i in range(60)] + [("old", i, 1.0) for i in range(30)] + [("new", i, 1.0) for i in range(50, 60)]
     df = spark.createDataFrame(rows, "s string, t int, y double")
-    status = {r.s: r.status for r in forecast.panel_status(df, ["s"], "t", 10, 7, 7).collect()}
-    assert status == {"a": "ok", "old": "stale", "new": "too_short"}
+    status = {r.s: r.status for r in forecast.panel_status(df, ["s"], "t", "y", 10, 7, 7).collect()}
+    assert status == {"a": "usable", "old": "stale", "new": "too_short"}
     days = df.where("s = 'a' AND t != 20").select("s", F.expr("date_add(date'2024-01-01', t)").alias("d"), "y")
     out, report = forecast.prepare_forecast(days.unionByName(days.limit(1)), "d", "y", 7, ["s"])
     assert report["gaps"] == 1 and report["series"] == 1 and out.where("fold = 'test'").count() == 7
