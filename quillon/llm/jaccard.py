@@ -18,8 +18,6 @@ from quillon.session import discard, materialise
 LARGE_KEY = 20_000
 #: Documents (about) whose shingles tell which are common, and common shingles at most; they change the work, not the result.
 ORDER_DOCUMENTS, ORDER_SHINGLES = 10_000, 50_000
-#: Rounds that link neighbours around a key before all pairs of components that are left are looked at.
-ROUNDS = 2
 #: Pairs of one node that meet a copy of its set.
 PARTNERS = 2_000
 #: Pairs held before repeated ones are dropped.
@@ -109,9 +107,24 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(x[several]) for x in found], names=names)
 
 
-def _pairs(least: Fraction, every: bool):
-    """Pairs of sets of different components around one key that their sizes and the places of the key don't rule out: of each
-    set with the first of the next component only, or of every two."""
+def _chained(least: Fraction):
+    """Of rows in the order of key and node, pairs of neighbours with the same key whose sizes don't rule them out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = [np.empty(0, np.int64)] * 3
+        for batch in batches:
+            key, node, place = (np.concatenate([old, batch.column(c).to_numpy()]) for old, c in zip(last, ("key", "node", "place"), strict=True))
+            size = place >> 32
+            near = (key[1:] == key[:-1]) & (node[1:] != node[:-1]) & similar(np.minimum(size[1:], size[:-1]), size[1:], size[:-1], least)
+            uv = np.unique(np.stack([node[:-1][near], node[1:][near]], 1), axis=0)
+            last = [x[-1:] for x in (key, node, place)]
+            yield pa.RecordBatch.from_arrays([pa.array(uv[:, 0]), pa.array(uv[:, 1])], names=["u", "v"])
+
+    return run
+
+
+def _pairs(least: Fraction):
+    """Pairs of sets of different components around one key that their sizes and the places of the key don't rule out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = _columns(batches, ["key", "p", "q", "component", "node", "place", "own"])
@@ -143,8 +156,6 @@ def _pairs(least: Fraction, every: bool):
                 yield batch()
                 held, total = [], 0
             step += 1
-            if not every:
-                break
         yield batch()
 
     return run
@@ -208,7 +219,7 @@ def near_components(docs: DataFrame, similarity: float, id_col: str = "doc_id",
     come from an exact prefix join: in one order of all shingles, here common ones last, two sets of that similarity share
     one of the first m - ceil(similarity m) + 1 elements of each, m being its own size.  Pairs that share
     one, in different components so far, are confirmed from the whole sets: first those of neighbours around an element,
-    which joins large groups of copies by a number of pairs in proportion to their size, then all that are left.
+    which joins large groups of copies by a number of pairs in proportion to their size, then all between components.
 
     Rows are told apart by a 64-bit hash of id and text, so different texts under one id are judged each for itself and
     repeated rows are one document: all carry the same verdict.  Null and blank texts link with each other.  Null ids come
@@ -228,9 +239,6 @@ def near_components(docs: DataFrame, similarity: float, id_col: str = "doc_id",
     equal = materialise(equal.select(F.col("_id").alias("u"), F.col("first").alias("v")).distinct(), "equal")
     firsts = prints.select("_id", "fps", "mark").join(equal.select(F.col("u").alias("_id")), "_id", "left_anti")
     lined = firsts.repartitionByRange("fps", "mark", "_id").sortWithinPartitions("fps", "mark", "_id").mapInArrow(_neighbours, "u long, v long")
-    links = _confirmed(links.unionByName(lined), signs, texts, n, least)
-    before = components(links.unionByName(equal))
-
     known = prints.select("_id")
     share = min(1.0, ORDER_DOCUMENTS / max(1, known.count()))
     sample = rows.where(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < round(share * 1_000_000)).select("_text")
@@ -240,32 +248,23 @@ def near_components(docs: DataFrame, similarity: float, id_col: str = "doc_id",
 
     keys = texts.mapInArrow(_prefixes(n, least, common[order], counts[order]), "key long, node long, place long")
     shared = materialise(keys.repartition("key").mapInArrow(_shared, "key long, node long, place long"), "shared")
-
-    def search(before: DataFrame, every: bool) -> DataFrame:
-        """Links between the components so far that a common prefix element shows: of each node with the next component's
-        first only, or of every two nodes."""
-        placed = materialise(shared.join(before, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
-        busy = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key", "n")
-        parts = F.ceil(F.col("n") / F.lit(LARGE_KEY))
-        dealt = (
-            salted_left_join(placed, busy, ["key"], F.col("node"), 4)
-            .where("n IS NOT NULL")
-            .withColumn("own", F.pmod(F.xxhash64("node"), parts))
-            .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)) if every else F.col("own"))
-            .select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "component", "node", "place", "own")
-        )
-        pairs = dealt.repartition("key", "p", "q").mapInArrow(_pairs(least, every), "u long, v long")
-        found = _confirmed(pairs, signs, texts, n, least)
-        discard(placed)
-        return found
-
-    links = links.unionByName(equal)
-    for _ in range(ROUNDS):
-        links = links.unionByName(search(before, every=False))
-        discard(before)
-        before = components(links)
-    links = links.unionByName(search(before, every=True))
-    discard(shared, before)
+    chained = shared.repartitionByRange("key", "node").sortWithinPartitions("key", "node").mapInArrow(_chained(least), "u long, v long")
+    links = _confirmed(links.unionByName(lined).unionByName(chained), signs, texts, n, least).unionByName(equal)
+    before = components(links)
+
+    placed = materialise(shared.join(before, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
+    busy = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key", "n")
+    parts = F.ceil(F.col("n") / F.lit(LARGE_KEY))
+    dealt = (
+        salted_left_join(placed, busy, ["key"], F.col("node"), 4)
+        .where("n IS NOT NULL")
+        .withColumn("own", F.pmod(F.xxhash64("node"), parts))
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+        .select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "component", "node", "place", "own")
+    )
+    pairs = dealt.repartition("key", "p", "q").mapInArrow(_pairs(least), "u long, v long")
+    links = links.unionByName(_confirmed(pairs, signs, texts, n, least))
+    discard(shared, placed, before)
     found = components(links)
 
     named = salted_left_join(prints.select("_id", "id", "text_key"), found.withColumnRenamed("node", "_id"), ["_id"], F.col("_id"), 1)
