@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +13,11 @@ SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def file_system(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URI, and the path there."""
+    return fs.FileSystem.from_uri(path if ":" in path else f"file://{path}")
+
+
 def salted_left_join(left: DataFrame, right: DataFrame, keys: list[str], spread: Column, salts: int = 16) -> DataFrame:
     """left LEFT JOIN right on keys, where right has one row per key and one key may hold any share of left.
 
