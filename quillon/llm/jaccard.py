@@ -20,8 +20,14 @@ LARGE_KEY = 20_000
 ORDER_DOCUMENTS, ORDER_SHINGLES = 10_000, 50_000
 #: Pairs of one node that meet a copy of its set.
 PARTNERS = 2_000
-#: Pairs held before repeated ones are dropped.
-PAIRS = 1 << 20
+#: Pairs held before repeated ones are dropped, and rows of whole groups that are paired together.
+PAIRS, TOGETHER = 1 << 20, 1 << 16
+#: Sampled documents that make a shingle a hot one, and the parts that its rows are dealt to.
+HOT, HOT_PARTS = 50, 64
+#: Shared elements of a set, the rarest first, around which it is compared with its neighbours.
+FIRST = 2
+#: Pairs between components, for each set, above which neighbouring components are compared first, and rounds of that at most.
+CROWDED, MOST_ROUNDS = 4, 5
 
 
 def similar(shared: np.ndarray | int, a: np.ndarray | int, b: np.ndarray | int, least: Fraction):
@@ -55,24 +61,30 @@ def _elements(n: int):
 def _prefixes(n: int, least: Fraction, common: np.ndarray, counts: np.ndarray):
     """Of each set, in the order of rare shingles first, as many elements as a similar set cannot all lack.
 
-    Rows (key, node, place), place holding the size of the set and the position of the key, 32 bits each.
+    Rows (key, node, place, part), place holding the size of the set and the position of the key, 32 bits each; part is 0,
+    but for hot keys one of 1 to HOT_PARTS.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, places, lengths = [], [], []
+            keys, places, lengths, hot = [], [], [], []
             for raw in batch.column("_text").cast(pa.binary()).to_pylist():
                 x = _hashes(raw, n)
+                count = np.zeros(len(x), np.int64)
                 if len(common) and len(x):
                     at = np.minimum(np.searchsorted(common, x), len(common) - 1)
-                    x = x[np.lexsort((x, np.where(common[at] == x, counts[at], 0)))]
+                    count = np.where(common[at] == x, counts[at], 0)
+                    order = np.lexsort((x, count))
+                    x, count = x[order], count[order]
                 length = len(x) + int(-len(x) * least // 1) + 1 if len(x) else 0
                 keys.append(x[:length])
+                hot.append(count[:length] >= HOT)
                 places.append((len(x) << 32) + np.arange(length))
                 lengths.append(length)
             node = np.repeat(batch.column("_id").to_numpy(), lengths)
             joined = [np.concatenate([np.empty(0, np.int64), *(k.view(np.int64) for k in part)]) for part in (keys, places)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (joined[0], node, joined[1])], names=["key", "node", "place"])
+            part = np.where(np.concatenate([np.empty(0, bool), *hot]), 1 + node % HOT_PARTS, 0).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (joined[0], node, joined[1], part)], names=["key", "node", "place", "part"])
 
     return run
 
@@ -90,25 +102,34 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
 
-def _columns(batches: Iterator[pa.RecordBatch], names: list[str]) -> list[np.ndarray] | None:
-    data = pa.Table.from_batches(batches) if (batches := list(batches)) else None
-    return [data.column(c).to_numpy() for c in names] if data is not None and data.num_rows else None
-
-
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Only the rows of keys that several nodes have."""
+    """Of rows in the order of keys, those of keys that several nodes have; hot keys (of a part over 0) are known to be such."""
     names = ["key", "node", "place"]
-    if (found := _columns(batches, names)) is None:
-        return
-    order = np.argsort(found[0], kind="stable")
-    found = [x[order] for x in found]
-    equal = found[0][1:] == found[0][:-1]
-    several = np.r_[False, equal] | np.r_[equal, False]
-    yield pa.RecordBatch.from_arrays([pa.array(x[several]) for x in found], names=names)
+    held = [np.empty(0, np.int64)] * 3 + [np.empty(0, np.int32)]
+    alone = True  # whether no row before the held one has its key
+
+    def sift(found: list[np.ndarray], alone: bool, upto: int) -> pa.RecordBatch:
+        key, part = found[0], found[3]
+        equal = key[1:] == key[:-1]
+        several = part > 0
+        several[1:] |= equal
+        several[:-1] |= equal
+        several[:1] |= not alone
+        return pa.RecordBatch.from_arrays([pa.array(x[:upto][several[:upto]]) for x in found[:3]], names=names)
+
+    for batch in batches:
+        found = [np.concatenate([old, batch.column(c).to_numpy()]) for old, c in zip(held, (*names, "part"), strict=True)]
+        n = len(found[0])
+        if not n:
+            continue
+        yield sift(found, alone, n - 1)
+        alone = n == 1 and alone or n > 1 and found[0][-1] != found[0][-2]
+        held = [x[-1:] for x in found]
+    yield sift(held, alone, 1)
 
 
 def _chained(least: Fraction):
-    """Of rows in the order of key and node, pairs of neighbours with the same key whose sizes don't rule them out."""
+    """Of rows in the order of key and set size, pairs of neighbours with the same key whose sizes don't rule them out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = [np.empty(0, np.int64)] * 3
@@ -124,16 +145,17 @@ def _chained(least: Fraction):
 
 
 def _pairs(least: Fraction):
-    """Pairs of sets of different components around one key that their sizes and the places of the key don't rule out."""
+    """Pairs of sets of different components around one key that their sizes and the places of the key don't rule out.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = _columns(batches, ["key", "p", "q", "component", "node", "place", "own"])
-        if found is None:
-            return
-        order = np.lexsort(found[3::-1])
-        key, p, q, component, node, place, own = (x[order] for x in found)
+    Rows come in the order of key, parts, component and node; as many whole groups as make some ten thousand rows are
+    taken together, so a task holds one group at least and few rows more.
+    """
+    names = ["key", "p", "q", "component", "node", "place", "own"]
+
+    def among(found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        key, p, q, component, node, place, own = found
         size, pos = place >> 32, place & 0xFFFFFFFF
-        n = len(order)
+        n = len(key)
         cuts = np.flatnonzero((key[1:] != key[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])) + 1
         ends = np.repeat(np.r_[cuts, n], np.diff(np.r_[0, cuts, n]))
         runs = np.union1d(cuts, np.flatnonzero(component[1:] != component[:-1]) + 1)
@@ -158,6 +180,22 @@ def _pairs(least: Fraction):
             step += 1
         yield batch()
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, rows = [], 0
+        for batch in batches:
+            parts.append([batch.column(c).to_numpy() for c in names])
+            rows += batch.num_rows
+            if rows < TOGETHER:
+                continue
+            found = [np.concatenate(x) for x in zip(*parts, strict=True)]
+            same = (found[0] == found[0][-1]) & (found[1] == found[1][-1]) & (found[2] == found[2][-1])
+            whole = int(np.argmax(same))  # the last group may go on
+            if whole:
+                yield from among([x[:whole] for x in found])
+            parts, rows = [[x[whole:] for x in found]], len(found[0]) - whole
+        if rows:
+            yield from among([np.concatenate(x) for x in zip(*parts, strict=True)])
+
     return run
 
 
@@ -209,6 +247,12 @@ def _confirmed(pairs: DataFrame, signs: DataFrame, texts: DataFrame, n: int, lea
     return found
 
 
+def _side_by_side(rows: DataFrame, least: Fraction) -> DataFrame:
+    """Pairs (u, v) of sets next to each other around a key, in the order of their sizes, from rows (key, node, place)."""
+    order = ["key", F.shiftright("place", 32), "node"]
+    return rows.select("key", "node", "place").repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_chained(least), "u long, v long")
+
+
 def near_components(docs: DataFrame, similarity: float, id_col: str = "doc_id", text_col: str = "text", salts: int = 16, **search) -> DataFrame:
     """Rows (id, text_key, component_id, kept), one per row of docs: documents link if the sets of their shingles of
     search["verify"] words (lower-cased A-Z, hashed to 64 bits) have a Jaccard similarity of `similarity` or more; all
@@ -218,8 +262,9 @@ def near_components(docs: DataFrame, similarity: float, id_col: str = "doc_id",
     Links of simhash_links(**search) come first and are confirmed; they join most of what is alike cheaply.  The others
     come from an exact prefix join: in one order of all shingles, here common ones last, two sets of that similarity share
     one of the first m - ceil(similarity m) + 1 elements of each, m being its own size.  Pairs that share
-    one, in different components so far, are confirmed from the whole sets: first those of neighbours around an element,
-    which joins large groups of copies by a number of pairs in proportion to their size, then all between components.
+    one, in different components so far, are confirmed from the whole sets: first those of neighbours around the two rarest
+    shared elements of a set, which joins large groups of copies by some pairs a document, then, where much is left, those
+    of neighbouring components around an element, in rounds, at last all between components.
 
     Rows are told apart by a 64-bit hash of id and text, so different texts under one id are judged each for itself and
     repeated rows are one document: all carry the same verdict.  Null and blank texts link with each other.  Null ids come
@@ -246,25 +291,46 @@ def near_components(docs: DataFrame, similarity: float, id_col: str = "doc_id",
     common, counts = np.array([r[0] for r in top], np.int64).view(np.uint64), np.array([r[1] for r in top], np.int64)
     order = np.argsort(common)
 
-    keys = texts.mapInArrow(_prefixes(n, least, common[order], counts[order]), "key long, node long, place long")
-    shared = materialise(keys.repartition("key").mapInArrow(_shared, "key long, node long, place long"), "shared")
-    chained = shared.repartitionByRange("key", "node").sortWithinPartitions("key", "node").mapInArrow(_chained(least), "u long, v long")
-    links = _confirmed(links.unionByName(lined).unionByName(chained), signs, texts, n, least).unionByName(equal)
-    before = components(links)
+    keys = texts.mapInArrow(_prefixes(n, least, common[order], counts[order]), "key long, node long, place long, part int")
+    shared = materialise(keys.repartition("key", "part").sortWithinPartitions("key").mapInArrow(_shared, "key long, node long, place long"), "shared")
+    rarest = shared.groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct("place", "key"))), 1, FIRST).alias("of"))  # of one text
+    links = links.unionByName(lined).unionByName(_side_by_side(rarest.select("node", F.inline("of")), least))
+    links = _confirmed(links, signs, texts, n, least).unionByName(equal)
+    before, crowd = components(links), None
+    for _ in range(MOST_ROUNDS):
+        placed = materialise(shared.join(before, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
+        held = placed.groupBy("key", "component").agg(F.count("*").alias("n"), F.min(F.struct("node", "place")).alias("first"))
+        held = materialise(held, "held")
+        busy = held.groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("parts"), F.sum(F.col("n") * F.col("n")).alias("within")).where("parts > 1")
+        busy = materialise(busy, "busy")
+        pairs = busy.agg(F.sum(F.col("n").cast("double") * F.col("n") - F.col("within")) / 2).first()[0] or 0.0
+        discard(before)
+        if pairs <= CROWDED * placed.count() or crowd is not None and pairs > crowd / 2:
+            discard(held)
+            break
+        crowd = pairs
+        few = held.join(busy.select("key"), "key", "left_semi").select("key", "first.node", "first.place")
+        found = _confirmed(_side_by_side(few, least), signs, texts, n, least)
+        discard(held, busy, placed)
+        links = links.unionByName(found)
+        before = components(links)
+    else:
+        placed = materialise(shared.join(before, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
+        busy = materialise(placed.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi"), "busy")
+        discard(before)
 
-    placed = materialise(shared.join(before, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
-    busy = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key", "n")
     parts = F.ceil(F.col("n") / F.lit(LARGE_KEY))
     dealt = (
-        salted_left_join(placed, busy, ["key"], F.col("node"), 4)
+        salted_left_join(placed, busy.select("key", "n"), ["key"], F.col("node"), 4)
         .where("n IS NOT NULL")
         .withColumn("own", F.pmod(F.xxhash64("node"), parts))
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
         .select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "component", "node", "place", "own")
     )
-    pairs = dealt.repartition("key", "p", "q").mapInArrow(_pairs(least), "u long, v long")
+    group = ["key", "p", "q"]
+    pairs = dealt.repartition(*group).sortWithinPartitions(*group, "component", "node").mapInArrow(_pairs(least), "u long, v long")
     links = links.unionByName(_confirmed(pairs, signs, texts, n, least))
-    discard(shared, placed, before)
+    discard(shared, placed, busy)
     found = components(links)
 
     named = salted_left_join(prints.select("_id", "id", "text_key"), found.withColumnRenamed("node", "_id"), ["_id"], F.col("_id"), 1)

@@ -29,7 +29,8 @@ def test_exact_dedup_edges_and_forced_collisions(spark):
     docs = spark.createDataFrame([(i, t, 1) for i, t in ROWS], "doc_id long, text string, kept int")
     for hashing in (F.xxhash64, lambda c: F.length(c).cast("long") % 7):
         got = exact_dedup(docs, chunk_hash=hashing)
-        assert sorted(map(tuple, got.collect()), key=str) == brute_dedup(ROWS)
+        assert sorted(map(tuple, got.drop("n_chars").collect()), key=str) == brute_dedup(ROWS)
+        assert sorted(((r.doc_id, r.n_chars) for r in got.collect()), key=str) == sorted(((i, len(t or "")) for i, t in ROWS), key=str)
     assert exact_dedup(docs.limit(0)).count() == 0
 
 

@@ -99,3 +99,57 @@ def test_parities_bound_the_difference():
             x, y, apart = simhash.least_difference(simhash.parities(a), simhash.parities(b))
             assert (x, y) == (len(a), len(b)) and apart <= len(np.setxor1d(a, b))
     assert simhash.least_difference(simhash.parities(a), simhash.parities(a))[2] == 0
+
+
+def test_near_copies_take_few_pairs(spark, monkeypatch):
+    r = random.Random(11)
+    base = [f"w{r.randrange(3000)}" for _ in range(300)]
+    texts = {}
+    for i in range(1500):
+        words = list(base)
+        for _ in range(2):
+            words[r.randrange(300)] = f"x{i}-{r.randrange(9)}"
+        texts[i] = " ".join(words)
+    docs = materialise(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), "docs")
+    seen, confirmed = [], jaccard._confirmed
+
+    def counted(pairs, *rest):
+        pairs = materialise(pairs, "counted")
+        seen.append(pairs.selectExpr("least(u, v)", "greatest(u, v)").distinct().count())
+        return confirmed(pairs, *rest)
+
+    monkeypatch.setattr(jaccard, "_confirmed", counted)
+    monkeypatch.setattr(jaccard, "HOT", 5)
+    prints = jaccard.simhash_links
+    monkeypatch.setattr(jaccard, "simhash_links", lambda *a, **k: (lambda p, g, links: (p, g, links.limit(0)))(*prints(*a, **k)))  # the prefix join alone
+    found = jaccard.near_components(docs, 0.8, **corpus_pipeline.NEAR).collect()
+    assert {r.component_id for r in found} == {0}
+    assert sum(seen) <= 1.5 * len(texts), seen
+
+
+@pytest.mark.parametrize("rounds", [0, 1, 5])
+def test_rounds_change_no_result(spark, monkeypatch, rounds):
+    monkeypatch.setattr(jaccard, "MOST_ROUNDS", rounds)
+    monkeypatch.setattr(jaccard, "CROWDED", 0)
+    monkeypatch.setattr(jaccard, "HOT", 2)
+    monkeypatch.setattr(jaccard, "TOGETHER", 7)
+    monkeypatch.setattr(jaccard, "FIRST", 1)
+    texts = dict(list(edited_texts().items())[:300])
+    docs = materialise(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), "docs")
+    found = jaccard.near_components(docs, 0.8, **corpus_pipeline.NEAR).collect()
+    assert {r.doc_id: r.component_id for r in found} == plain_components(texts)
+
+
+def test_only_keys_of_several_nodes_stay():
+    import pyarrow as pa
+
+    r = np.random.default_rng(2)
+    key = np.sort(r.integers(0, 400, 500))
+    part = (key % 50 == 0).astype(np.int32)
+    rows = pa.table({"key": key, "node": np.arange(500), "place": np.arange(500), "part": part})
+    count = dict(zip(*np.unique(key, return_counts=True), strict=True))
+    want = [i for i in range(500) if count[key[i]] > 1 or part[i]]
+    for size in (1, 2, 7, 500):
+        got = [x for b in jaccard._shared(iter(rows.to_batches(size))) for x in b.column("node").to_pylist()]
+        assert got == want
+    assert sum(b.num_rows for b in jaccard._shared(iter([]))) == 0
