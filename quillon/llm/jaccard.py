@@ -26,8 +26,8 @@ PAIRS, TOGETHER = 1 << 20, 1 << 16
 HOT, HOT_PARTS = 50, 64
 #: Shared elements of a set, the rarest first, around which it is compared with its neighbours.
 FIRST = 2
-#: Pairs between components, for each set, above which neighbouring components are compared first, and rounds of that at most.
-CROWDED, MOST_ROUNDS = 4, 5
+#: Slices of all pairs by a hash of theirs, and pairs for each row above which the first of them are confirmed first.
+SLICES, CROWDED = 1 << 20, 0.5
 
 
 def similar(shared: np.ndarray | int, a: np.ndarray | int, b: np.ndarray | int, least: Fraction):
@@ -144,8 +144,15 @@ def _chained(least: Fraction):
     return run
 
 
-def _pairs(least: Fraction):
-    """Pairs of sets of different components around one key that their sizes and the places of the key don't rule out.
+def _slice_of(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """A number from 0 to SLICES - 1 for each pair u < v."""
+    mixed = (u.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ v.view(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
+    return (mixed >> np.uint64(44)).astype(np.int64)
+
+
+def _pairs(least: Fraction, begin: int = 0, end: int = 1 << 20):
+    """Pairs of sets of different components around one key that their sizes and the places of the key don't rule out, of
+    the slices begin to end - 1 of all pairs.
 
     Rows come in the order of key, parts, component and node; as many whole groups as make some ten thousand rows are
     taken together, so a task holds one group at least and few rows more.
@@ -171,9 +178,11 @@ def _pairs(least: Fraction):
             a, b = live, after[live] + step
             shared = np.minimum(size[a] - pos[a], size[b] - pos[b])  # if this is the first key in common
             keep = similar(shared, size[a], size[b], least) & ((p[a] == q[a]) | (own[a] != own[b]))
-            u, v = node[a[keep]], node[b[keep]]
-            held.append(np.stack([np.minimum(u, v), np.maximum(u, v)], 1))
-            total += len(u)
+            u, v = np.minimum(node[a[keep]], node[b[keep]]), np.maximum(node[a[keep]], node[b[keep]])
+            at = _slice_of(u, v)
+            uv = np.stack([u, v], 1)[(at >= begin) & (at < end)]
+            held.append(uv)
+            total += len(uv)
             if total >= PAIRS:
                 yield batch()
                 held, total = [], 0
@@ -259,12 +268,13 @@ def near_components(docs: DataFrame, similarity: float, id_col: str = "doc_id",
     links are found.  component_id is the smallest id that links reach; kept marks its row, of several with that id the one
     with the least text_key, the SHA-256 of the text.
 
-    Links of simhash_links(**search) come first and are confirmed; they join most of what is alike cheaply.  The others
-    come from an exact prefix join: in one order of all shingles, here common ones last, two sets of that similarity share
+    Links of simhash_links(**search), at most two to each document from those after it, come first and are confirmed; they join most
+    of what is alike cheaply.  The others come from an exact prefix join: in one order of all shingles, here common ones last, two sets of that similarity share
     one of the first m - ceil(similarity m) + 1 elements of each, m being its own size.  Pairs that share
     one, in different components so far, are confirmed from the whole sets: first those of neighbours around the two rarest
-    shared elements of a set, which joins large groups of copies by some pairs a document, then, where much is left, those
-    of neighbouring components around an element, in rounds, at last all between components.
+    shared elements of a set, which joins large groups of copies by some pairs a document, then all between components.
+    Where these are many, a small slice of them by hash comes first, then ever larger ones, each between the components
+    that are left: components that many pairs would join are joined by a few.
 
     Rows are told apart by a 64-bit hash of id and text, so different texts under one id are judged each for itself and
     repeated rows are one document: all carry the same verdict.  Null and blank texts link with each other.  Null ids come
@@ -294,43 +304,33 @@ def near_components(docs: DataFrame, similarity: float, id_col: str = "doc_id",
     keys = texts.mapInArrow(_prefixes(n, least, common[order], counts[order]), "key long, node long, place long, part int")
     shared = materialise(keys.repartition("key", "part").sortWithinPartitions("key").mapInArrow(_shared, "key long, node long, place long"), "shared")
     rarest = shared.groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct("place", "key"))), 1, FIRST).alias("of"))  # of one text
+    down = links.groupBy(F.greatest("u", "v").alias("u")).agg(F.min(F.least("u", "v")).alias("lo"), F.max(F.least("u", "v")).alias("hi"))
+    links = down.select("u", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("v"))  # what is left out, the prefix join finds
     links = links.unionByName(lined).unionByName(_side_by_side(rarest.select("node", F.inline("of")), least))
     links = _confirmed(links, signs, texts, n, least).unionByName(equal)
-    before, crowd = components(links), None
-    for _ in range(MOST_ROUNDS):
-        placed = materialise(shared.join(before, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
-        held = placed.groupBy("key", "component").agg(F.count("*").alias("n"), F.min(F.struct("node", "place")).alias("first"))
-        held = materialise(held, "held")
-        busy = held.groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("parts"), F.sum(F.col("n") * F.col("n")).alias("within")).where("parts > 1")
-        busy = materialise(busy, "busy")
-        pairs = busy.agg(F.sum(F.col("n").cast("double") * F.col("n") - F.col("within")) / 2).first()[0] or 0.0
-        discard(before)
-        if pairs <= CROWDED * placed.count() or crowd is not None and pairs > crowd / 2:
-            discard(held)
-            break
-        crowd = pairs
-        few = held.join(busy.select("key"), "key", "left_semi").select("key", "first.node", "first.place")
-        found = _confirmed(_side_by_side(few, least), signs, texts, n, least)
-        discard(held, busy, placed)
-        links = links.unionByName(found)
+    group, done, width = ["key", "p", "q"], 0, 0
+    while done < SLICES:
         before = components(links)
-    else:
         placed = materialise(shared.join(before, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
-        busy = materialise(placed.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi"), "busy")
-        discard(before)
-
-    parts = F.ceil(F.col("n") / F.lit(LARGE_KEY))
-    dealt = (
-        salted_left_join(placed, busy.select("key", "n"), ["key"], F.col("node"), 4)
-        .where("n IS NOT NULL")
-        .withColumn("own", F.pmod(F.xxhash64("node"), parts))
-        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
-        .select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "component", "node", "place", "own")
-    )
-    group = ["key", "p", "q"]
-    pairs = dealt.repartition(*group).sortWithinPartitions(*group, "component", "node").mapInArrow(_pairs(least), "u long, v long")
-    links = links.unionByName(_confirmed(pairs, signs, texts, n, least))
-    discard(shared, placed, busy)
+        counts = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
+        busy = counts.groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("parts"), F.sum(F.col("n").cast("double") * F.col("n")).alias("within"))
+        busy = materialise(busy.where("parts > 1"), "busy")
+        crowd = busy.agg(F.sum(F.col("n").cast("double") * F.col("n") - F.col("within")) / 2).first()[0] or 0.0
+        width = min(SLICES - done, max(8 * width, int(SLICES * min(1.0, CROWDED * placed.count() / max(crowd, 1.0))), 1))
+        parts = F.ceil(F.col("n") / F.lit(LARGE_KEY))
+        dealt = (
+            salted_left_join(placed, busy.select("key", "n"), ["key"], F.col("node"), 4)
+            .where("n IS NOT NULL")
+            .withColumn("own", F.pmod(F.xxhash64("node"), parts))
+            .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+            .select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "component", "node", "place", "own")
+        )
+        ordered = dealt.repartition(*group).sortWithinPartitions(*group, "component", "node")
+        pairs = ordered.mapInArrow(_pairs(least, done, done + width), "u long, v long")
+        links = links.unionByName(_confirmed(pairs, signs, texts, n, least))
+        discard(before, placed, busy)
+        done += width
+    discard(shared)
     found = components(links)
 
     named = salted_left_join(prints.select("_id", "id", "text_key"), found.withColumnRenamed("node", "_id"), ["_id"], F.col("_id"), 1)

@@ -127,10 +127,9 @@ def test_near_copies_take_few_pairs(spark, monkeypatch):
     assert sum(seen) <= 1.5 * len(texts), seen
 
 
-@pytest.mark.parametrize("rounds", [0, 1, 5])
-def test_rounds_change_no_result(spark, monkeypatch, rounds):
-    monkeypatch.setattr(jaccard, "MOST_ROUNDS", rounds)
-    monkeypatch.setattr(jaccard, "CROWDED", 0)
+@pytest.mark.parametrize("crowded", [0.0005, 1e9])
+def test_slices_change_no_result(spark, monkeypatch, crowded):
+    monkeypatch.setattr(jaccard, "CROWDED", crowded)
     monkeypatch.setattr(jaccard, "HOT", 2)
     monkeypatch.setattr(jaccard, "TOGETHER", 7)
     monkeypatch.setattr(jaccard, "FIRST", 1)
