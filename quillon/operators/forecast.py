@@ -29,12 +29,47 @@ def infer_step(df: DataFrame, keys: list[str], time: str) -> DataFrame:
     return steps.withColumn("share", F.col("count") / F.sum("count").over(Window.partitionBy())).orderBy(F.desc("count"), "step_seconds").limit(1).drop("count")
 
 
-def fill_grid(df: DataFrame, keys: list[str], time: str, step: str = "D") -> DataFrame:
-    """Every series on a regular grid from its own first to the panel's last time; inserted rows are null."""
+def regular_step(df: DataFrame, keys: list[str], time: str, least: float = 0.8) -> tuple[str | int, float]:
+    """(step, share): h, D, W, MS or a number of seconds, and its share of the differences of consecutive times, `least` or more.
+
+    Months are steps of 28 to 31 days.  Raises without such a step.
+    """
+    w = Window.partitionBy(*keys).orderBy(time)
+    t = F.unix_micros(F.col(time).cast("timestamp"))
+    steps = df.select(((t - F.lag(t).over(w)) / 1e6).alias("s")).where("s > 0").groupBy("s").count()
+    months = F.coalesce(F.sum(F.when(F.col("s").between(28 * 86_400, 31 * 86_400), F.col("count"))), F.lit(0))
+    row = steps.agg(F.max(F.struct("count", (-F.col("s")).alias("s"))).alias("top"), F.sum("count").alias("n"), months.alias("months")).first()
+    if row.n and row.months >= least * row.n:
+        return "MS", row.months / row.n
+    if not row.n or row.top["count"] < least * row.n or -row.top["s"] != int(-row.top["s"]):
+        raise ValueError(f"no step covers {least:.0%} of the differences between times")
+    seconds = int(-row.top["s"])
+    return {3600: "h", 86_400: "D", 604_800: "W"}.get(seconds, seconds), row.top["count"] / row.n
+
+
+def snap(df: DataFrame, keys: list[str], time: str, step: str | int) -> DataFrame:
+    """df with times moved back to the grid of their series, which starts at its first time (months: at the first of each), and _off where moved."""
+    kind = df.schema[time].dataType
+    if step == "MS":
+        at = F.date_trunc("month", time).cast(kind)
+        return df.withColumn("_off", at != F.col(time)).withColumn(time, at)
+    size = 1_000_000 * (step if isinstance(step, int) else {"h": 3600, "D": 86_400, "W": 604_800}[step])
+    first = df.groupBy(*(F.col(k).alias(f"_k_{k}") for k in keys)).agg(F.min(time).alias("_first"))
+    both = df.join(first, [df[k].eqNullSafe(first[f"_k_{k}"]) for k in keys]) if keys else df.crossJoin(F.broadcast(first))
+    start = F.unix_micros(F.col("_first").cast("timestamp"))
+    at = F.timestamp_micros(start + F.floor((F.unix_micros(F.col(time).cast("timestamp")) - start) / size) * size).cast(kind)
+    return both.withColumn("_off", at != F.col(time)).withColumn(time, at).select(*df.columns, "_off")
+
+
+def fill_grid(df: DataFrame, keys: list[str], time: str, step: str | int = "D") -> DataFrame:
+    """Every series on a regular grid from its own first to the panel's last time, by a step (a number: seconds); inserted rows are null."""
     last = F.broadcast(df.agg(F.max(time).alias("_end")))
     spans = df.groupBy(*keys).agg(F.min(time).alias("_from")).crossJoin(last)
-    grid = spans.select(*keys, F.explode(F.expr(f"sequence(_from, _end, {STEPS[step]})")).alias(time))
-    return grid.join(df, [*keys, time], "left")
+    interval = STEPS[step] if isinstance(step, str) else f"INTERVAL {step} SECONDS"
+    grid = spans.select(*keys, F.explode(F.expr(f"sequence(_from, _end, {interval})")).alias(time))
+    held = df.select(*(F.col(c).alias(f"_k_{c}" if c in (*keys, time) else c) for c in df.columns))
+    same = [grid[k].eqNullSafe(held[f"_k_{k}"]) for k in keys] + [grid[time] == held[f"_k_{time}"]]
+    return grid.join(held, same, "left").drop(*(f"_k_{c}" for c in (*keys, time)))
 
 
 def panel_status(df: DataFrame, keys: list[str], time: str, y: str, horizon: int, season: int = 1, max_lag: int = 0) -> DataFrame:
@@ -287,21 +322,24 @@ def coverage(errors: DataFrame, bands: DataFrame) -> DataFrame:
 
 
 def prepare_forecast(df: DataFrame, time: str, y: str, horizon: int, keys: list[str] | None = None, how: str = "sum") -> tuple[DataFrame, dict]:
-    """(rows (keys, time, y, fold), report): duplicates aggregated, gaps in the grid opened as nulls, the last `horizon` steps of each series held out as test.
+    """(rows (keys, time, y, fold), report): times snapped to the grid of the step that they keep, rows of one time aggregated,
+    gaps in the grid opened as nulls, the last `horizon` steps of each series held out as test.
 
-    The report holds the step in seconds, its share of all differences, rows, gaps and series.  The step must cover 80 %
-    of the differences and be at most 7 days.
+    The step (regular_step: hours, days, weeks from a series' own first day, calendar months, or seconds) must cover 80 % of the
+    differences.  The report holds it, its share, the times off the grid, rows, gaps and series.  Rows without a time are left out.
     """
     keys = keys or []
-    made = df.where(F.col(time).isNotNull()).groupBy(*keys, time).agg(F.expr(f"{how}(`{y}`)").alias(y))
-    step = infer_step(made, keys, time).first()
-    if step is None or step.share < 0.8 or step.step_seconds > 7 * 86_400:
-        raise ValueError("the times have no regular step of at most 7 days")
-    whole = fill_grid(made, keys, time)
+    known = df.where(F.col(time).isNotNull()).select(*keys, time, y)
+    step, share = regular_step(known.select(*keys, time).distinct(), keys, time)
+    if isinstance(step, int) or step == "h":
+        known = known.withColumn(time, F.col(time).cast("timestamp"))
+    placed = snap(known, keys, time, step)
+    made = placed.groupBy(*keys, time).agg(F.expr(f"{how}(`{y}`)").alias(y))
     last = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(time)))
-    out = whole.withColumn("fold", F.when(last <= horizon, "test").otherwise("train"))
+    out = fill_grid(made, keys, time, step).withColumn("fold", F.when(last <= horizon, "test").otherwise("train"))
     n = out.agg(F.count("*").alias("rows"), F.count_if(F.col(y).isNull()).alias("gaps"), *([F.count_distinct(*keys).alias("series")] if keys else [F.lit(1).alias("series")])).first()
-    return out, {"step_seconds": step.step_seconds, "share": step.share, "rows": n["rows"], "gaps": n["gaps"], "series": n["series"]}
+    off = placed.agg(F.count_if("_off")).first()[0]
+    return out, {"step": step, "share": share, "off_grid": off, "rows": n["rows"], "gaps": n["gaps"], "series": n["series"]}
 
 
 def serve(history: DataFrame, keys: list[str], time: str, y: str, season: int, horizon: int, bands: DataFrame, method: str = "naive") -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.basics import stacked
+from quillon.operators.density import dbscan  # noqa: F401  one of the segmentations
 from quillon.operators.fitted import skewed_columns
 from quillon.session import materialise
 
@@ -130,33 +131,6 @@ def k_medoids(df: DataFrame, k: int, fit_rows: int = 2000, n_init: int = 3, iter
     return rows.crossJoin(F.broadcast(found.where(F.col("start") == best).drop("start"))).withColumn("segment", near["segment"]).drop("_v", "medoids")
 
 
-def dbscan(df: DataFrame, key: str, columns: list[str], eps: float, min_samples: int) -> DataFrame:
-    """(key, segment): dense groups by least key, -1 for noise; neighbours are found over grid cells of side eps."""
-    from itertools import product
-
-    from pyspark.sql.functions import broadcast
-
-    cell = [F.floor(F.col(c) / eps).alias(f"_c{i}") for i, c in enumerate(columns)]
-    base = materialise(df.select(F.col(key).alias("k"), *(F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)), *cell), "cells")
-    steps = broadcast(df.sparkSession.createDataFrame(list(product((-1, 0, 1), repeat=len(columns))), [f"s{i}" for i in range(len(columns))]))
-    around = base.crossJoin(steps).select(F.col("k").alias("j"), *(F.col(f"x{i}").alias(f"y{i}") for i in range(len(columns))), *((F.col(f"_c{i}") + F.col(f"s{i}")).alias(f"_c{i}") for i in range(len(columns))))
-    square = sum((F.col(f"x{i}") - F.col(f"y{i}")) ** 2 for i in range(len(columns)))
-    near = materialise(base.join(around, [f"_c{i}" for i in range(len(columns))]).where(square <= eps * eps).select("k", "j"), "near")
-    core = near.groupBy("k").count().where(F.col("count") >= min_samples).select("k")
-    links = near.join(core, "k").join(core.select(F.col("k").alias("j")), "j")
-    label = materialise(core.withColumn("segment", F.col("k")), "label")
-    while True:
-        new = links.join(label.withColumnRenamed("k", "j"), "j").groupBy("k").agg(F.min("segment").alias("segment"))
-        new = materialise(new, "label")
-        moved = new.join(label.withColumnRenamed("segment", "old"), "k").where("segment < old").limit(1).count()
-        label = new
-        if not moved:
-            break
-    border = near.join(label.withColumnRenamed("k", "j"), "j").groupBy("k").agg(F.min("segment").alias("segment"))
-    found = label.unionByName(border.join(core, "k", "left_anti"))
-    return base.select("k").join(found, "k", "left").select(F.col("k").alias(key), F.coalesce("segment", F.lit(-1)).alias("segment"))
-
-
 def cluster_quality(df: DataFrame, columns: list[str], segment: str = "segment") -> DataFrame:
     """One row (segments, rows, noise_share, within, between, calinski_harabasz) from grouped sums of squares."""
     known = df.where(F.col(segment) != -1)

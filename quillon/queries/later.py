@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
-from quillon.operators import anomaly, explain, ledger, metrics, models, segments
+from quillon.operators import anomaly, explain, ledger, metrics, models, nearest, segments
 from quillon.operators.events import aggregate_events
 from quillon.operators.screens import hash_fold
 from quillon.plans.recipes import recipe
@@ -169,14 +169,23 @@ def iforest_scores(spark, d):
     return anomaly.isolation_forest(li_key(spark, d), Z, ["k"])
 
 
-@R.add()
+NEAR = """s AS (SELECT avg(l_quantity) AS ma, stddev_pop(l_quantity) AS sa, avg(l_extendedprice) AS mb, stddev_pop(l_extendedprice) AS sb, avg(l_discount) AS mc, stddev_pop(l_discount) AS sc FROM lineitem),
+z AS MATERIALIZED (SELECT row_number() OVER () AS i, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, floor(l_extendedprice)::BIGINT) AS k, (l_quantity - ma) / sa AS a, (l_extendedprice - mb) / sb AS b, (l_discount - mc) / sc AS c FROM lineitem, s),
+kd AS MATERIALIZED (SELECT x.i, list_max(min(sqrt((x.a - y.a) ** 2 + (x.b - y.b) ** 2 + (x.c - y.c) ** 2), 10)) AS reach FROM z x JOIN z y ON x.i != y.i GROUP BY 1)"""
+
+
+@R.add(f"WITH {NEAR} SELECT k, round(reach, 6) AS score FROM z JOIN kd USING (i)")
 def knn_scores(spark, d):
-    return anomaly.neighbours(li_key(spark, d), Z, ["k"], "knn", 10)
+    return rounded(nearest.neighbour_scores(li_key(spark, d), Z, ["k"], "knn", 10))
 
 
-@R.add()
+@R.add(f"""WITH {NEAR}, w AS MATERIALIZED (SELECT *, b - reach * (1 + 1e-9) AS lo, b + reach * (1 + 1e-9) AS hi FROM z JOIN kd USING (i)),
+p AS MATERIALIZED (SELECT x.i, y.i AS j, y.reach, sqrt((x.a - y.a) ** 2 + (x.b - y.b) ** 2 + (x.c - y.c) ** 2) AS d FROM w x JOIN w y ON y.b >= x.lo AND y.b <= x.hi
+  WHERE x.i != y.i AND sqrt((x.a - y.a) ** 2 + (x.b - y.b) ** 2 + (x.c - y.c) ** 2) <= x.reach * (1 + 1e-9)),
+l AS MATERIALIZED (SELECT i, 1 / greatest(avg(greatest(reach, d)), 1e-12) AS density FROM p GROUP BY 1), m AS (SELECT p.i, avg(l.density) AS m FROM p JOIN l ON l.i = p.j GROUP BY 1)
+SELECT k, round(m / density, 4) AS score FROM z JOIN l USING (i) JOIN m USING (i)""")
 def lof_scores(spark, d):
-    return anomaly.neighbours(li_key(spark, d), Z, ["k"], "lof", 10)
+    return rounded(nearest.neighbour_scores(li_key(spark, d), Z, ["k"], "lof", 10), 4)
 
 
 F4 = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]

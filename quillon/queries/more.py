@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillon.functions import basics
-from quillon.operators import anomaly, explain, fitted, forecast, ledger, metrics, models, screens, segments, splits
+from quillon.operators import anomaly, density, explain, fitted, forecast, ledger, metrics, models, screens, segments, splits
 from quillon.queries.common import ORDERS, SCORED, Registry, events, order_totals, rounded, scored_documents
 from quillon.queries.evaluation import BACK, GRID, backtest, grid
 from quillon.queries.later import M, SCORES, W, li_key, scores
@@ -57,12 +57,44 @@ def panel_status(spark, d):
     return forecast.panel_status(rows, ["series"], "day", "y", 200, 1, 7)
 
 
-@R.add("""WITH t AS (SELECT 'all' AS series, o_orderdate::DATE AS day, sum(o_totalprice) AS y FROM orders GROUP BY 2), g AS (SELECT unnest(range(min(day)::TIMESTAMP, max(day)::TIMESTAMP + INTERVAL 1 DAY, INTERVAL 1 DAY))::DATE AS day FROM t),
-r AS (SELECT 'all' AS series, g.day, y, row_number() OVER (ORDER BY g.day DESC) AS r FROM g LEFT JOIN t USING (day)) SELECT series, day, round(y, 0) AS y, CASE WHEN r <= 14 THEN 'test' ELSE 'train' END AS fold FROM r""")
+DENSE = """p AS (SELECT o_custkey AS k, count(*) / 2.0 AS a, avg(o_totalprice) / 20000.0 AS b FROM orders GROUP BY 1),
+near AS MATERIALIZED (SELECT x.k, y.k AS j FROM p x JOIN p y ON (x.a - y.a) * (x.a - y.a) + (x.b - y.b) * (x.b - y.b) <= 0.09),
+core AS MATERIALIZED (SELECT k FROM near GROUP BY 1 HAVING count(*) >= 6), link AS MATERIALIZED (SELECT n.k, n.j FROM near n JOIN core a ON a.k = n.k JOIN core b ON b.k = n.j),
+cc(k, g) USING KEY (k) AS (SELECT k, k FROM core UNION SELECT l.k, min(c.g) FROM cc c JOIN link l ON l.j = c.k JOIN recurring.cc r ON r.k = l.k WHERE c.g < r.g GROUP BY l.k)"""
+
+
+@R.add(f"""WITH RECURSIVE {DENSE}, edge AS (SELECT n.k, min(c.g) AS g FROM near n JOIN cc c ON c.k = n.j WHERE n.k NOT IN (SELECT k FROM core) GROUP BY 1)
+SELECT p.k AS customer, coalesce(cc.g, edge.g, -1) AS segment FROM p LEFT JOIN cc ON cc.k = p.k LEFT JOIN edge ON edge.k = p.k""")
+def dbscan_customers(spark, d):
+    per = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("customer")).agg((F.count("*") / 2.0).alias("a"), (F.avg("o_totalprice") / 20000.0).alias("b"))
+    return density.dbscan(per, "customer", ["a", "b"], 0.3, 6)
+
+
+PANEL = """{n}t AS (SELECT {key} AS series, {at} AS moment, sum({y}) AS y FROM {table} GROUP BY 1, 2),
+{n}g AS (SELECT series, unnest(generate_series(min(moment), (SELECT max(moment) FROM {n}t), INTERVAL '{step}')) AS moment FROM {n}t GROUP BY 1),
+{n} AS (SELECT '{n}' AS panel, series, moment, y, row_number() OVER (PARTITION BY series ORDER BY moment DESC) AS r FROM {n}g LEFT JOIN {n}t USING (series, moment))"""
+PANELS = ", ".join([
+    PANEL.format(n="weekly", key="'all'", at="date_trunc('week', o_orderdate)::TIMESTAMP", y="o_totalprice", table="orders", step="7 days"),
+    PANEL.format(n="monthly", key="o_orderpriority", at="date_trunc('month', o_orderdate)::TIMESTAMP", y="o_totalprice", table="orders", step="1 month"),
+    PANEL.format(n="half_daily", key="'all'", at="date_trunc('day', ts)::TIMESTAMP + INTERVAL 12 HOURS * (hour(ts) // 12)", y="value", table="events", step="12 hours"),
+])
+
+
+@R.add(f"""WITH {PANELS}, a AS (SELECT * FROM weekly UNION ALL SELECT * FROM monthly UNION ALL SELECT * FROM half_daily)
+SELECT panel, series, moment, round(y, 0) AS y, CASE WHEN r <= 8 THEN 'test' ELSE 'train' END AS fold FROM a""")
 def prepare_forecast(spark, d):
-    rows = table(spark, d, "orders").select(F.lit("all").alias("series"), F.to_date("o_orderdate").alias("day"), "o_totalprice")
-    out, _ = forecast.prepare_forecast(rows, "day", "o_totalprice", 14, ["series"])
-    return out.select("series", "day", F.round("o_totalprice", 0).alias("y"), "fold")
+    o, e = table(spark, d, "orders"), events(spark, d)
+    panels = {
+        "weekly": o.select(F.lit("all").alias("series"), F.date_trunc("week", "o_orderdate").alias("moment"), F.col("o_totalprice").alias("y")),
+        "monthly": o.select(F.col("o_orderpriority").alias("series"), F.col("o_orderdate").alias("moment"), F.col("o_totalprice").alias("y")),
+        "half_daily": e.select(F.lit("all").alias("series"), (F.date_trunc("day", "ts") + F.make_dt_interval(hours=12 * F.floor(F.hour("ts") / 12).cast("int"))).alias("moment"), F.col("value").alias("y")),
+    }
+    panels["monthly"] = panels["monthly"].withColumn("moment", F.date_trunc("month", "moment"))
+    out = None
+    for name, rows in panels.items():
+        one = forecast.prepare_forecast(rows, "moment", "y", 8, ["series"])[0].select(F.lit(name).alias("panel"), "series", "moment", F.round("y", 0).alias("y"), "fold")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @R.add(f"""{BACK}, e AS (SELECT step + k AS step, actual - forecast AS r FROM bt, (SELECT unnest([-2, -1, 0, 1, 2]) AS k) WHERE step + k BETWEEN 1 AND 14),
@@ -131,10 +163,10 @@ def alert_stability(spark, d):
 
 
 @R.add("""WITH p AS (SELECT round(0.02 * (l_quantity - 25), 9) AS a, round(-3 * (l_discount - 0.05), 9) AS b, round(1.5 * (l_tax - 0.04), 9) AS c FROM lineitem), u AS (SELECT 'l_quantity' AS column_name, avg(abs(a)) AS m, avg(a) AS s FROM p UNION ALL SELECT 'l_discount', avg(abs(b)), avg(b) FROM p UNION ALL SELECT 'l_tax', avg(abs(c)), avg(c) FROM p)
-SELECT column_name, round(m, 6) AS mean_abs, round(s, 6) + 0.0 AS mean_signed, row_number() OVER (ORDER BY m DESC, column_name)::INT AS place FROM u""")
+SELECT column_name, round(m, 4) AS mean_abs, round(s, 4) + 0.0 AS mean_signed, row_number() OVER (ORDER BY m DESC, column_name)::INT AS place FROM u""")
 def attribution_ranking(spark, d):
     phi = explain.linear_attribution(li_key(spark, d), "k", W, M, 0.1).select(F.transform("phi", lambda x: x["value"]).alias("phi"))
-    return rounded(explain.attribution_ranking(phi, list(W)))
+    return rounded(explain.attribution_ranking(phi, list(W)), 4)
 
 
 @R.add("""WITH l AS (SELECT user_id AS run_id, event_id AS seq, event_type AS tool FROM events), r AS (SELECT DISTINCT run_id FROM l), g AS (SELECT run_id, gate, tool FROM r, (VALUES ('seen', 'view'), ('seen', 'click'), ('bought', 'purchase')) v(gate, tool)),

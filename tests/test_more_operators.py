@@ -1,5 +1,7 @@
 """Panels, prepared splits, comparisons and evidence on planted tables."""
 
+import datetime as dt
+
 import numpy as np
 import pytest
 from pyspark.ml.feature import VectorAssembler
@@ -48,7 +50,7 @@ def test_panels(spark):
     out, report = forecast.prepare_forecast(days.unionByName(days.limit(1)), "d", "y", 7, ["s"])
     assert report["gaps"] == 1 and report["series"] == 1 and out.where("fold = 'test'").count() == 7
     with pytest.raises(ValueError):
-        forecast.prepare_forecast(days.withColumn("d", F.expr("date_add(d, 20 * dayofyear(d))")), "d", "y", 7, ["s"])
+        forecast.prepare_forecast(days.withColumn("d", F.expr("date_add(d, cast(pow(dayofyear(d), 2) AS int))")), "d", "y", 7, ["s"])
     assert forecast.one_series(df, "s", "old").count() == 30
     errors = spark.createDataFrame([("a", 1, 10.0, 12.0), ("a", 2, 10.0, 9.0), ("b", 1, 0.0, 1.0)], "s string, step int, actual double, forecast double")
     scale = spark.createDataFrame([("a", 2.0), ("b", 0.0)], "s string, scale double")
@@ -126,9 +128,44 @@ def test_rules_and_copies(spark):
 
 
 def test_evidence(spark):
-    rows = [("r1", 1, "set_context", True), ("r1", 2, "detect_data_leakage", True), ("r1", 3, "apply_imputation", True), ("r2", 1, "detect_data_leakage", False)]
+    rows = [("r1", 1, "record_business_context", True), ("r1", 2, "detect_data_leakage", True), ("r1", 3, "apply_imputation", True), ("r2", 1, "detect_data_leakage", False)]
     book = spark.createDataFrame(rows, "run_id string, seq int, tool string, ok boolean")
     runs = spark.createDataFrame([("r1", "clustering"), ("r2", "clustering")], "run_id string, task string")
     got = {(r.run_id, r.gate): r.status for r in ledger.evidence_gates(book, runs).collect()}
     assert got["r1", "leakage_screened"] == "pass" and got["r1", "explainability_run"] == "not_run" and got["r1", "evidence_ordering"] == "fail"
     assert got["r2", "leakage_screened"] == "not_run" and got["r2", "evidence_ordering"] == "not_run"
+
+
+def test_forecast_grids_of_each_step(spark):
+    hours = spark.range(240).selectExpr("'a' AS s", "timestamp'2024-03-01 00:00:00' + make_dt_interval(0, CAST(id AS int)) AS t", "CAST(id AS double) AS y")
+    out, report = forecast.prepare_forecast(hours.where("y != 7"), "t", "y", 24, ["s"])
+    assert (report["step"], report["rows"], report["gaps"], report["off_grid"]) == ("h", 240, 1, 0)
+    assert out.where("fold = 'test'").agg(F.count("*"), F.min("y")).first()[:] == (24, 216.0)
+    weeks = spark.range(60).selectExpr("'a' AS s", "date_add(date'2024-01-03', CAST(7 * id AS int)) AS t", "1.0D AS y")
+    late = weeks.where("t = date'2024-01-10'").withColumn("t", F.expr("date_add(t, 2)"))
+    out, report = forecast.prepare_forecast(weeks.unionByName(late).unionByName(weeks.selectExpr("'b' AS s", "date_add(t, 3) AS t", "y").limit(40)), "t", "y", 4, ["s"])
+    assert (report["step"], report["off_grid"], report["series"]) == ("W", 1, 2)
+    got = {(r.s, r.t): r.y for r in out.collect()}
+    assert got["a", dt.date(2024, 1, 10)] == 2.0 and got["b", dt.date(2024, 1, 6)] == 1.0 and ("b", dt.date(2024, 1, 10)) not in got
+    assert len([k for k in got if k[0] == "a"]) == 60 and out.where("s = 'b' AND y IS NULL").count() == 19
+    months = spark.range(30).selectExpr("'a' AS s", "add_months(date'2023-01-15', CAST(id AS int)) AS t", "1.0D AS y").where("t != date'2023-06-15'")
+    out, report = forecast.prepare_forecast(months, "t", "y", 6, ["s"])
+    assert (report["step"], report["rows"], report["gaps"]) == ("MS", 30, 1) and out.where("dayofmonth(t) != 1").count() == 0
+    quarters = hours.withColumn("t", F.expr("t + make_dt_interval(0, -hour(t) - 24 * (dayofmonth(t) - 1), CAST(15 * y AS int))"))
+    assert forecast.prepare_forecast(quarters, "t", "y", 4, ["s"])[1]["step"] == 900
+
+
+def test_gates_of_a_whole_run(spark):
+    runs = spark.createDataFrame([("c", "classification"), ("r", "regression"), ("k", "clustering"), ("a", "anomaly"), ("f", "forecasting")], "run_id string, task string")
+    tools = ["record_business_context", "detect_data_leakage", "apply_imputation", "detect_data_leakage", "check_label_rule", "apply_frequency_encoding", "train_model", "check_model_stability", "explain_model"]
+    book = spark.createDataFrame([("c", i, t, True) for i, t in enumerate([*tools, "confusion_matrix", "roc_curve"])], "run_id string, seq int, tool string, ok boolean")
+    metrics_ = spark.createDataFrame([("c", "overfit_gap", 0.2), ("c", "lift_over_baseline", 0.1), ("f", "overfit_gap", 0.2)], "run_id string, metric string, value double")
+    rows = ledger.run_gates(book, metrics_, runs).collect()
+    count = {r: sum(x.run_id == r for x in rows) for r in "crkaf"}
+    assert count == {"c": 17, "r": 11, "k": 8, "a": 9, "f": 7}
+    got = {(r.run_id, r.gate): r.status for r in rows}
+    assert got["c", "evidence_ordering"] == "fail"  # the encoding came after the leakage screen
+    assert (got["c", "no_overfitting"], got["f", "no_overfitting"], got["c", "baseline_beaten"]) == ("fail", "pass", "pass")
+    assert (got["c", "evaluation_charts"], got["c", "success_criteria"], got["r", "business_context"], got["c", "stability_checked"]) == ("not_run", "not_run", "not_run", "pass")
+    stale = {r.tool: r.stale for r in ledger.stale_screens(book, ["detect_data_leakage", "check_model_stability"]).collect()}
+    assert stale == {"detect_data_leakage": True, "check_model_stability": False}
