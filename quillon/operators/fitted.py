@@ -154,28 +154,37 @@ def smote_advice(train: DataFrame, target: str, split: str = "random") -> DataFr
     return one.withColumn("advised", (F.col("ratio") < 0.02) & (F.col("minority") >= 10) & F.lit(split == "random"))
 
 
-def smote(train: DataFrame, target: str, columns: list[str], minority, ratio: float = 0.5, seed: int = 42, k: int = 5) -> DataFrame:
+def smote(train: DataFrame, target: str, columns: list[str], minority, ratio: float = 0.5, seed: int = 42, k: int = 5, **cells) -> DataFrame:
     """Training rows and synthetic minority rows x + u (neighbour - x), up to `ratio` times the majority.
 
-    Neighbours are found by locality-sensitive hashing among the minority.
+    The neighbour is one of the k nearest of the complete minority rows, found exactly (nearest.neighbour_pairs); equal rows are neighbours at
+    no distance.  Every minority row makes its share, the rows left over those of the least hashes, so no limit brings them
+    into one task; neighbour and u come from a hash of the row's values, so the result doesn't depend on the partitioning.  Without
+    two complete minority rows, or with enough of them, only the training rows come back.
     """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH, VectorAssembler
-
-    few = train.where(F.col(target) == minority).withColumn("_id", F.monotonically_increasing_id())
-    n_few = few.count()
-    n_many = train.where(F.col(target) != minority).count()
-    need = int(ratio * n_many) - n_few
-    if need <= 0 or n_few < 2:
+    from quillon.operators.nearest import neighbour_pairs
+    from quillon.operators.ranking import running
+    from quillon.session import materialise
+
+    names = [f"_x{i}" for i in range(len(columns))]
+    of = F.col(target) == minority
+    few = train.where(of).select(*(F.col(c).cast("double").alias(n) for c, n in zip(columns, names, strict=True))).dropna()
+    points = few.groupBy(*names).agg(F.count("*").alias("w"))
+    points = materialise(points.select(F.monotonically_increasing_id().alias("p"), "w", *names), "points")
+    counts = train.agg(F.count_if(of).alias("few"), F.count_if(~of).alias("many")).first()
+    total, need = points.agg(F.sum("w")).first()[0] or 0, int(ratio * counts["many"]) - counts["few"]
+    if need <= 0 or total < 2:
         return train.select(*columns, target)
-    spread = few.agg(*(F.stddev_samp(c).alias(c) for c in columns)).first()
-    width = max([s for s in spread if s] or [1.0])
-    vectors = VectorAssembler(inputCols=columns, outputCol="_v").transform(few)
-    model = BucketedRandomProjectionLSH(inputCol="_v", outputCol="_h", bucketLength=2 * width, numHashTables=3, seed=seed).fit(vectors)
-    near = model.approxSimilarityJoin(vectors, vectors, float("inf"), "_d").where("datasetA._id != datasetB._id")
-    rank = F.row_number().over(Window.partitionBy("datasetA._id").orderBy("_d", "datasetB._id"))
-    pairs = near.withColumn("_k", rank).where(F.col("_k") <= k)
-    each = -(-need // n_few)
-    grown = pairs.withColumn("_j", F.explode(F.sequence(F.lit(1), F.lit(each)))).where((F.col("_j") - 1) % k + 1 == F.col("_k"))
-    u = (F.pmod(F.xxhash64("datasetA._id", "_j", F.lit(seed)), F.lit(1_000_000)) / 1_000_000.0)
-    made = grown.select(*((F.col(f"datasetA.{c}") + u * (F.col(f"datasetB.{c}") - F.col(f"datasetA.{c}"))).alias(c) for c in columns), F.lit(minority).alias(target))
-    return train.select(*columns, target).unionByName(made.limit(need))
+    pairs = neighbour_pairs(points, names, min(k, total - 1), **cells).select("p", "q", "d", F.col("w").alias("n"))
+    beside = pairs.join(points.select(F.col("p").alias("q"), F.struct(*names).alias("x")), "q")
+    lists = beside.groupBy("p").agg(F.sort_array(F.collect_list(F.struct("d", "x", "n"))).alias("near"))  # k and those as far as the k-th
+    repeated = F.flatten(F.transform("near", lambda y: F.array_repeat(y["x"], F.least(y["n"], F.lit(k)).cast("int"))))
+    each, left = divmod(need, total)
+    placed = running(points.withColumn("_o", F.struct(F.xxhash64(*names, F.lit(seed)), *names)), "_o", ["w"])
+    rows = placed.join(lists.select("p", F.slice(repeated, 1, k).alias("near")), "p").withColumn("_r", F.explode(F.sequence(F.lit(0).cast("long"), F.col("w") - 1)))
+    rows = rows.withColumn("_n", each + (F.col("w_before") + F.col("_r") < left).cast("int")).where("_n > 0").withColumn("_j", F.explode(F.sequence(F.lit(1), "_n")))
+    draw = lambda salt, n: F.pmod(F.xxhash64(*names, "_r", "_j", F.lit(seed), F.lit(salt)), n)
+    rows = rows.withColumn("_y", F.element_at("near", (draw(1, F.size("near")) + 1).cast("int"))).withColumn("_u", draw(2, F.lit(1_000_000)) / 1_000_000.0)
+    made = rows.select(*((F.col(n) + F.col("_u") * (F.col("_y")[n] - F.col(n))).alias(c) for c, n in zip(columns, names, strict=True)), F.lit(minority).alias(target))
+    return train.select(*columns, target).unionByName(made)
+

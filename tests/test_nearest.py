@@ -2,8 +2,9 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from quillon.operators import nearest
+from quillon.operators import fitted, nearest
 
 
 def plainly(x, k, method):
@@ -42,3 +43,26 @@ def test_missing_few_and_no_rows(spark):
     rows = [(1, 2.0, None, 0, "x"), (2, float("nan"), 1.0, 0, "x"), (3, 2.0, 1.0, 0, "x"), (3, 2.0, 5.0, 0, "x")]
     got = nearest.neighbour_scores(spark.createDataFrame(rows, schema), ["a", "b"], ["i"], k=9).collect()
     assert len(got) == 4 and sorted(r.score > 0 for r in got) == [True] * 4
+
+
+def test_smote_lies_between_neighbours_whatever_the_partitioning(spark):
+    rng = np.random.default_rng(6)
+    x = np.round(rng.normal(0, 3, (800, 2)), 6)
+    x[790:] = x[789]
+    rows = [(i, *map(float, v), 1) for i, v in enumerate(x)] + [(i, 50.0, 50.0, 0) for i in range(5000)] + [(7000, None, 1.0, 1)]
+    df = spark.createDataFrame(rows, "i long, a double, b double, y int")
+    out = [fitted.smote(part, "y", ["a", "b"], 1, 0.5, k=5, cell=60) for part in (df.repartition(3), df.repartition(7, "b"))]
+    one, two = (sorted(map(tuple, o.where("y = 1 AND a IS NOT NULL").collect())) for o in out)
+    assert one == two and len(one) == 2500 - 1
+    own = {tuple(map(float, v)) for v in x}
+    made = np.array([r[:2] for r in one if r[:2] not in own])
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    np.fill_diagonal(d, np.inf)
+    near = np.argsort(d, axis=1, kind="stable")[:, :5]
+    a, b = np.repeat(x, 5, 0), x[near.ravel()]
+    for s in made:
+        along, off = b - a, s - a
+        u = (off * along).sum(1) / np.maximum((along**2).sum(1), 1e-300)
+        apart = np.abs(off - u[:, None] * along).max(1)
+        assert ((apart < 1e-9) & (u > -1e-9) & (u < 1 + 1e-9)).any()
+    assert fitted.smote(df.where(F.col("i") < 1), "y", ["a", "b"], 1).count() == 2
