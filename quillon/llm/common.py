@@ -1,12 +1,10 @@
-"""What several operators share: keyed lookups without hot tasks, and connected components."""
+"""What several operators share: words, file systems, keyed lookups without hot tasks and connected components."""
 
 from __future__ import annotations
 
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
-from quillon.session import discard, materialise
+from quillon.operators.graph import components, salted_left_join  # noqa: F401
 
 #: Java form of the white space that every text contract uses: space and U+0009 to U+000D.
 SPACE = r"[\x20\x09-\x0D]"
@@ -16,61 +14,3 @@ WORD = r"[^\x20\x09-\x0D]+"
 def file_system(path: str) -> tuple[fs.FileSystem, str]:
     """The file system of a path or URI, and the path there."""
     return fs.FileSystem.from_uri(path if ":" in path else f"file://{path}")
-
-
-def salted_left_join(left: DataFrame, right: DataFrame, keys: list[str], spread: Column, salts: int = 16) -> DataFrame:
-    """left LEFT JOIN right on keys, where right has one row per key and one key may hold any share of left.
-
-    Each row of left goes to one of `salts` copies of its key, chosen by a hash of `spread` (so a retried task makes the
-    same choice), and right is repeated once per salt.  right should hold small rows.
-    """
-    left = left.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
-    right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [*keys, "_salt"], "left").drop("_salt")
-
-
-def components(edges: DataFrame, salts: int = 8, most_rounds: int = 60) -> DataFrame:
-    """Connected components of the undirected edges (u long, v long): rows (node, component), component the least node,
-    which has no row itself.
-
-    Alternates large-star and small-star steps; each step takes a least neighbour per node (pre-aggregated before its
-    shuffle) and joins it back under salts, so a hub may hold any share of the edges.  Each round is written to the shared
-    folder.  Nodes without an edge to another node are absent; null ends are ignored.  Raises if it hasn't settled in
-    `most_rounds` rounds (each round at least halves the distance to the least node in practice).
-    """
-    edges = materialise(
-        edges.where("u IS NOT NULL AND v IS NOT NULL AND u != v")
-        .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        .distinct(),
-        "edges",
-    )
-    before = None
-    for _ in range(most_rounds):
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = (
-            salted_left_join(both.where("v > u"), least, ["u"], F.col("v"), salts)
-            .select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .where("u != v")
-            .unionByName(least.select("u", F.col("m").alias("v")).where("u != v"))
-            .distinct()
-        )
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
-            salted_left_join(large, least, ["u"], F.col("v"), salts)
-            .select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .where("u != v")
-            .unionByName(least.select("u", F.col("m").alias("v")))
-            .distinct()
-        )
-        last, edges = edges, materialise(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-        discard(last)
-        now = edges.agg(
-            F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0)).alias("h")
-        ).first()
-        if now == before:
-            out = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-            out.written = edges.written
-            return out
-        before = now
-    raise RuntimeError("the components have not settled")
