@@ -117,9 +117,13 @@ def read_query(spark: SparkSession, url: str, query: str, partition: str | None
 
 
 def check_read_only(query: str) -> None:
-    """Raises unless the text is one SELECT (or WITH ... SELECT) without a word that changes data, quoted text and comments aside."""
+    """Raises unless the text is one SELECT (or WITH ... SELECT) without a word that changes data, quoted text and comments aside.
+
+    SELECT ... INTO makes a table, so it is refused.  Functions with side effects can't be told from others here: open the
+    connection read-only as well.
+    """
     bare = re.sub(r"'(?:[^']|'')*'|\"[^\"]*\"|--[^\n]*|/\*.*?\*/", " ", query, flags=re.DOTALL).strip()
-    if not re.match(r"(select|with)\b", bare, re.IGNORECASE) or ";" in bare.rstrip("; \n\t") or re.search(rf"\b({'|'.join(CHANGES)})\b(?!\s*\()", bare, re.IGNORECASE):
+    if not re.match(r"(select|with)\b", bare, re.IGNORECASE) or ";" in bare.rstrip("; \n\t") or re.search(rf"\b({'|'.join(CHANGES)})\b(?!\s*\()|\binto\b", bare, re.IGNORECASE):
         raise ValueError("only one SELECT can be read")
 
 

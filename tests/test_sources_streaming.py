@@ -56,7 +56,7 @@ def test_archives_and_stacks(spark, tmp_path):
 def test_only_reading_statements():
     for good in ("select * from t", "WITH x AS (SELECT 1) SELECT 'delete; drop' FROM x -- update", "select replace(a, 'x', 'y') from t;"):
         tables.check_read_only(good)
-    for bad in ("delete from t", "WITH x AS (SELECT 1) DELETE FROM t", "select 1; drop table t", "with x as (update t set a = 1 returning a) select * from x"):
+    for bad in ("delete from t", "SELECT * INTO t2 FROM t", "WITH x AS (SELECT 1) DELETE FROM t", "select 1; drop table t", "with x as (update t set a = 1 returning a) select * from x"):
         with pytest.raises(ValueError):
             tables.check_read_only(bad)
 
