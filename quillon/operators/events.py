@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.basics import DAY, holds, micros, span
+from quillon.operators.blocks import Carry, Span, cut, largest_entity, over_blocks
+from quillon.session import materialise
 
 SIMPLE = ("count", "share", "sum", "mean", "median", "std", "min", "max", "nunique", "cv", "below", "span_days", "recency_days")
 BY_VALUE = ("entropy", "top_share")
@@ -119,11 +121,14 @@ def aggregate_events(
     return out.select(*keys, "n_events", *(s["name"] for s in features), *(carry or []))
 
 
-def features_at_decisions(df: DataFrame, entity: str, time: str, specs: list[dict], at: str, window: str, order: list[str] | None = None) -> DataFrame:
+def features_at_decisions(
+    df: DataFrame, entity: str, time: str, specs: list[dict], at: str, window: str, order: list[str] | None = None, split_rows: int = 1_000_000
+) -> DataFrame:
     """The rows where `at` holds, with features over the entity's rows in [t - window, t), simultaneous rows left out.
 
     A spec is {name, agg, column, where, window}; recency_days looks back without limit, by rows.  Counts, shares and sums
-    of nothing are 0.
+    of nothing are 0.  Where an entity has more than `split_rows` rows, all are cut into blocks of about so many (see
+    blocks.py), with the same result.
     """
     base = prepared(df, entity, time)
     _check(specs, AT_DECISION, base.columns)
@@ -144,22 +149,85 @@ def features_at_decisions(df: DataFrame, entity: str, time: str, specs: list[dic
             "max": lambda: F.max(x).over(frame),
             "recency_days": lambda: (F.col("_t") - F.last(F.when(hit, F.col("_t")), ignorenulls=True).over(by_row.rowsBetween(Window.unboundedPreceding, -1))) / DAY,
         }[s["agg"]]()
-    return base.withColumns(made).where(holds(at)).drop("_t", "_hour", "_dow", "_day")
+    plain = base.withColumns(made).where(holds(at)).drop("_t", "_hour", "_dow", "_day")
+    if largest_entity(base, entity) <= split_rows:
+        return plain
+    spans, carries = [], []
+    for s in specs:
+        hit = holds(s.get("where"))
+        if s["agg"] == "recency_days":
+            carries.append(_latest(s["name"], F.when(hit, F.col("_t")), DAY))
+            continue
+        x = F.lit(1) if s["agg"] in ("count", "share") else F.col(s["column"])
+        spans.append(Span(s["name"], s["agg"], F.when(hit, x), span(s.get("window", window)), _or_zero if s["agg"] == "sum" else lambda c: c))
+    blocks = cut(base.withColumn("_o", F.col("_t")), entity, ["_o", *(order or [])], split_rows)
+    return _as(over_blocks(blocks, entity, order or [], {}, 0, spans, carries).where(holds(at)), plain)
+
+
+def _or_zero(c: Column) -> Column:
+    return F.coalesce(c, F.lit(0))
+
+
+def _latest(name: str, at: Column, unit: int) -> Carry:
+    """The time since the last of an entity's earlier rows for which `at`, its time, isn't null."""
+    return Carry(name, F.max(at), lambda carried, _, w: (F.col("_t") - F.greatest(F.last(at, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), carried)) / unit)
+
+
+def _streak(name: str, good: Column) -> Carry:
+    """The rows since the entity's last row that wasn't good, as of the row before."""
+
+    def make(carried: Column, before: Column, w: Window) -> Column:
+        place = before + F.col("_i")
+        broken = F.max(F.when(~good, place)).over(w.rowsBetween(Window.unboundedPreceding, -1))
+        return place - 1 - F.coalesce(F.greatest(broken, carried), F.lit(0))
+
+    return Carry(name, F.max(F.when(~good, F.col("_i"))), make, place=True)
+
+
+def _as(out: DataFrame, like: DataFrame) -> DataFrame:
+    """The columns of `like`, in its types."""
+    return out.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in like.schema))
 
 
 WINDOW_OPS = ("lag", "diff", "pct_change", "roll_mean", "roll_std", "roll_min", "roll_max", "roll_sum", "roll_count", "vs_roll_mean", "gap_prev", "since", "prior_count", "streak")
+FIRST = -(1 << 62)  # where a row without a time stands
+
+
+def _row_feature(op: str, c: str | None, n: int, frame, rows, unit: int) -> Column:
+    """A feature over a bounded number of rows before or, by its frame, a bounded time."""
+    x = F.col(c) if c else None
+    if op == "lag":
+        return F.lag(x, n).over(rows)
+    if op == "diff":
+        return x - F.lag(x, n).over(rows)
+    if op == "pct_change":
+        return (x - F.lag(x, n).over(rows)) / (F.abs(F.lag(x, n).over(rows)) + 1e-6)
+    if op == "gap_prev":
+        return (F.col("_t") - F.lag("_t").over(rows)) / unit
+    if op == "roll_count":
+        return F.count("*").over(frame)
+    if op == "vs_roll_mean":
+        return x / (F.avg(x).over(frame) + 1e-6)
+    if op == "roll_std":
+        return F.when(F.count(x).over(frame) > 1, F.stddev_samp(x).over(frame))
+    return {"mean": F.avg, "min": F.min, "max": F.max, "sum": F.sum}[op[5:]](x).over(frame)
 
 
-def entity_features(df: DataFrame, entity: str, time: str, specs: list[dict], target: str | None = None, order: list[str] | None = None) -> DataFrame:
+def entity_features(
+    df: DataFrame, entity: str, time: str, specs: list[dict], target: str | None = None, order: list[str] | None = None, split_rows: int = 1_000_000
+) -> DataFrame:
     """Adds features of each row from the entity's earlier rows only.
 
     Specs {name, op, column, n | window} apply in order, so one may use what an earlier one made.  All windows share one
     partitioning and order.  `n` counts rows, `window` is a span over [t - w, t).  Integer times stay in their own unit.
+    Rows without a time come first, and windows of time hold none for them.  Null is an entity.  Where an entity has more
+    than `split_rows` rows, all are cut into blocks of about so many (see blocks.py), with the same result.
     """
     integer = df.schema[time].dataType.typeName() in ("integer", "long", "short", "byte")
     unit = 1 if integer else DAY
-    out = df.withColumn("_t", F.col(time).cast("long") if integer else micros(df, time))
-    rows = Window.partitionBy(entity).orderBy("_t", *(order or []))
+    base = df.withColumn("_t", F.col(time).cast("long") if integer else micros(df, time)).withColumn("_o", F.coalesce("_t", F.lit(FIRST)))
+    out = base
+    rows = Window.partitionBy(entity).orderBy("_o", *(order or []))
     earlier = rows.rowsBetween(Window.unboundedPreceding, -1)
     for s in specs:
         op, name, c, n = s.get("op"), s.get("name"), s.get("column"), int(s.get("n", 1))
@@ -171,34 +239,60 @@ def entity_features(df: DataFrame, entity: str, time: str, specs: list[dict], ta
             raise ValueError(f"{name}: no column {c!r}")
         if op == "roll_count" and not s.get("window"):
             raise ValueError(f"{name}: roll_count needs a time window")
-        frame = Window.partitionBy(entity).orderBy("_t").rangeBetween(-span(s["window"]), -1) if s.get("window") else rows.rowsBetween(-n, -1)
         x = F.col(c) if c else None
-        if op == "lag":
-            made = F.lag(x, n).over(rows)
-        elif op == "diff":
-            made = x - F.lag(x, n).over(rows)
-        elif op == "pct_change":
-            made = (x - F.lag(x, n).over(rows)) / (F.abs(F.lag(x, n).over(rows)) + 1e-6)
-        elif op == "roll_count":
-            made = F.count("*").over(frame)
-        elif op == "vs_roll_mean":
-            made = x / (F.avg(x).over(frame) + 1e-6)
-        elif op == "roll_std":
-            made = F.when(F.count(x).over(frame) > 1, F.stddev_samp(x).over(frame))
-        elif op.startswith("roll_"):
-            made = {"mean": F.avg, "min": F.min, "max": F.max, "sum": F.sum}[op[5:]](x).over(frame)
-            if op == "roll_sum" and s.get("window"):
-                made = F.coalesce(made, F.lit(0))
-        elif op == "gap_prev":
-            made = (F.col("_t") - F.lag("_t").over(rows)) / unit
-        elif op == "since":
+        if op == "since":
             made = (F.col("_t") - F.last(F.when(x > 0, F.col("_t")), ignorenulls=True).over(earlier)) / unit
         elif op == "prior_count":
-            made = F.row_number().over(Window.partitionBy(entity, c).orderBy("_t", *(order or []))) - 1
-        else:  # streak: rows since the last break, as of the previous row
+            made = F.row_number().over(Window.partitionBy(entity, c).orderBy("_o", *(order or []))) - 1
+        elif op == "streak":  # rows since the last break, as of the previous row
             good = F.coalesce(x > 0, F.lit(False))
             out = out.withColumn("_i", F.row_number().over(rows))
             broken = F.coalesce(F.max(F.when(~good, F.col("_i"))).over(earlier), F.lit(0))
             made = F.col("_i") - 1 - broken
+        else:
+            frame = Window.partitionBy(entity).orderBy("_o").rangeBetween(-span(s["window"]), -1) if s.get("window") else rows.rowsBetween(-n, -1)
+            made = _row_feature(op, c, n, frame, rows, unit)
+            if op == "roll_sum" and s.get("window"):
+                made = _or_zero(made)
         out = out.withColumn(name, made).drop("_i")
-    return out.drop("_t")
+    plain = out.drop("_t", "_o")
+    if largest_entity(base, entity) <= split_rows:
+        return plain
+    return _as(_blocked_features(base, entity, specs, order or [], unit, split_rows), plain)
+
+
+def _layers(specs: list[dict], columns: list[str]) -> list[list[dict]]:
+    """The specs in runs of which none reads or replaces what the same run makes or the rows have."""
+    out: list[list[dict]] = [[]]
+    for s in specs:
+        if out[-1] and (s.get("column") in {e["name"] for e in out[-1]} or s["name"] in columns or out[-1][-1]["name"] in columns or s["name"] in {e["name"] for e in out[-1]}):
+            out.append([])
+        out[-1].append(s)
+    return out
+
+
+def _blocked_features(base: DataFrame, entity: str, specs: list[dict], order: list[str], unit: int, split_rows: int) -> DataFrame:
+    blocks = cut(base, entity, ["_o", *order], split_rows)
+    layers = _layers(specs, base.columns)
+    for k, layer in enumerate(layers):
+        behind, back, spans, carries, counts = {}, 0, [], [], {}
+        for s in layer:
+            op, name, c, n = s["op"], s["name"], s.get("column"), int(s.get("n", 1))
+            x = F.col(c) if c else None
+            if op == "since":
+                carries.append(_latest(name, F.when(x > 0, F.col("_t")), unit))
+            elif op == "streak":
+                carries.append(_streak(name, F.coalesce(x > 0, F.lit(False))))
+            elif op == "prior_count":
+                counts[name] = c
+            elif op == "gap_prev" or not s.get("window") or op in ("lag", "diff", "pct_change"):
+                behind[name] = lambda w, op=op, c=c, n=n: _row_feature(op, c, n, w.rowsBetween(-n, -1), w, unit)
+                back = max(back, 1 if op == "gap_prev" else n)
+            else:
+                kind = "mean" if op == "vs_roll_mean" else op[5:]
+                wrap = {"vs_roll_mean": lambda m, c=c: F.col(c) / (m + 1e-6), "roll_sum": _or_zero}.get(op, lambda m: m)
+                spans.append(Span(name, kind, F.lit(1) if op == "roll_count" else x, span(s["window"]), wrap))
+        blocks = over_blocks(blocks, entity, order, behind, back, spans, carries, counts)
+        if k < len(layers) - 1:
+            blocks = materialise(blocks, "blocks")
+    return blocks

@@ -146,3 +146,22 @@ def entity_since_streak(spark, d):
     specs = [{"name": "since_high", "op": "since", "column": "high"}, {"name": "same_type_before", "op": "prior_count", "column": "event_type"}, {"name": "streak", "op": "streak", "column": "above"}]
     out = entity_features(base, "user_id", "ts", specs, order=["event_id"])
     return out.select("event_id", F.round("since_high", 6).alias("since_high"), F.col("same_type_before").cast("long").alias("same_type_before"), F.col("streak").cast("long").alias("streak"))
+
+
+@R.add("""WITH e AS (SELECT *, epoch_us(ts) AS t FROM events), i AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY t, event_id) AS i FROM e)
+SELECT event_id, lag(value, 3) OVER r AS lag3, round(avg(value) OVER f, 8) AS mean20, (t - lag(t) OVER r) / 86400e6 AS gap,
+  count(*) OVER h AS n_1h, round(coalesce(sum(value) OVER d, 0), 3) AS sum_5d, round(stddev_samp(value) OVER d, 4) AS std_5d, max(value) OVER d AS max_5d,
+  (t - last_value(CASE WHEN value > 99 THEN t END IGNORE NULLS) OVER b) / 86400e6 AS since_high,
+  row_number() OVER (PARTITION BY event_type, user_id ORDER BY t, event_id) - 1 AS same_user_before,
+  i - 1 - coalesce(max(CASE WHEN value <= 0 OR value IS NULL THEN i END) OVER b, 0) AS streak
+FROM i WINDOW r AS (PARTITION BY event_type ORDER BY t, event_id), f AS (PARTITION BY event_type ORDER BY t, event_id ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING),
+  b AS (PARTITION BY event_type ORDER BY t, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+  h AS (PARTITION BY event_type ORDER BY t RANGE BETWEEN 3600000000 PRECEDING AND 1 PRECEDING), d AS (PARTITION BY event_type ORDER BY t RANGE BETWEEN 432000000000 PRECEDING AND 1 PRECEDING)""")
+def entity_windows_blocks(spark, d):
+    specs = [{"name": "lag3", "op": "lag", "column": "value", "n": 3}, {"name": "mean20", "op": "roll_mean", "column": "value", "n": 20}, {"name": "gap", "op": "gap_prev"}]
+    specs += [{"name": "n_1h", "op": "roll_count", "window": "1h"}] + [{"name": f"{k}_5d", "op": f"roll_{k}", "column": "value", "window": "5D"} for k in ("sum", "std", "max")]
+    specs += [{"name": "since_high", "op": "since", "column": "high"}, {"name": "same_user_before", "op": "prior_count", "column": "user_id"}, {"name": "streak", "op": "streak", "column": "value"}]
+    base = events(spark, d).withColumn("high", F.col("value") - 99)
+    out = entity_features(base, "event_type", "ts", specs, order=["event_id"], split_rows=1000)  # few types hold all rows
+    whole = out.select("event_id", "lag3", "gap", "n_1h", "max_5d", "since_high", F.col("same_user_before").cast("long").alias("same_user_before"), F.col("streak").cast("long").alias("streak"), "mean20", "sum_5d", "std_5d")
+    return whole.withColumns({"mean20": F.round("mean20", 8), "sum_5d": F.round("sum_5d", 3), "std_5d": F.round("std_5d", 4)})
