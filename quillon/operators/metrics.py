@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions.basics import stacked
+from quillon.operators.bootstrap import bootstrap as bootstrap
 from quillon.operators.ranking import column_quantiles, quantiles, running
 from quillon.operators.splits import exact_rank
 
@@ -215,27 +216,6 @@ def conformal_width(df: DataFrame, y: str, pred: str, coverage: float = 0.9) ->
     return upto.where(F.col("upto") >= need).groupBy("n").agg(F.min("e").alias("width"))
 
 
-def bootstrap(df: DataFrame, label: str, score: str, resamples: int = 200, seed: int = 42, threshold: float = 0.5) -> DataFrame:
-    """(metric, low, high): 95 % percentile intervals from Poisson resampling of the counts per distinct score."""
-    counts = df.groupBy(F.col(score).alias("score")).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.sum(1 - F.col(label).cast("long")).alias("neg"))
-    # a Poisson(k) draw by the normal quantile of a hash, for each score and resample
-    u = lambda tag: (F.pmod(F.xxhash64("score", "b", F.lit(f"{seed}{tag}")), F.lit(1_000_003)) + 0.5) / 1_000_003
-    z = lambda tag: F.sqrt(-2 * F.log(u(tag + "a"))) * F.cos(6.283185307179586 * u(tag + "b"))
-    draw = lambda c: F.greatest(F.lit(0.0), F.round(F.when(F.col(c) < 8, _poisson(F.col(c), u(c + "p"))).otherwise(F.col(c) + F.sqrt(F.col(c)) * z(c))))
-    rows = counts.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(resamples)))).select("b", "score", draw("pos").alias("pos"), draw("neg").alias("neg"))
-    up = running(rows, "score", ["pos", "neg"], ["b"])
-    rows = up.select("b", "score", "pos", "neg", (F.col("pos_all") - F.col("pos_before")).alias("tp"), (F.col("neg_all") - F.col("neg_before")).alias("fp"), F.col("pos_all").alias("P"), F.col("neg_all").alias("N"))
-    hit = F.col("score") >= threshold
-    per = rows.groupBy("b").agg(
-        F.try_divide(F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2)), F.max("P") * F.max("N")).alias("roc_auc"),
-        F.try_divide(F.sum(F.col("pos") * div(F.col("tp"), F.col("tp") + F.col("fp"))), F.max("P")).alias("average_precision"),
-        F.try_divide(F.sum(F.when(hit, F.col("pos"))), F.sum(F.when(hit, F.col("pos") + F.col("neg")))).alias("precision"),
-        F.try_divide(F.coalesce(F.sum(F.when(hit, F.col("pos"))), F.lit(0.0)), F.max("P")).alias("recall"),
-    )
-    long = stacked(per, ["roc_auc", "average_precision", "precision", "recall"], ["b"], name="metric")
-    return long.groupBy("metric").agg(F.percentile("value", F.lit(0.025)).alias("low"), F.percentile("value", F.lit(0.975)).alias("high"))
-
-
 def _poisson(mean: Column, u: Column) -> Column:
     """The Poisson quantile of u for whole means under 8, from the distribution functions."""
     tables = []

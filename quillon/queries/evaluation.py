@@ -305,3 +305,19 @@ def ets_panel(spark, d):
 @R.add()
 def global_forecast(spark, d):
     return forecast.global_forecast(grid(spark, d).fillna(0.0), ["series"], "day", "y", 5, "D", [1, 7], [7])
+
+
+@R.add(f"""WITH {SCORED}, c AS (SELECT s, sum(y) AS pos, count(*) - sum(y) AS neg FROM scored WHERE s IS NOT NULL AND y IS NOT NULL GROUP BY s), r AS (SELECT *, row_number() OVER (ORDER BY s) - 1 AS i FROM c),
+k AS (SELECT i, s, b, tag, CASE WHEN tag = 1 THEN pos ELSE neg END::BIGINT AS k FROM r, range(0, 501) bs(b), (VALUES (1), (3)) t(tag)),
+h AS (SELECT *, (i + 48271 * b + 1000003 * tag + 42) % 2147483647 AS x0, (x0 * x0 + 48271 * x0 + b) % 2147483647 AS x1, (x1 * x1 + 48271 * x1 + tag) % 2147483647 AS x2, ((x2 * x2 + 48271 * x2 + 16807) % 2147483647 + 0.5) / 2147483647 AS u,
+  (i + 48271 * b + 1000003 * (tag + 1) + 42) % 2147483647 AS y0, (y0 * y0 + 48271 * y0 + b) % 2147483647 AS y1, (y1 * y1 + 48271 * y1 + tag + 1) % 2147483647 AS y2, ((y2 * y2 + 48271 * y2 + 16807) % 2147483647 + 0.5) / 2147483647 AS v FROM k),
+cdf AS (SELECT k, list(p ORDER BY x) AS p FROM (SELECT k, x, sum(exp(-k + x * ln(k) - lgamma(x + 1))) OVER (PARTITION BY k ORDER BY x) AS p FROM range(1, 30) a(k), range(0, 120) xs(x)) GROUP BY k),
+d AS (SELECT i, s, b, tag, CASE WHEN b = 0 OR h.k = 0 THEN h.k WHEN h.k < 30 THEN len(list_filter(cdf.p, lambda q: q < u)) ELSE greatest(0, floor(h.k + sqrt(h.k) * sqrt(-2 * ln(u)) * cos(2 * pi() * v) + 0.5)) END::DOUBLE AS w FROM h LEFT JOIN cdf ON h.k = cdf.k),
+n AS (SELECT i, s, b, sum(w) FILTER (tag = 1) AS p, sum(w) FILTER (tag = 3) AS n FROM d GROUP BY 1, 2, 3),
+t AS (SELECT *, sum(p) OVER w AS tp, sum(n) OVER w AS fp FROM n WINDOW w AS (PARTITION BY b ORDER BY i DESC)),
+m AS (SELECT b, sum(p) FILTER (s >= 0.5) / nullif(sum(p + n) FILTER (s >= 0.5), 0) AS precision, sum(p) FILTER (s >= 0.5) / nullif(sum(p), 0) AS recall, 2 * sum(p) FILTER (s >= 0.5) / nullif(sum(p + n) FILTER (s >= 0.5) + sum(p), 0) AS f1,
+  sum(p + n) FILTER (s >= 0.5) / sum(p + n) AS alert_rate, sum(p * (1 - s) ** 2 + n * s ** 2) / sum(p + n) AS brier, sum(n * (tp - p / 2)) / nullif(sum(p) * sum(n), 0) AS roc_auc, sum(CASE WHEN p > 0 THEN p * tp / (tp + fp) END) / nullif(sum(p), 0) AS average_precision FROM t GROUP BY b),
+l AS (UNPIVOT m ON precision, recall, f1, alert_rate, brier, roc_auc, average_precision INTO NAME metric VALUE x)
+SELECT metric, round(max(x) FILTER (b = 0), 7) AS value, round(quantile_cont(x, 0.025) FILTER (b > 0), 7) AS low, round(quantile_cont(x, 0.975) FILTER (b > 0), 7) AS high FROM l GROUP BY metric""")
+def bootstrap_intervals(spark, d):
+    return rounded(metrics.bootstrap(scored_documents(spark, d), "y", "s"), 7)

@@ -228,12 +228,6 @@ def calibrate(spark, d):
     return metrics.calibration(models.calibrate(fit)(test), "label", "calibrated")
 
 
-@R.add()
-def bootstrap_intervals(spark, d):
-    s = scores(spark, d).select("y", (F.col("score") / 2).alias("s"))
-    return metrics.bootstrap(s, "y", "s")
-
-
 W = {"l_quantity": 0.02, "l_discount": -3.0, "l_tax": 1.5}
 M = {"l_quantity": 25.0, "l_discount": 0.05, "l_tax": 0.04}
 
