@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.operators import smoothing
+
 # Candidate seasons, lags and window widths per step.
 SEASONS = {"h": [24, 168], "D": [7, 30, 365], "W": [4, 13, 52], "MS": [3, 6, 12]}
 LAGS = {"h": [1, 2, 3, 24, 48, 168], "D": [1, 2, 3, 7, 14, 28], "W": [1, 2, 4, 8, 13], "MS": [1, 2, 3, 6, 12]}
@@ -222,6 +224,61 @@ def holt_winters(history: DataFrame, keys: list[str], time: str, y: str, season:
     return history.select(*keys, time, y).groupBy(*keys).applyInPandas(fit, f"{kinds}, step int, forecast double")
 
 
+def _by_series(history: DataFrame, keys: list[str], time: str, y: str, make, schema: str, together: int = 32) -> DataFrame:
+    """make(first rows, series of numbers) over groups of about `together` whole series, chosen by the hash of their keys."""
+    groups = max(1, history.select(*keys).distinct().count() // together)
+    rows = history.select(*keys, time, y, F.pmod(F.xxhash64(F.lit(0), *keys), F.lit(groups)).alias("_group"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        parts = [p.sort_values(time) for _, p in pdf.groupby(keys, dropna=False, sort=True)] if keys else [pdf.sort_values(time)]
+        return make([{k: p[k].iloc[0] for k in keys} for p in parts], [p[y].astype(float).ffill().bfill().to_numpy() for p in parts])
+
+    return rows.groupBy("_group").applyInPandas(run, schema)
+
+
+def _fitted(series: list[np.ndarray], season: int) -> list[dict | None]:
+    """A smoothing model for each series of two seasons and ten rows or more that has a value, else None."""
+    usable = [i for i, v in enumerate(series) if len(v) >= max(2 * season, 10) and not np.isnan(v).any()]
+    made: list[dict | None] = [None] * len(series)
+    for i, model in zip(usable, smoothing.fit([series[i] for i in usable], season) if usable else [], strict=True):
+        made[i] = model
+    return made
+
+
+def likelihood_smoothing(history: DataFrame, keys: list[str], time: str, y: str, season: int, horizon: int) -> DataFrame:
+    """(keys, step, forecast) of Holt-Winters, weights and first states of each series by likelihood, damped or undamped by AIC.
+
+    Series under two seasons repeat their last season; `holt_winters` takes the weights from a small grid instead.
+    Never below 0 where the history isn't; null for a series without a value; gaps take the value before.  Some 32 series
+    are fitted together; a series is never split, as its states follow each other.
+    """
+    kinds = "".join(f"`{k}` {history.schema[k].dataType.simpleString()}, " for k in keys)
+    steps = np.arange(1, horizon + 1)
+
+    def make(names: list[dict], series: list[np.ndarray]) -> pd.DataFrame:
+        out = []
+        for name, v, model in zip(names, series, _fitted(series, season), strict=True):
+            last = v[-season:]
+            f = last[(steps - 1) % len(last)] if model is None else smoothing.ahead(model, horizon)
+            f = np.maximum(f, 0) if v.min() >= 0 else f
+            out.append(pd.DataFrame({**{k: [x] * horizon for k, x in name.items()}, "step": steps.astype("int32"), "forecast": f}))
+        return pd.concat(out)
+
+    return _by_series(history, keys, time, y, make, f"{kinds}step int, forecast double")
+
+
+def smoothing_weights(history: DataFrame, keys: list[str], time: str, y: str, season: int) -> DataFrame:
+    """(keys, n, alpha, beta, gamma, phi, damped, aic, level, trend, seasons array) of each series that likelihood_smoothing() fits."""
+    kinds = "".join(f"`{k}` {history.schema[k].dataType.simpleString()}, " for k in keys)
+    kinds += "n long, alpha double, beta double, gamma double, phi double, damped boolean, aic double, level double, trend double, seasons array<double>"
+
+    def make(names: list[dict], series: list[np.ndarray]) -> pd.DataFrame:
+        rows = [name | model | {"seasons": list(model["seasons"])} for name, model in zip(names, _fitted(series, season), strict=True) if model]
+        return pd.DataFrame(rows, columns=[*keys, "n", "alpha", "beta", "gamma", "phi", "damped", "aic", "level", "trend", "seasons"])
+
+    return _by_series(history, keys, time, y, make, kinds)
+
+
 def calendar_and_lags(df: DataFrame, keys: list[str], time: str, y: str, lags: list[int], windows: list[int]) -> DataFrame:
     """The global model's features: lags and means in the series' own scale, and the calendar."""
     scale = df.groupBy(*keys).agg(F.greatest(F.avg(F.abs(F.col(y))), F.lit(1e-9)).alias("scale"))
@@ -345,9 +402,9 @@ def prepare_forecast(df: DataFrame, time: str, y: str, horizon: int, keys: list[
 def serve(history: DataFrame, keys: list[str], time: str, y: str, season: int, horizon: int, bands: DataFrame, method: str = "naive") -> DataFrame:
     """(keys, step, forecast, low, high): forecasts beyond the history with the shipped bands; steps beyond the bands take the widest.
 
-    method is "naive" or "holt_winters".
+    method is "naive", "holt_winters" or "likelihood".
     """
-    made = {"naive": seasonal_naive, "holt_winters": holt_winters}[method](history, keys, time, y, season, horizon)
+    made = {"naive": seasonal_naive, "holt_winters": holt_winters, "likelihood": likelihood_smoothing}[method](history, keys, time, y, season, horizon)
     known = bands.agg(F.max("step").alias("_last"))
     at = made.crossJoin(F.broadcast(known)).withColumn("_at", F.least("step", "_last"))
     out = at.join(F.broadcast(bands.withColumnRenamed("step", "_at")), "_at", "left")  # one row for each step

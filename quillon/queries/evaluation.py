@@ -302,6 +302,16 @@ def ets_panel(spark, d):
     return forecast.holt_winters(grid(spark, d).fillna(0.0), ["series"], "day", "y", 7, 14)
 
 
+@R.add()
+def ets_likelihood(spark, d):
+    return forecast.likelihood_smoothing(grid(spark, d).fillna(0.0), ["series"], "day", "y", 7, 14)
+
+
+@R.add()
+def smoothing_weights(spark, d):
+    return forecast.smoothing_weights(grid(spark, d).fillna(0.0), ["series"], "day", "y", 7)
+
+
 @R.add()
 def global_forecast(spark, d):
     return forecast.global_forecast(grid(spark, d).fillna(0.0), ["series"], "day", "y", 5, "D", [1, 7], [7])
