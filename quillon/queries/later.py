@@ -260,6 +260,37 @@ def counterfactual(spark, d):
     return explain.counterfactuals(li_key(spark, d), "k", list(W), M, score, 0.5)
 
 
+# weights by which no two moves help alike and no row stands at the threshold, where the last digit would decide
+V = {"l_quantity": 0.0213171, "l_discount": -3.0717713, "l_tax": 1.4931337}
+
+
+@R.add("""WITH x AS (SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, floor(l_extendedprice)::BIGINT) AS k, -0.4567891::DOUBLE + 0.0213171 * l_quantity - 3.0717713 * l_discount + 1.4931337 * l_tax AS z, l_quantity, l_discount, l_tax FROM lineitem),
+m AS (SELECT k, z, 'l_quantity' AS c, 0.0213171 * (25.03 - l_quantity) AS move FROM x UNION ALL SELECT k, z, 'l_discount', -3.0717713 * (0.0503 - l_discount) FROM x UNION ALL SELECT k, z, 'l_tax', 1.4931337 * (0.0407 - l_tax) FROM x),
+o AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY abs(1 / (1 + exp(-z - move)) - 1 / (1 + exp(-z))) DESC, c) AS r FROM m WHERE (move < 0) = (z >= 0)),
+f AS (SELECT *, (z + sum(move) OVER (PARTITION BY k ORDER BY r) >= 0) != (z >= 0) AS turned FROM o), n AS (SELECT k, min(r) FILTER (turned) AS n FROM f GROUP BY k)
+SELECT x.k, coalesce(list(c ORDER BY r) FILTER (r <= coalesce(n, 3)), []) AS changed, max(n) IS NOT NULL AS flipped FROM x LEFT JOIN f ON x.k = f.k LEFT JOIN n ON x.k = n.k GROUP BY x.k""")
+def counterfactual_linear(spark, d):
+    middle = {"l_quantity": 25.03, "l_discount": 0.0503, "l_tax": 0.0407}
+    return explain.counterfactuals(li_key(spark, d), "k", list(V), middle, explain.linear_score(V, -0.4567891), 0.5)
+
+
+@R.add()
+def counterfactual_model(spark, d):
+    rows = li_key(spark, d).withColumn("label", (F.col("l_returnflag") == "R").cast("double"))
+    vector = VectorAssembler(inputCols=F4, outputCol="features")
+    model = models.train_classifier(vector.transform(rows), "boosting")
+    middle = {c: v for c, v in zip(F4, rows.select(*(F.percentile(c, F.lit(0.5)) for c in F4)).first(), strict=True)}
+    return explain.model_counterfactuals(model, rows, "k", F4, middle, vector.transform, 0.5)
+
+
+@R.add()
+def train_quantile_forest(spark, d):
+    rows = VectorAssembler(inputCols=["l_quantity", "l_discount"], outputCol="features").transform(li_key(spark, d).withColumn("label", F.col("l_extendedprice")))
+    train, test = held_out(rows)
+    out = models.train_regressor(train, "forest", "quantile", 0.8).transform(test)
+    return out.select("k", "label", "prediction")
+
+
 @R.add()
 def recipe_features(spark, d):
     specs = recipe("gaps") + recipe("rhythm") + recipe("pairing", other="event_type")
