@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.basics import DAY, holds, micros, span
+from quillon.operators.aggregates import REGISTERED, expression
 from quillon.operators.blocks import Carry, Span, cut, largest_entity, over_blocks
 from quillon.session import materialise
 
@@ -22,7 +23,8 @@ def _check(specs: list[dict], allowed: tuple[str, ...], columns: list[str]) -> N
     for s in specs:
         if s.get("agg") not in allowed:
             raise ValueError(f"{s['name']}: the aggregate must be one of {', '.join(allowed)}")
-        if s["agg"] not in ("count", "share", "span_days", "recency_days") and s.get("column") not in columns:
+        free = not REGISTERED[s["agg"]].column if s["agg"] in REGISTERED else s["agg"] in ("count", "share", "span_days", "recency_days")
+        if not free and s.get("column") not in columns:
             raise ValueError(f"{s['name']}: no column {s.get('column')!r}")
         if s["agg"] == "below" and s.get("value") is None:
             raise ValueError(f"{s['name']}: `below` needs a value")
@@ -53,11 +55,12 @@ def aggregate_events(
     A feature is {name, agg, column, where, value}; `where` and `column` may use _hour, _dow, _day, and column "_gap", the
     seconds since the entity's previous row among those of `where` (and in the period).  Counts, shares and sums without
     rows are 0, all else is null.  Entities without matching rows stay.  `carry` lists columns to keep that are constant
-    per entity (see constant_columns).  All conditional aggregates share one shuffle by entity; only entropy, top_share
+    per entity (see constant_columns).  Aggregates that are registered by name (aggregates.py) stand beside the library's
+    own, in the same shuffle.  All conditional aggregates share one shuffle by entity; only entropy, top_share
     and periodicity add a grouping of their own, pre-aggregated by value.
     """
     base = prepared(df, entity, time, before)
-    _check(features, AGGREGATES, [*base.columns, "_gap"])
+    _check(features, (*AGGREGATES, *REGISTERED), [*base.columns, "_gap"])
     keys = [entity]
     if period:
         size = span(period)
@@ -88,6 +91,9 @@ def aggregate_events(
         if agg in BY_VALUE or agg == "periodicity":
             continue
         x = value(s) if s.get("column") else None
+        if agg in REGISTERED:
+            made.append(expression(agg, x, hit, at).alias(s["name"]))
+            continue
         made.append(
             {
                 "count": lambda: F.count_if(hit),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quillon.operators import aggregates
 from quillon.operators.events import aggregate_events, entity_features, features_at_decisions
 from quillon.queries.common import Registry, events, rounded
 
@@ -165,3 +166,27 @@ def entity_windows_blocks(spark, d):
     out = entity_features(base, "event_type", "ts", specs, order=["event_id"], split_rows=1000)  # few types hold all rows
     whole = out.select("event_id", "lag3", "gap", "n_1h", "max_5d", "since_high", F.col("same_user_before").cast("long").alias("same_user_before"), F.col("streak").cast("long").alias("streak"), "mean20", "sum_5d", "std_5d")
     return whole.withColumns({"mean20": F.round("mean20", 8), "sum_5d": F.round("sum_5d", 3), "std_5d": F.round("std_5d", 4)})
+
+
+def _geometric() -> None:
+    """Registers the geometric mean of values above 0, and the longest time from a first to a last row in days."""
+    aggregates.register("geometric_mean", {"s": (lambda x, hit, t: F.sum(F.when(x > 0, F.log(x))), "sum"), "n": (lambda x, hit, t: F.count_if(x > 0), "sum")}, lambda p: F.exp(F.try_divide(p["s"], p["n"])))
+    aggregates.register("active_span", {"a": (lambda x, hit, t: F.min(t), "min"), "b": (lambda x, hit, t: F.max(t), "max")}, lambda p: (p["b"] - p["a"]) / 86_400e6, column=False)
+
+
+MEANS = [{"name": "gm", "agg": "geometric_mean", "column": "value"}, {"name": "gm_click", "agg": "geometric_mean", "column": "value", "where": "event_type = 'click'"}, {"name": "click_span", "agg": "active_span", "where": "event_type = 'click'"}]
+GM = """round(exp(avg(ln(CASE WHEN value > 0 THEN value END))), 6) AS gm, round(exp(avg(ln(CASE WHEN value > 0 AND event_type = 'click' THEN value END))), 6) AS gm_click,
+  round((max(epoch_us(ts)) FILTER (event_type = 'click') - min(epoch_us(ts)) FILTER (event_type = 'click')) / 86400e6, 6) AS click_span"""
+
+
+@R.add(f"SELECT user_id, count(*) AS n_events, {GM}, round(avg(value), 6) AS m FROM events GROUP BY 1")
+def agg_events_registered(spark, d):
+    _geometric()
+    return rounded(aggregate_events(events(spark, d), "user_id", "ts", [*MEANS, {"name": "m", "agg": "mean", "column": "value"}]))
+
+
+@R.add(f"SELECT user_id, date_trunc('month', ts)::DATE AS month, count(*)::BIGINT AS n_events, {GM} FROM events GROUP BY 1, 2")
+def merged_periods(spark, d):
+    _geometric()
+    daily = aggregates.partial_rows(events(spark, d), "user_id", "ts", MEANS, "D").withColumn("month", F.date_trunc("month", "period_start").cast("date"))
+    return rounded(aggregates.merged(daily, ["user_id", "month"], MEANS))

@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quillon.functions.basics import holds, span
+from quillon.operators.aggregates import REGISTERED, expression
 from quillon.operators.drift import psi_sum
 
 
 def stream_aggregates(df: DataFrame, entity: str, time: str, features: list[dict], period: str, late: str = "1 hour") -> DataFrame:
     """Per entity and period, the aggregates that need no second pass, with rows later than `late` left out.
 
-    A feature is {name, agg, column, where} with agg count, share, sum, mean, std, min, max, cv or span_days.
+    A feature is {name, agg, column, where} with agg count, share, sum, mean, std, min, max, cv, span_days or a registered one.
     """
     base = df.withColumn("_at", F.col(time).cast("timestamp")).withWatermark("_at", late)
     made = []
@@ -25,6 +26,9 @@ def stream_aggregates(df: DataFrame, entity: str, time: str, features: list[dict
         hit = holds(s.get("where"))
         x = F.when(hit, F.col(s["column"])) if s.get("column") else None
         t = F.when(hit, F.unix_micros("_at"))
+        if s["agg"] in REGISTERED:
+            made.append(expression(s["agg"], x, hit, t).alias(s["name"]))
+            continue
         made.append(
             {
                 "count": lambda: F.count_if(hit), "share": lambda: F.avg(hit.cast("double")), "sum": lambda: F.coalesce(F.sum(x), F.lit(0)), "mean": lambda: F.avg(x),
