@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from quillon.functions.basics import holds, span
+from quillon.functions.basics import holds, span, stacked
 from quillon.operators.aggregates import REGISTERED, expression
-from quillon.operators.drift import psi_sum
+from quillon.operators.drift import _binned, _shares, psi_sum, quantile_edges, severity
+from quillon.session import discard, materialise
 
 
 def stream_aggregates(df: DataFrame, entity: str, time: str, features: list[dict], period: str, late: str = "1 hour") -> DataFrame:
@@ -65,6 +66,44 @@ def drift_stream(df: DataFrame, reference: DataFrame, column: str, time: str, pe
     return counts.writeStream.outputMode("complete").foreachBatch(batch).option("checkpointLocation", checkpoint).start()
 
 
+def numeric_drift_stream(
+    df: DataFrame, reference: DataFrame, columns: list[str], time: str, period: str, path: str, checkpoint: str, late: str = "1 hour", bins: int = 10, least: int = 100
+):
+    """Appends (period, column_name, psi, n_cur, severity) of number columns once a period is over, as drift_over_time gives them
+    for the periods with `least` rows or more; returns the started query.
+
+    The state holds a count for each open period, column and bin of the reference's quantiles, however many rows and values
+    there are; tasks count before the shuffle.  A period closes when the watermark, `late` behind the latest row, passes its
+    end: its counts leave the state in one batch, and rows that come later are left out.  Each batch writes a folder of its
+    own, so a repeated one changes nothing.  Rows without a time are left out, missing values count as rows only.
+    """
+    spark = reference.sparkSession
+    edges = quantile_edges(reference, columns, bins)
+    shares = _shares(_binned(reference, columns, edges, []), [], "ref").select("column_name", "bin", "share_ref").collect()  # at most `bins` rows a column
+    found = {r.column_name: list(r.edges) for r in edges.collect()}
+    known = {(r.column_name, r.bin): r.share_ref for r in shares}
+    grid = spark.createDataFrame([(c, b, known.get((c, b), 0.0)) for c in columns for b in range(len(found[c]) + 1)], "column_name string, bin int, share_ref double")
+    cuts = spark.createDataFrame([*found.items(), ("_rows", [])], "column_name string, edges array<double>")
+
+    def batch(closed: DataFrame, number: int) -> None:
+        counts = materialise(closed, "closed")  # read three times; the stream's own work is done once
+        rows = counts.where("column_name = '_rows'").groupBy("period").agg(F.sum("n").alias("_rows")).where(F.col("_rows") >= least).select("period")
+        held = counts.where("column_name != '_rows'").join(rows, "period")
+        cur = _shares(held, ["period"], "cur")
+        periods = held.select("period", "column_name").distinct()
+        every = periods.join(F.broadcast(grid), "column_name").join(cur, ["period", "column_name", "bin"], "left").fillna(0, ["share_cur"])  # a few rows for each column
+        out = every.groupBy("period", "column_name").agg(psi_sum(F.col("share_ref"), F.col("share_cur")).alias("psi"), F.max("n_cur").alias("n_cur"))
+        out.withColumn("severity", severity(F.col("psi"), F.lit(0.0))).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        discard(counts)
+
+    base = df.withColumn("_at", F.col(time).cast("timestamp")).withWatermark("_at", late).withColumn("_rows", F.lit(0.0))
+    long = stacked(base, [*columns, "_rows"], ["_at"]).where("value IS NOT NULL AND NOT isnan(value)").join(F.broadcast(cuts), "column_name")  # one row for each column
+    at = F.size(F.filter("edges", lambda e: e <= F.col("value"))).alias("bin")
+    counts = long.groupBy(F.window("_at", f"{span(period) // 1_000_000} seconds"), "column_name", at).agg(F.count("*").alias("n"))
+    counts = counts.select(F.col("window.start").alias("period"), "column_name", "bin", "n")
+    return counts.writeStream.outputMode("append").foreachBatch(batch).option("checkpointLocation", checkpoint).start()
+
+
 def velocity_stream(df: DataFrame, entity: str, time: str, key: str, window: str, late: str = "1 hour") -> DataFrame:
     """(entity, key, n): for each event, the entity's events in [t - window, t); the state holds times of one window only.
 
