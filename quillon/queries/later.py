@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
-from quillon.operators import anomaly, explain, ledger, metrics, models, nearest, segments
+from quillon.operators import anomaly, explain, ledger, metrics, models, segments
 from quillon.operators.events import aggregate_events
 from quillon.operators.screens import hash_fold
 from quillon.plans.recipes import recipe
@@ -176,7 +176,7 @@ kd AS MATERIALIZED (SELECT x.i, list_max(min(sqrt((x.a - y.a) ** 2 + (x.b - y.b)
 
 @R.add(f"WITH {NEAR} SELECT k, round(reach, 6) AS score FROM z JOIN kd USING (i)")
 def knn_scores(spark, d):
-    return rounded(nearest.neighbour_scores(li_key(spark, d), Z, ["k"], "knn", 10))
+    return rounded(anomaly.neighbours(li_key(spark, d), Z, ["k"], "knn", 10, exact=True))
 
 
 @R.add(f"""WITH {NEAR}, w AS MATERIALIZED (SELECT *, b - reach * (1 + 1e-9) AS lo, b + reach * (1 + 1e-9) AS hi FROM z JOIN kd USING (i)),
@@ -185,7 +185,7 @@ p AS MATERIALIZED (SELECT x.i, y.i AS j, y.reach, sqrt((x.a - y.a) ** 2 + (x.b -
 l AS MATERIALIZED (SELECT i, 1 / greatest(avg(greatest(reach, d)), 1e-12) AS density FROM p GROUP BY 1), m AS (SELECT p.i, avg(l.density) AS m FROM p JOIN l ON l.i = p.j GROUP BY 1)
 SELECT k, round(m / density, 4) AS score FROM z JOIN l USING (i) JOIN m USING (i)""")
 def lof_scores(spark, d):
-    return rounded(nearest.neighbour_scores(li_key(spark, d), Z, ["k"], "lof", 10), 4)
+    return rounded(anomaly.neighbours(li_key(spark, d), Z, ["k"], "lof", 10, exact=True), 4)
 
 
 F4 = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
