@@ -78,3 +78,42 @@ def test_no_block_holds_the_hot_entity(spark):
     got = out.groupBy("who").agg(F.max("n").alias("n")).where("who = 'hot'").first()
     assert got.n == hot.agg(F.sum("count")).first()[0] - 1
     assert out.where("who = 'hot' AND id > 0").agg(F.count_if(F.col("n") != F.col("id") / 3)).first()[0] == 0
+
+
+def test_blocks_cost_no_task_each(spark):
+    """Many small blocks are written by few tasks, none larger than asked."""
+    df = spark.range(60_000).select("id", F.lit("hot").alias("who"), F.col("id").alias("_o"))
+    cut = blocks.cut(df, "who", ["_o"], 20)
+    assert len(cut.inputFiles()) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sizes = cut.groupBy("_block").agg(F.count("*").alias("n"), F.min("_o").alias("a"), F.max("_o").alias("b"))
+    assert sizes.count() >= 3000 and sizes.agg(F.max("n")).first()[0] <= 20
+    later = sizes.withColumn("before", F.lag("b").over(blocks.Window.orderBy("_block")))
+    assert later.where("before >= a").count() == 0
+
+
+def test_ranges_take_steps_of_their_logarithm():
+    """Each range of a tree equals its own rows, and joins are few however wide the ranges are."""
+    rng, calls = random.Random(3), 0
+    x = blocks.np.array([rng.uniform(-5, 5) for _ in range(1001)])
+    lo = blocks.np.array([rng.randrange(0, 1002) for _ in range(400)])
+    hi = blocks.np.array([rng.randrange(0, 1002) for _ in range(400)])
+
+    def join(a, b):
+        nonlocal calls
+        calls += 1
+        return blocks.np.maximum(a, b)
+
+    got = blocks._over_ranges(x, -blocks.np.inf, join, lo, hi)
+    assert got.tolist() == [max(x[a:b], default=-math.inf) for a, b in zip(lo, hi, strict=True)]
+    assert calls <= 3 * 11
+
+
+def test_values_of_other_types_and_not_a_number_in_blocks(spark):
+    rows = [(i, i // 2, float("nan") if i % 17 == 3 else i * 0.5 - 20, i % 9 - 4) for i in range(150)]
+    df = spark.createDataFrame(rows, "id long, sec long, v double, n int").select("id", F.lit("e").alias("who"), F.timestamp_seconds("sec").alias("ts"), "v", "n", F.col("n").cast("decimal(9,2)").alias("d"))
+    specs = [{"name": f"{k}_{c}", "op": f"roll_{k}", "column": c, "window": "8s"} for c in "vnd" for k in ("sum", "mean", "min", "max")] + [{"name": "at", "op": "roll_max", "column": "ts", "window": "1min"}]
+    wide = df.withColumns({c: F.when(F.col("id") % 5 > 0, F.col(c)) for c in "vnd"})
+    whole = entity_features(wide, "who", "ts", specs, order=["id"]).drop("mean_d").fillna(-7777.0, subset=["v"])
+    split = entity_features(wide, "who", "ts", specs, order=["id"], split_rows=11).drop("mean_d").fillna(-7777.0, subset=["v"])
+    a, b = ([tuple(map(str, r)) for r in x.orderBy("id").collect()] for x in (whole, split))
+    assert a == b
