@@ -66,3 +66,24 @@ def test_smote_lies_between_neighbours_whatever_the_partitioning(spark):
         apart = np.abs(off - u[:, None] * along).max(1)
         assert ((apart < 1e-9) & (u > -1e-9) & (u < 1 + 1e-9)).any()
     assert fitted.smote(df.where(F.col("i") < 1), "y", ["a", "b"], 1).count() == 2
+
+
+def test_boxes_stay_small_and_a_row_looks_into_few():
+    """Cells grow no further with the rows, hold each point once, and no box in reach is missed; lines of equal values are cut along."""
+    rng = np.random.default_rng(8)
+    x = np.stack([rng.integers(0, 50, 60_000) * 0.07, rng.uniform(-2, 2, 60_000), rng.integers(0, 11, 60_000) * 0.3], axis=1)
+    tree = nearest._Boxes(x, 10)
+    cells = tree.cell(x)
+    ids, n = np.unique(cells, return_counts=True)
+    assert tree.cells > 5000 and n.max() <= 10 and n.sum() == len(x)
+    order = np.argsort(cells, kind="stable")
+    first = np.concatenate([[0], np.cumsum(n)[:-1]])
+    low, high = np.minimum.reduceat(x[order], first), np.maximum.reduceat(x[order], first)
+    tree.fill(ids, low, high, n, 4)
+    some, reach = x[:40], np.full(40, 0.1)
+    row, cell = tree.near(some, reach)
+    off = np.maximum(0, np.maximum(low[None] - some[:, None], some[:, None] - high[None]))
+    want = {(r, ids[c]) for r, c in zip(*np.nonzero(np.sqrt((off**2).sum(2)) <= 0.1), strict=True)}
+    assert set(zip(row.tolist(), cell.tolist(), strict=True)) == want and len(want) < 40 * 100
+    d = np.sqrt(((some[:, None] - x[None]) ** 2).sum(2))
+    assert (np.sort(d, axis=1)[:, 3] <= tree.within(some, cells[:40]) + 1e-12).all()
