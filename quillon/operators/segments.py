@@ -256,14 +256,15 @@ def davies_bouldin(df: DataFrame, columns: list[str], segment: str = "segment")
     """One row (davies_bouldin): the mean over segments of the largest ratio of two segments' spreads to the distance of their centres.
 
     A spread is the mean distance of a segment's rows to its centre; noise (-1) and rows with missing values are left out.
-    Null with under two segments.  Segments are few; pairs of them are joined, never pairs of rows.
+    Null with under two segments.  Segments are few: their centres go to every task, as one task would else get all rows of a
+    segment; pairs of them are joined, never pairs of rows.
     """
     known = df.where(F.col(segment) != -1).select(segment, *(F.col(c).cast("double").alias(c) for c in columns)).dropna(subset=columns)
     centres = known.groupBy(segment).agg(*(F.avg(c).alias(f"_m{i}") for i, c in enumerate(columns)))
     square = lambda a, b: sum(((x - y) * (x - y) for x, y in zip(a, b, strict=True)), F.lit(0.0))
     names = [f"_m{i}" for i in range(len(columns))]
     apart = F.sqrt(square([F.col(c) for c in columns], [F.col(n) for n in names]))
-    spread = known.join(centres, segment).groupBy(segment, *names).agg(F.avg(apart).alias("s"))
+    spread = known.join(F.broadcast(centres), segment).groupBy(segment, *names).agg(F.avg(apart).alias("s"))
     other = spread.select(F.col(segment).alias("_other"), F.col("s").alias("_t"), *(F.col(n).alias(f"{n}b") for n in names))
     between = F.sqrt(square([F.col(n) for n in names], [F.col(f"{n}b") for n in names]))
     pairs = spread.join(other, F.col(segment) != F.col("_other"))

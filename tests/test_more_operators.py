@@ -169,3 +169,13 @@ def test_gates_of_a_whole_run(spark):
     assert (got["c", "evaluation_charts"], got["c", "success_criteria"], got["r", "business_context"], got["c", "stability_checked"]) == ("not_run", "not_run", "not_run", "pass")
     stale = {r.tool: r.stale for r in ledger.stale_screens(book, ["detect_data_leakage", "check_model_stability"]).collect()}
     assert stale == {"detect_data_leakage": True, "check_model_stability": False}
+
+
+def test_davies_bouldin_moves_no_segment_to_one_task(spark):
+    df = spark.range(900).select((F.col("id") % 3).cast("int").alias("segment"), F.rand(1).alias("a"), F.rand(2).alias("b"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = segments.davies_bouldin(df, ["a", "b"])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
