@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm.common import components, salted_left_join
 from quillon.llm.simhash import LOWER, least_difference, shingle_hashes, simhash_links
-from quillon.session import discard, materialise
+from quillon.session import discard, materialise, step_settings
 
 #: Sets that one shingle may hold before their pairs are dealt out to several tasks.
 LARGE_KEY = 20_000
@@ -297,7 +297,8 @@ def near_components(docs: DataFrame, similarity: float, id_col: str = "doc_id",
     known = prints.select("_id")
     share = min(1.0, ORDER_DOCUMENTS / max(1, known.count()))
     sample = rows.where(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < round(share * 1_000_000)).select("_text")
-    top = sample.mapInArrow(_elements(n), "key long").groupBy("key").count().where("count >= 4").orderBy(F.desc("count"), "key").limit(ORDER_SHINGLES).collect()
+    with step_settings(docs.sparkSession):
+        top = sample.mapInArrow(_elements(n), "key long").groupBy("key").count().where("count >= 4").orderBy(F.desc("count"), "key").limit(ORDER_SHINGLES).collect()
     common, counts = np.array([r[0] for r in top], np.int64).view(np.uint64), np.array([r[1] for r in top], np.int64)
     order = np.argsort(common)
 
@@ -307,11 +308,10 @@ def near_components(docs: DataFrame, similarity: float, id_col: str = "doc_id",
     down = links.groupBy(F.greatest("u", "v").alias("u")).agg(F.min(F.least("u", "v")).alias("lo"), F.max(F.least("u", "v")).alias("hi"))
     links = down.select("u", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("v"))  # what is left out, the prefix join finds
     links = links.unionByName(lined).unionByName(_side_by_side(rarest.select("node", F.inline("of")), least))
-    links = _confirmed(links, signs, texts, n, least).unionByName(equal)
+    found = components(_confirmed(links, signs, texts, n, least).unionByName(equal))
     group, done, width = ["key", "p", "q"], 0, 0
     while done < SLICES:
-        before = components(links)
-        placed = materialise(shared.join(before, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
+        placed = materialise(shared.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
         counts = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
         busy = counts.groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("parts"), F.sum(F.col("n").cast("double") * F.col("n")).alias("within"))
         busy = materialise(busy.where("parts > 1"), "busy")
@@ -327,11 +327,14 @@ def near_components(docs: DataFrame, similarity: float, id_col: str = "doc_id",
         )
         ordered = dealt.repartition(*group).sortWithinPartitions(*group, "component", "node")
         pairs = ordered.mapInArrow(_pairs(least, done, done + width), "u long, v long")
-        links = links.unionByName(_confirmed(pairs, signs, texts, n, least))
-        discard(before, placed, busy)
+        links = _confirmed(pairs, signs, texts, n, least)
+        discard(placed, busy)
+        if links.take(1):  # the components so far, one link a node, and what joins them
+            before = found
+            found = components(before.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(links))
+            discard(before)
         done += width
     discard(shared)
-    found = components(links)
 
     named = salted_left_join(prints.select("_id", "id", "text_key"), found.withColumnRenamed("node", "_id"), ["_id"], F.col("_id"), 1)
     named = materialise(named.withColumn("component", F.coalesce("component", "_id")), "named")

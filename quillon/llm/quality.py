@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm.common import salted_left_join
-from quillon.session import materialise, table
+from quillon.session import materialise, step_settings, table
 
 #: Labelled rows that the classifier is fitted on at most: those with the least hashes of their ids.
 FIT_ROWS = 8_000
@@ -92,7 +92,9 @@ def _fit(docs: DataFrame, chosen: DataFrame) -> list[dict[str, float]]:
     dealt = labelled.withColumn("left_out", F.explode(F.array(*map(F.lit, range(FOLDS))))).where("fold != left_out").drop("fold")
     fitted = dealt.groupBy("left_out").applyInArrow(fit, "left_out int, word string, weight double")
     weights: list[dict[str, float]] = [{"": 0.0} for _ in range(FOLDS)]
-    for r in fitted.collect():
+    with step_settings(docs.sparkSession):
+        rows = fitted.collect()
+    for r in rows:
         weights[r.left_out][r.word] = r.weight
     return weights
 

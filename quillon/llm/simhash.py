@@ -16,8 +16,8 @@ from quillon.session import materialise, table
 LOWER = bytes(range(256)).lower()
 #: Distinct fingerprints that one trie may hold before its node pairs are dealt out to several tasks.
 LARGE_TRIE = 50_000
-#: Node pairs handled at once.
-FRONTIER = 1 << 20
+#: Node pairs handled at once; small ones stand for 16 pairs of positions each.
+FRONTIER = 1 << 16
 #: Bytes of a MinHash sketch.
 BINS = 16
 

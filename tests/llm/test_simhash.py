@@ -107,3 +107,16 @@ def test_equal_fingerprints_whose_sketches_form_chains(values):
         links = trie_links(np.array(values, np.uint64), [(0, len(values), 0, len(values))], 0, 2, alike)
         assert all(abs(int(place[a]) - int(place[b])) == 1 for a, b in links)
         assert len(links) == sum(int(x) + 1 in set(place.tolist()) for x in place)
+
+
+def test_crowded_tries_are_compared_in_small_parts(monkeypatch):
+    """Of a million small node pairs only some are turned into pairs of positions at once."""
+    from quillon.llm import simhash
+
+    made, whole = [], simhash._expand
+    monkeypatch.setattr(simhash, "_expand", lambda pairs, same: made.append(int(((pairs[:, 1] - pairs[:, 0]) * (pairs[:, 3] - pairs[:, 2])).sum())) or whole(pairs, same))
+    rng = np.random.default_rng(4)
+    values = np.sort(rng.integers(0, 1 << 20, 100_000).astype(np.uint64))
+    groups = np.stack([np.arange(0, 99_996), np.arange(4, 100_000)] * 2, 1)
+    links = trie_links(np.unique(values), groups[groups[:, 1] <= len(np.unique(values))], 0, 2, lambda a, b: np.zeros(len(a), bool))
+    assert not links and sum(made) > 1_500_000 and max(made) <= 16 * (1 << 16)
